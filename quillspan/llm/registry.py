@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["media", "quality_rules", "quality_classifier", "line_dedup"]
+_MODULES = ["media", "quality_rules", "quality_classifier", "line_dedup", "packing", "warc"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
