@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ THRESHOLD = 0.3
 EPOCHS, COST, SMOOTH = 12, 0.1, 1.0
 _SHAPE = bytes(97 if 97 <= i <= 122 or i >= 128 else 65 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else i for i in range(256))
 _MEMO_WORDS = 200_000
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def shape(word: bytes) -> bytes:
@@ -43,8 +45,19 @@ def shape(word: bytes) -> bytes:
     return a[np.r_[True, a[1:] != a[:-1]]].tobytes()
 
 
+def packed(features: np.ndarray) -> bytes:
+    """Sorted distinct numbers below DIMS as differences, low bytes before high ones, compressed: about a byte each."""
+    steps = np.diff(features.astype("<u2"), prepend=np.uint16(0)).astype("<u2")
+    return _PACK.compress(steps.view(np.uint8).reshape(-1, 2).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_UNPACK.decompress(data), np.uint8).reshape(2, -1)
+    return np.cumsum(planes[0].astype(np.int64) + (planes[1].astype(np.int64) << 8))
+
+
 class Featurizer:
-    """Texts to sorted distinct feature numbers below DIMS (uint16, little-endian)."""
+    """Texts to their features, packed."""
 
     def __init__(self) -> None:
         self.memo: dict[bytes, tuple[int, bytes]] = {}
@@ -70,7 +83,7 @@ class Featurizer:
         found = {h for h, _ in pairs}
         known = self.runs
         found.update(known[r] if r in known else self._run(r) for r in runs)
-        return np.sort(np.fromiter(found, "<u2", len(found))).tobytes()
+        return packed(np.sort(np.fromiter(found, "<u2", len(found))))
 
 
 def featurize(df: DataFrame, text_col: str = "text", out_col: str = "features") -> DataFrame:
@@ -98,7 +111,7 @@ class Model:
         return float(self.weights[feats].sum()) / max(length, 1e-12) + self.bias
 
     def scores(self, feats: list[bytes]) -> np.ndarray:
-        z = np.array([self.slope * self.margin(np.frombuffer(f, "<u2")) + self.offset for f in feats])
+        z = np.array([self.slope * self.margin(unpacked(f)) + self.offset for f in feats])
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
@@ -159,7 +172,7 @@ def train(feats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
         n = np.zeros((2, DIMS + 1), np.int64)  # one more, for the rows of each class
         for b in batches:
             for f, q in zip(b.column("features").to_pylist(), b.column("quality").to_pylist(), strict=True):
-                n[q, np.frombuffer(f, "<u2")] += 1
+                n[q, unpacked(f)] += 1
                 n[q, DIMS] += 1
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[0, at]), pa.array(n[1, at])], names=["feature", "neg", "pos"])
@@ -177,7 +190,7 @@ def train(feats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     else:
         sample = rows
     got = sample.orderBy(F.pmod(h, F.lit(1 << 30)), "doc_id", "quality").limit(train_rows).select("features", "quality").collect()
-    x = [np.frombuffer(r["features"], "<u2").astype(np.int64) for r in got]
+    x = [unpacked(r["features"]) for r in got]
     y = np.array([1 if r["quality"] == 1 else -1 for r in got])
     ratios = log_count_ratios(n[1, :DIMS], n[0, :DIMS])
     kept_out = np.arange(len(x)) % 4 == 3
