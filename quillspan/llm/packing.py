@@ -16,11 +16,14 @@ left out.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +34,6 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces in one salted part of a length, about.
 PART_ROWS = 200_000
 _MEMO_WORDS, _MEMO_CHARS = 400_000, 64
-_BREAK = "<|endoftext|>"
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -40,47 +42,60 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 letters stand for themselves, other bytes for letters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Texts to ids as little-endian uint32 bytes, equal to the tokenizer's, by words.
 
     The tokenizer takes white space as a border that nothing crosses and drops it, so a text's ids are its words' ids.
-    Words are remembered up to a bound; unknown ones of a batch are encoded in one call, between break tokens.
+    A word of characters below U+0130 is normal already once it is in lower case, so its parts go to the model at once;
+    any other is encoded by the whole tokenizer. Words are remembered in two generations: a word that is asked for
+    moves to the younger one, and when this is full, the older one goes.
     """
 
+    _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.stop = self.tok.token_to_id(_BREAK)
-        self.memo: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        whole = [w.decode("utf-8") for w in words]
-        plain = [i for i, w in enumerate(whole) if "<|" not in w]
-        out: dict[bytes, bytes] = {}
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = self._ids(_BREAK.join(whole[i] for i in part))
-            cuts = np.flatnonzero(ids == self.stop)
-            if len(cuts) == len(part) - 1:
-                out.update((words[i], x[x != self.stop].tobytes()) for i, x in zip(part, np.split(ids, cuts), strict=True))
-        out.update((words[i], self._ids(w).tobytes()) for i, w in enumerate(whole) if words[i] not in out)
-        return out
+        self.model = self.tok.model
+        self.letters = _byte_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _word(self, word: bytes) -> bytes:
+        s = word.decode("utf-8")
+        if "<|" in s or not (s.isascii() or max(s) < "\u0130"):
+            return np.array(self.tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        low, ids = s.lower(), []
+        for part in (low,) if low.isalpha() else self._PART.findall(low):
+            if not (part.isascii() and part.isprintable()):
+                part = part.encode("utf-8").decode("latin-1").translate(self.letters)  # noqa: PLW2901
+            ids += [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         split = [t.encode("utf-8").split() for t in batch]
-        if len(self.memo) > _MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        new = self._learn(list({w for words in split for w in words if w not in memo}))
-        memo.update((w, x) for w, x in new.items() if len(w) <= _MEMO_CHARS)
-        long = {w: x for w, x in new.items() if len(w) > _MEMO_CHARS}
-        get = memo.__getitem__ if not long else lambda w: memo[w] if w in memo else long[w]
-        return [b"".join(map(get, words)) for words in split]
+        young, old, now = self.young, self.old, {}
+        for w in set(chain.from_iterable(split)):
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    ids = self._word(w)
+                if len(w) <= _MEMO_CHARS:
+                    young[w] = ids
+            now[w] = ids
+        if len(young) > _MEMO_WORDS:
+            self.young, self.old = {}, young
+        return [b"".join(map(now.__getitem__, words)) for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
