@@ -120,13 +120,19 @@ def inner_path(path: Column | str, skip: int = 2) -> Column:
 def shingle_array(x: Column | str, size: int = 5, step: int = 3, cap: int = 20_000) -> Column:
     """Distinct character shingles of the normal form, one every step characters. A shorter text is one shingle. Of
     more than cap, every n-th in sorted order stays."""
-    t = norm(F.coalesce(col(x), F.lit("")))
-    n = F.length(t)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1, F.lit(step))).otherwise(F.array(F.lit(1)))
-    all_ = F.array_distinct(F.transform(starts, lambda i: F.substring(t, i, F.lit(size))))
-    every = F.greatest(F.floor(F.size(all_) / cap), F.lit(1))
-    thinned = F.slice(F.filter(F.array_sort(all_), lambda _, k: k % every == 0), 1, cap)
-    return F.when(F.size(all_) > cap, thinned).otherwise(all_)
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1, F.lit(step))).otherwise(F.array(F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(t, i, F.lit(size))))
+
+    def thin(all_: Column) -> Column:
+        every = F.greatest(F.floor(F.size(all_) / cap), F.lit(1))
+        return F.when(F.size(all_) > cap, F.slice(F.filter(F.array_sort(all_), lambda _, k: k % every == 0), 1, cap)).otherwise(all_)
+
+    # Each step is bound to a variable of a one-element array, so nothing is computed again for every shingle.
+    text = F.array(norm(F.coalesce(col(x), F.lit(""))))
+    return F.get(F.transform(F.transform(text, cut), thin), F.lit(0))
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:

@@ -75,10 +75,9 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Shingles are voted on where they are made: each row adds 64 sums, which partial aggregation folds before the shuffle.
     """
-    sh = docs.select(id_col, F.length(F.coalesce(text_col, F.lit(""))).alias("n_chars"), F.explode(shingle_array(text_col)).alias("s"))
-    h = F.md5("s")
-    high, low = (F.conv(F.substring(h, k, 8), 16, 10).cast("bigint") for k in (1, 9))
-    v = sh.select(id_col, "n_chars", high.alias("hi"), low.alias("lo"))
+    half = lambda h, k: F.conv(F.substring(h, k, 8), 16, 10).cast("bigint")
+    hashed = F.transform(F.transform(shingle_array(text_col), F.md5), lambda h: F.struct(half(h, 1).alias("hi"), half(h, 9).alias("lo")))
+    v = docs.select(id_col, F.length(F.coalesce(text_col, F.lit(""))).alias("n_chars"), F.explode(hashed).alias("s")).select(id_col, "n_chars", "s.hi", "s.lo")
     votes = [F.sum(F.when(F.getbit(F.col("lo" if b < 32 else "hi"), F.lit(b % 32)) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(64)]
     g = v.groupBy(id_col, "n_chars").agg(*votes)
     bits = F.lit(0).cast("bigint")

@@ -30,7 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, i, tok, start, seg, seg_text; in_gold, in_v1, in_v2 and the types there."""
     toks = F.split(F.coalesce("text", F.lit("")), "[ \n]")
-    d = documents(spark, sf_dir).select("doc_id", "lang", "text", toks.alias("toks"))
+    d = documents(spark, sf_dir).select("doc_id", "lang", "text", toks.alias("toks"), F.split("text", "\n").alias("lines"))
     key = lambda tag, i: F.concat(F.lit(tag), F.col("doc_id").cast("string"), F.lit(":"), i.cast("string"))
 
     def flags(t, i):
@@ -44,7 +44,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.filter(F.transform("toks", lambda t, i: F.when(F.length(t) >= 3, flags(t, i))), lambda s: s.isNotNull() & (s["in_gold"] | s["in_v1"] | s["in_v2"]))
     placed = F.transform(chosen, lambda s: s.withField("start", F.length(F.array_join(F.slice(F.col("toks"), F.lit(1), s["i"]), " ")) + F.when(s["i"] > 0, 1).otherwise(0)))
     lined = F.transform(placed, lambda s: s.withField("seg", F.length(F.substring(F.col("text"), F.lit(1), s["start"])) - F.length(F.replace(F.substring(F.col("text"), F.lit(1), s["start"]), F.lit("\n"), F.lit("")))))
-    texts = F.transform(lined, lambda s: s.withField("seg_text", F.get(F.split(F.col("text"), "\n"), s["seg"])))
+    texts = F.transform(lined, lambda s: s.withField("seg_text", F.get(F.col("lines"), s["seg"])))
     names = F.array(*map(F.lit, TYPES))
     m = d.select("doc_id", "lang", F.explode(texts).alias("s")).select("doc_id", "lang", "s.*")
     return m.select("doc_id", "lang", "i", "tok", "start", "seg", "seg_text", "in_gold", "in_v1", "in_v2", *(F.get(names, F.col(f"k{k}")).alias(n) for k, n in enumerate(("type_gold", "type_v1", "type_v2"))))
