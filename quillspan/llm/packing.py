@@ -33,7 +33,7 @@ CAPACITY, END_ID = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces in one salted part of a length, about.
 PART_ROWS = 200_000
-_MEMO_WORDS, _MEMO_CHARS = 400_000, 64
+_MEMO_WORDS, _MEMO_CHARS = 200_000, 64
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:

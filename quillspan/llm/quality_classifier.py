@@ -34,7 +34,7 @@ HELD_OUT_MOD = 5
 THRESHOLD = 0.3
 EPOCHS, COST, SMOOTH = 12, 0.1, 1.0
 _SHAPE = bytes(97 if 97 <= i <= 122 or i >= 128 else 65 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else i for i in range(256))
-_MEMO_WORDS = 200_000
+_MEMO_WORDS = 100_000
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
@@ -212,6 +212,18 @@ def score_features(feats: DataFrame, model: Model) -> DataFrame:
     return feats.mapInArrow(run, widened(feats.schema, {"score": T.DoubleType()}))
 
 
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Adds score, from the texts, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Featurizer()
+        for b in batches:
+            yield with_columns(b, {"score": pa.array(shared.value.scores([f(t) for t in texts(b, text_col)]), pa.float64())})
+
+    return docs.mapInArrow(run, widened(docs.schema, {"score": T.DoubleType()}))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score."""
     feats = stash(featurize(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "features")
@@ -224,4 +236,4 @@ def stage_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
     feats = stash(featurize(docs.select("doc_id", "text")).drop("text"), "features")
     model = train(feats, table(spark, sf_dir, "labels"))
     drop_stash(feats)
-    return score_features(featurize(docs), model).filter(F.col("score") >= THRESHOLD).select(docs.columns)
+    return score_documents(docs, model).filter(F.col("score") >= THRESHOLD).select(docs.columns)
