@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+(?:[-_]\w+)*|\S")
@@ -247,8 +248,7 @@ def unwrap_json(text: str) -> str:
     return body[min(at) : end + 1] if at and end >= min(at) else ""
 
 
-@F.pandas_udf("string")
-def annotation_json(texts: pd.Series) -> pd.Series:
+def annotation_json(texts: Column | str) -> Column:
     """extract_annotation() as compact JSON with sorted keys; null if there is none."""
 
     def one(t: str | None) -> str | None:
@@ -257,9 +257,18 @@ def annotation_json(texts: pd.Series) -> pd.Series:
         except ValueError:
             return None
 
-    return texts.map(one)
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
 
+    return run(texts)
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
-def matching_spans_udf(texts: pd.Series, needles: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "end": b} for a, b in matching_spans(t or "", n or "")] for t, n in zip(texts, needles, strict=True)])
+
+def matching_spans_in(texts: Column | str, needles: Column | str) -> Column:
+    """matching_spans() as an array of structs start, end."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in matching_spans(x or "", y or "")] for x, y in zip(t, n, strict=True)])
+
+    return run(texts, needles)

@@ -12,6 +12,7 @@ from quillspan.functions.ids import concept_id, document_id, f1, h16, ratio
 from quillspan.operators import contracts, corpus, decode, gate, graph, kg, metrics, resample, splitting, windows
 from quillspan.plans import fixtures as fx
 from quillspan.plans.fixtures import DUCK, duck_norm
+from quillspan.sources.readers import plain_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -522,7 +523,7 @@ def hash_topn(spark, sf):
     return splitting.hash_top(read(spark, sf, "documents").select("doc_id", "lang"), 50, 42, "doc_id")
 
 
-@query("""SELECT doc_id, source, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY source, lang) AS n FROM (SELECT *, max(n_chars >= 2000) OVER (PARTITION BY source, lang) AS some FROM documents) WHERE n_chars >= 2000 OR NOT some)
+@query("""SELECT doc_id, source, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY source, lang) AS n FROM (SELECT *, max(n_chars >= 2000) OVER (PARTITION BY source, lang) AS has_big FROM documents) WHERE n_chars >= 2000 OR NOT has_big)
 WHERE i IN (round_even((n - 1) / 3, 0), round_even(2 * (n - 1) / 3, 0))""")
 def median_pick(spark, sf):
     return splitting.median_picks(read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars"), ["source", "lang"], "n_chars", "doc_id")
@@ -666,12 +667,9 @@ def conversation_windows(spark, sf):
     return windows.segment_windows(c, "conv_id", "turn", "n", 600, 1)
 
 
-_STRIP = r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>"
-
-
 @query()
 def html_text_strip(spark, sf):
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), _STRIP, " "), r"\s+", " "))
+    t = plain_text(F.coalesce("html", F.lit("")))
     return read(spark, sf, "pages").select("page_id", F.length(t).alias("n"), F.md5(t).alias("text_md5"))
 
 

@@ -38,7 +38,7 @@ def resume(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def tumbling_counts(stream: DataFrame, width: str, late: str) -> DataFrame:
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def first_events(stream: DataFrame, key: list[str]) -> DataFrame:
