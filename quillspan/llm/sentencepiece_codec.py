@@ -3,11 +3,12 @@
 Nodes of the lattice are the borders between characters, edges the pieces. The vocabulary file is a BPE model, so a path
 is not scored by a sum: an edge survives if the piece is compatible with the piece before it, which means that merging
 their characters in rank order ends in just these two. Every border then has one surviving backpointer, and following
-these from the end gives exactly the ids of the library's merges. New edges start at the last borders only, as many as the longest piece
-has characters; ids are committed up to a border as soon as the backpointers from all these meet there.
+these from the end gives exactly the ids of the library's merges. New edges start at the last borders only, as many as
+the longest piece has characters; ids are committed up to a border as soon as the backpointers from all these meet there.
 
-Words (a run of the space sign and what follows up to the next) are such borders beforehand, because no piece crosses
-them; the ids of short ones are remembered up to a bound.
+Some borders are certain beforehand, because no piece crosses them: those before a run of the space sign, at line ends,
+and between a word and such punctuation as no piece has after a letter. The ids of short stretches between these are
+remembered up to a bound.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Characters without a piece become byte
 pieces. Ids decode to the bytes they came from; invalid UTF-8, which only foreign ids can give, becomes U+FFFD.
@@ -16,6 +17,8 @@ pieces. Ids decode to the bytes they came from; invalid UTF-8, which only foreig
 from __future__ import annotations
 
 import re
+import string
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,8 +31,7 @@ from quillspan.llm.common import table, texts, widened, with_columns
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
-_MEMO_WORDS, _MEMO_CHARS, _MEMO_PAIRS = 300_000, 48, 400_000
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+_MEMO_WORDS, _MEMO_CHARS, _MEMO_PAIRS = 200_000, 48, 300_000
 
 
 def model_path(name: str = VOCABULARY) -> str:
@@ -58,6 +60,11 @@ class Vocabulary:
         self.rank = {i: k for k, i in enumerate(sorted(normal, key=lambda i: (-sp.get_score(i), i)))}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
+        #: Length of the longest piece by its last two characters.
+        self.reach: dict[str, int] = {}
+        for p in sorted(self.ids, key=len):
+            if len(p) > 1:
+                self.reach[p[-2:]] = len(p)
         self.spaced = sorted((p for p in self.ids if SPACE in p.lstrip(SPACE)), key=len)
         self.bytes = [p.replace(SPACE, " ").encode("utf-8") for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
@@ -65,6 +72,14 @@ class Vocabulary:
         for i in range(len(self.pieces)):
             if sp.is_control(i):
                 self.bytes[i] = b""
+        before: dict[str, set[str]] = {c: set() for c in string.punctuation}
+        for p in self.ids:
+            for a, b in zip(p, p[1:], strict=False):
+                if b in before and re.match(r"\w", a):
+                    before[b].add(a)
+        #: Punctuation that pieces have after few or no letters and digits, and these few.
+        self.breaks = {c for c, found in before.items() if len(found) <= 3}
+        self.sticky = {a for c in self.breaks for a in before[c]}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.split: dict[int, tuple[int, int]] = {}
         for i in sorted((i for i in normal if len(self.pieces[i]) > 1), key=self.rank.__getitem__):
@@ -130,8 +145,9 @@ class StreamingEncoder:
     def _extend(self, part: str) -> None:
         v, back, at = self.v, self.back, len(self.buf)
         self.buf = buf = self.buf + part
-        n, get, pairs, compatible = v.longest, v.ids.get, v.pairs, v.compatible
+        reach, get, pairs, compatible = v.reach, v.ids.get, v.pairs, v.compatible
         for end in range(at + 1, len(buf) + 1):
+            n = reach.get(buf[end - 2 : end], 1) if end > 1 else 1
             for start in range(end - n if end > n else 0, end):
                 i = get(buf[start:end])
                 if i is None:
@@ -196,23 +212,31 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
-        self.memo: dict[str, bytes] = {}
-        self.unit = _UNIT if not self.v.spaced and not any("\n" in p for p in self.v.ids) else re.compile(r"[\s\S]+")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        sticky, breaks = (re.escape("".join(sorted(x))) for x in (self.v.sticky | {"_"}, self.v.breaks))
+        run = rf"(?:[{sticky}]|[^\w{SPACE}\n])*[^\W{sticky}]*"  # other characters, then letters and digits
+        more = rf"(?:[{sticky}]|[^\w{SPACE}\n{breaks}])"  # other characters that a piece may join to letters
+        whole = self.v.spaced or any("\n" in x for x in self.v.ids)
+        self.unit = re.compile(r"[\s\S]+" if whole else rf"\n|(?=[^\n]){SPACE}*{run}(?:{more}{run})*")
 
     def _encode_unit(self, unit: str) -> bytes:
-        enc = StreamingEncoder(self.v)
-        got = np.array(enc.feed(unit) + enc.close(), "<u4").tobytes()
+        got = self.old.get(unit)
+        if got is None:
+            enc = StreamingEncoder(self.v)
+            ids = enc.feed(unit) + enc.close()
+            got = struct.pack(f"<{len(ids)}I", *ids)
         if len(unit) <= _MEMO_CHARS:
-            if len(self.memo) > _MEMO_WORDS:
-                self.memo.clear()
-            self.memo[unit] = got
+            self.young[unit] = got
         return got
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32."""
         if not text:
             return b""
-        memo, one = self.memo, self._encode_unit
+        if len(self.young) > _MEMO_WORDS:  # units asked for since move on to the next generation
+            self.young, self.old = {}, self.young
+        memo, one = self.young, self._encode_unit
         return b"".join([memo.get(u) or one(u) for u in self.unit.findall(SPACE + text.replace(" ", SPACE))])
 
     def decode(self, ids: Iterable[int]) -> str:
