@@ -13,6 +13,7 @@ Input columns named like an output column are replaced.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,11 +39,14 @@ _MEMO_WORDS = 100_000
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
-def shape(word: bytes) -> bytes:
-    """The word with letters as a or A and digits as 0, each run once."""
-    s = word.translate(_SHAPE)
-    a = np.frombuffer(s, np.uint8)
-    return a[np.r_[True, a[1:] != a[:-1]]].tobytes()
+class Shapes(dict):
+    """Shapes of translated words: each run of a class once, at most 24 of them. Words have few distinct translations."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > _MEMO_WORDS:
+            self.clear()
+        got = self[word] = re.sub(rb"(.)\1+", rb"\1", word, flags=re.DOTALL)[:24]
+        return got
 
 
 def packed(features: np.ndarray) -> bytes:
@@ -60,15 +64,9 @@ class Featurizer:
     """Texts to their features, packed."""
 
     def __init__(self) -> None:
-        self.memo: dict[bytes, tuple[int, bytes]] = {}
+        self.shapes = Shapes()
         self.runs: dict[tuple, int] = {}
 
-    def _word(self, w: bytes) -> tuple[int, bytes]:
-        if len(self.memo) > _MEMO_WORDS:
-            self.memo.clear()
-        got = self.memo[w] = (zlib.crc32(w) & (DIMS - 1), shape(w)[:24])
-        return got
-
     def _run(self, run: tuple) -> int:
         if len(self.runs) > _MEMO_WORDS:
             self.runs.clear()
@@ -76,11 +74,10 @@ class Featurizer:
         return got
 
     def __call__(self, text: str) -> bytes:
-        memo, words = self.memo, text.encode("utf-8").split()
-        pairs = [memo.get(w) or self._word(w) for w in words]
-        shapes = [s for _, s in pairs]
+        raw = text.encode("utf-8")
+        shapes = list(map(self.shapes.__getitem__, raw.translate(_SHAPE).split()))  # white space stays, so words are alike
         runs = {(s,) for s in set(shapes)} | set(zip(shapes, shapes[1:], strict=False)) | set(zip(shapes, shapes[1:], shapes[2:], strict=False))
-        found = {h for h, _ in pairs}
+        found = {zlib.crc32(w) & (DIMS - 1) for w in set(raw.split())}
         known = self.runs
         found.update(known[r] if r in known else self._run(r) for r in runs)
         return packed(np.sort(np.fromiter(found, "<u2", len(found))))
