@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quillspan.llm.common import table, texts, widened, with_columns
+from quillspan.llm.common import table, widened, with_columns
 
 FRAME = 576
 PACKET = 8 * FRAME
@@ -185,6 +185,3 @@ def op5_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     return back.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-__all__ = ["decode_ogg", "encode_ogg", "ogg_bytes", "ogg_crc", "op5_media_ogg", "read_ogg", "texts"]

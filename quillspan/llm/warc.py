@@ -132,7 +132,6 @@ def write_archives(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, archive
     return pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "content binary")
 
 
-_PART = "record_id string, record_type string, page_id long, url string, digest string, refers_to long, stated_bytes long, number int, total long, block binary"
 _PAGE = "page_id long, url string, record_type string, refers_to long, stated_bytes long, digest string, payload binary"
 
 
