@@ -35,26 +35,46 @@ def edge_catalog(relations: DataFrame, concepts: DataFrame) -> DataFrame:
     return g.agg(F.count("*").alias("support"), F.array_sort(F.collect_set("doc_id")).alias("docs"))
 
 
-def segment_words(segments: DataFrame, by: list[str], lang: str) -> DataFrame:
-    """Distinct words of the normalized segments: what names are looked up by."""
-    return segments.select(*by, F.explode(F.array_distinct(F.split(norm("text"), "[^\\p{L}\\p{N}]+"))).alias("word"), lang).filter("word <> ''")
+def names_in_segments(names: DataFrame, segments: DataFrame, by: list[str], lang: str = "lang", block: int = 200_000) -> DataFrame:
+    """by, lang, name of every name that is part of a normalized text of its language, or of any if its own is unknown.
 
+    names: lang, name. Texts are never compared with names one by one: an automaton finds all names of a block in one
+    pass over a text. Blocks have about so many names, which bounds what is broadcast; texts are read once for each.
+    """
+    spark = segments.sparkSession
+    wanted = names.select(lang, "name").distinct().filter("name <> ''")
+    parts = max(1, -(-wanted.count() // block))
+    fields = ", ".join(f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in by)
+    texts = segments.select(*by, F.col(lang).alias("_lang"), norm("text").alias("_text"))
+
+    def search(rows: list[tuple[str, str]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(rows)
 
-def first_word(name) -> F.Column:
-    return F.get(F.filter(F.split(name, "[^\\p{L}\\p{N}]+"), lambda w: w != ""), F.lit(0))
+        def run(frames):
+            import ahocorasick
+            import pandas as pd
+
+            machines: dict = {}
+            for own, name in sent.value:
+                machines.setdefault(own, ahocorasick.Automaton()).add_word(name, name)
+            for m in machines.values():
+                m.make_automaton()
+            for f in frames:
+                out = []
+                for row in f.itertuples(index=False):
+                    for own in dict.fromkeys((row[-2], "unknown")):
+                        if own in machines and row[-1]:
+                            out += [(*row[:-2], own, name) for name in {v for _, v in machines[own].iter(row[-1])}]
+                yield pd.DataFrame(out, columns=[*by, lang, "name"])
 
+        return texts.mapInPandas(run, f"{fields}, `{lang}` string, name string")
 
-def names_in_segments(names: DataFrame, segments: DataFrame, by: list[str], lang: str = "lang") -> DataFrame:
-    """by, lang, name of every name that stands at word borders' first word in some segment of its language and is a
-    part of its text. names: lang, name. Instead of comparing all names with all segments, a name is looked up by its
-    longest word, then verified in the texts that have this word.
-    """
-    words = F.filter(F.split("name", "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    longest = F.element_at(F.array_sort(words, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
-    n = names.select(lang, "name").distinct().withColumn("word", F.when(F.size(words) > 0, longest)).filter("word is not null")
-    s = segments.select(*by, lang, norm("text").alias("_text"))
-    w = s.select(*by, lang, "_text", F.explode(F.array_distinct(F.split("_text", "[^\\p{L}\\p{N}]+"))).alias("word"))
-    return w.join(n, [lang, "word"]).filter(F.contains("_text", F.col("name"))).select(*by, lang, "name").distinct()
+    found = None
+    for k in range(parts):
+        rows = [(r[0], r[1]) for r in wanted.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == k).collect()]
+        one = search(rows)
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
 
 
 def exact_anchors(jobs: DataFrame, catalog: DataFrame, limit: int = 12, per_type: int = 2, min_purity: float = 0.8, min_chars: int = 4, min_chars_zh: int = 2) -> DataFrame:

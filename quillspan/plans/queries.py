@@ -422,7 +422,7 @@ def shard_union_order(spark, sf):
 # --- knowledge graph --------------------------------------------------------------------------------------------------
 
 
-@query(f"{DUCK} SELECT lang, type, name AS canonical_name, count(*) AS mention_count, list(DISTINCT doc_id ORDER BY doc_id) AS source_documents, 'concept_' || substr(sha1(lang || '|' || type || '|' || name), 1, 16) AS concept_id FROM gold GROUP BY lang, type, name".replace("name AS canonical_name", "name AS canonical_name"))
+@query(f"{DUCK} SELECT lang, type, name AS canonical_name, count(*) AS mention_count, list(DISTINCT doc_id ORDER BY doc_id) AS source_documents, 'concept_' || substr(sha1(lang || '|' || type || '|' || name), 1, 16) AS concept_id FROM gold GROUP BY lang, type, name")
 def concept_agg(spark, sf):
     m = fx.mentions(spark, sf)
     c = fx.concepts(m)
@@ -485,7 +485,7 @@ def hash_split(spark, sf):
     return _splits(spark, sf)
 
 
-@query(f"""{DUCK}, sp AS {_SPLIT.replace('(SELECT', '(SELECT', 1)}, tr AS (SELECT DISTINCT lang, type, name FROM gold JOIN sp USING (doc_id) WHERE split = 'train')
+@query(f"""{DUCK}, sp AS {_SPLIT}, tr AS (SELECT DISTINCT lang, type, name FROM gold JOIN sp USING (doc_id) WHERE split = 'train')
 SELECT split, count(*) AS mentions, round(avg(CASE WHEN tr.name IS NULL THEN 0 ELSE 1 END), 4) AS known FROM gold g JOIN sp USING (doc_id) LEFT JOIN tr ON tr.lang = g.lang AND tr.type = g.type AND tr.name = g.name GROUP BY split""")
 def kg_coverage(spark, sf):
     e = fx.entities(fx.mentions(spark, sf), "gold").select("doc_id", "lang", "type", T.norm("text").alias("name")).join(_splits(spark, sf), "doc_id")

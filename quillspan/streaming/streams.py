@@ -7,10 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators.graph import checkpointed
-
-__all__ = ["checkpointed", "events", "first_events", "last_states", "pending", "run_available", "sessions", "tumbling_counts"]
-
 
 def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A table's files as a stream."""

@@ -117,6 +117,9 @@ def test_knowledge_graph(spark):
     seg = spark.createDataFrame([("d1", "en", "A fire  engine met the FIRE")], "doc_id string, lang string, text string")
     got = kg.exact_anchors(seg, cat, min_purity=0.0).orderBy("rank").collect()
     assert [(r["name"], r["support"]) for r in got] == [("fire engine", 1), ("fire", 2)]
+    zh = spark.createDataFrame([("d1", "zh", "EVENT", "火灾"), ("d2", "zh", "EVENT", "火灾"), ("d2", "zh", "ASSET", "灭火器"), ("d1", "zh", "EVENT", "检修")], "doc_id string, lang string, type string, text string")
+    seg = spark.createDataFrame([("d1", "zh", "火灾涉及灭火器"), ("d1", "zh", "检修")], "doc_id string, lang string, text string")
+    assert {r["name"] for r in kg.exact_anchors(seg, kg.anchor_catalog(kg.build_concepts(zh))).collect()} == {"火灾", "灭火器"}
     rows = spark.createDataFrame([("EVENT", "a", 10), ("EVENT", "b", 9), ("ASSET", "c", 1)], "type string, name string, n int").withColumn("g", F.lit(1))
     assert {r["name"] for r in kg.round_robin(rows, ["g"], "type", [F.desc("n")], 2).collect()} == {"a", "c"}
 
