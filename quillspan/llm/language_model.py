@@ -6,9 +6,12 @@ uniform over the known words and one unknown. A customer of a leaf is a token; e
 of its parent.
 
 The corpus is counted over all training documents and falls into shards by word, so a word's customers and tables at all
-levels are in one shard. Gibbs sampling takes customers out and seats them again by the Chinese-restaurant rule, one
-customer of every dish of every restaurant at a time; the shards work in parallel and exchange only the restaurants'
-totals between sweeps. Discounts are estimated from the numbers of dishes with one and two customers. After
+levels are in one shard. Gibbs sampling takes customers out and seats them again by the Chinese-restaurant rule. A sweep
+does so with every customer of every dish of every restaurant once, in ``PARTS`` parts: of a dish with fewer customers one
+at a time, of others a ``PARTS``-th part together. A part is seated one after the other as far as new tables go, by the
+waiting times between them; the rest joins tables as in a Polya urn, where the part's new tables count as there from its
+begin. Before the first sweep all customers come in like this, doubling a dish's customers from one on, so that frequent
+dishes don't start at one table. The shards work in parallel and exchange only the restaurants' totals between sweeps. Discounts are estimated from the numbers of dishes with one and two customers. After
 ``BURN_IN`` sweeps, ``SAMPLES`` seatings are kept, and a token's probability is the mean of their predictions.
 
 Scoring sends each batch of documents to the shards that have its words, as packed counts, and sums what they return.
@@ -37,7 +40,7 @@ from quillspan.llm.common import crc_mod, drop_stash, stash, table, texts
 HELD_OUT_MOD, HELD_OUT_REMAINDER = 7, 2
 LEAVES, MIDS = 1024, 32
 CONCENTRATION = 1.0
-BURN_IN, SAMPLES, STEPS, SEED = 2, 3, 2, 11
+BURN_IN, SAMPLES, PARTS, SEED = 2, 3, 16, 11
 #: Characters of text for one shard, and of a counted chunk.
 SHARD_CHARS, CHUNK_CHARS, MIN_SHARDS = 32_000_000, 12_000_000, 12
 _FIRST = (0, LEAVES, LEAVES + MIDS)  # where each level's restaurants begin among the totals
@@ -110,51 +113,90 @@ class Level:
 
     def __init__(self, word: np.ndarray, ctx: np.ndarray, parent: np.ndarray, c: np.ndarray) -> None:
         self.word, self.ctx, self.parent, self.c = word, ctx, parent, c.astype(np.int64)
-        self.ent, self.size = np.arange(len(c)), self.c.copy()  # at first each dish has one table
-
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.ent, minlength=len(self.c))
-
-    def _draw(self, e: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """Of each entry the table of a customer drawn evenly."""
-        total = np.cumsum(self.size)
-        first = np.searchsorted(self.ent, e)
-        return np.searchsorted(total, total[first] - self.size[first] + (rng.random(len(e)) * self.c[e]).astype(np.int64), side="right")
-
-    def remove(self, e: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """A customer of each of the entries goes. Returns the entries that lose a table."""
+        self.ent, self.size = np.arange(len(c)), self.c.copy()  # each dish has one table until Seating.begin()
+        self.t = np.ones(len(c), np.int64)
+        self.todo: np.ndarray | None = None  # of each table, the customers that the sweep hasn't reached
+
+    def parts(self, parts: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Entries and how many of their customers are next, so that all have been at the end."""
+        e = np.flatnonzero(self.c >= 2)  # a lone customer would take the same seat again
+        n, begin = self.c[e], rng.integers(0, parts, len(e))
+        self.todo = self.size.copy()
+        for k in range(parts):
+            b = (n * (k + 1) + begin) // parts - (n * k + begin) // parts
+            yield e[b > 0], b[b > 0]
+        self.todo = None
+
+    def _drawn(self, e: np.ndarray, b: np.ndarray, pool: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Of each table, how many of the b customers that are drawn evenly, each once, from an entry's pool."""
+        total = np.cumsum(pool)
+        last = np.cumsum(self.t)[e] - 1
+        first = last + 1 - self.t[e]
+        before = total[first] - pool[first]
+        n = total[last] - before
+        each = np.repeat(np.arange(len(e)), b)
+        rank = np.arange(len(each)) - np.repeat(np.cumsum(b) - b, b) + (rng.random(len(e)) * (1 - 1e-6))[each]
+        at = before[each] + np.minimum((rank * (n / b)[each]).astype(np.int64), n[each] - 1)
+        return np.bincount(np.searchsorted(total, at, side="right"), minlength=len(pool))
+
+    def remove(self, e: np.ndarray, b: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """b customers of each of the entries go. Returns the entries that lose tables, and how many."""
         if not len(e):
-            return e
-        j = self._draw(e, rng)
-        self.size[j] -= 1
-        self.c[e] -= 1
-        gone = e[self.size[j] == 0]
-        if len(gone):
-            keep = self.size > 0
-            self.ent, self.size = self.ent[keep], self.size[keep]
-        return gone
-
-    def add(self, e: np.ndarray, weight_new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-        """A customer comes to each of the entries. Returns the entries that get a table."""
+            return e, b
+        taken = self._drawn(e, b, self.size if self.todo is None else self.todo, rng)
+        self.size -= taken
+        self.c[e] -= b
+        keep = self.size > 0
+        lost = np.bincount(self.ent[~keep], minlength=len(self.c))
+        self.t -= lost
+        if self.todo is not None:
+            self.todo = (self.todo - taken)[keep]
+        self.ent, self.size = self.ent[keep], self.size[keep]
+        changed = np.flatnonzero(lost)
+        return changed, lost[changed]
+
+    def add(self, e: np.ndarray, b: np.ndarray, weight_new: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """b customers come to each of the entries. Returns the entries that get tables, and how many."""
         if not len(e):
-            return e
-        weight_old = np.maximum(self.c[e] - d * self.tables()[e], 0.0)
-        new = rng.random(len(e)) * (weight_new + weight_old) < weight_new
-        new |= self.c[e] == 0
-        left = e[~new]
-        chosen = []
-        while len(left):  # a table is taken in proportion to its size less the discount
-            j = self._draw(left, rng)
-            good = rng.random(len(left)) >= d / self.size[j]
-            chosen.append(j[good])
-            left = left[~good]
-        for j in chosen:
-            self.size[j] += 1
-        self.c[e] += 1
-        made = e[new]
-        at = np.searchsorted(self.ent, made, side="right")
-        self.ent, self.size = np.insert(self.ent, at, made), np.insert(self.size, at, 1)
-        return made
+            return e, b
+        n, left, made = self.c[e], b.copy(), np.zeros(len(e), np.int64)
+        act = np.arange(len(e))
+        while len(act):  # to the next new table; until it, the chance of one falls as in a Polya urn: geometric, by a beta
+            old = n[act] - d * (self.t[e[act]] + made[act])
+            chance = np.where(n[act] > 0, rng.beta(weight_new[act], np.where(n[act] > 0, old, 1.0)), 1.0)
+            with np.errstate(divide="ignore"):
+                wait = np.ceil(np.log(1 - rng.random(len(act))) / np.log1p(-np.maximum(chance, 1e-300)))
+            wait = np.clip(wait, 1, left[act] + 1).astype(np.int64)
+            opened = wait <= left[act]
+            step = np.minimum(wait, left[act])
+            n[act] += step
+            left[act] -= step
+            made[act] += opened
+            act = act[left[act] > 0]
+        new = np.repeat(e, made)
+        at = np.searchsorted(self.ent, new, side="right")
+        self.ent, self.size = np.insert(self.ent, at, new), np.insert(self.size, at, 1)
+        if self.todo is not None:
+            self.todo = np.insert(self.todo, at, 0)
+        self.c[e] += b
+        self.t[e] += made
+        join = b - made  # in proportion to the size less the discount, with what joined before
+        several = np.zeros(len(self.c), bool)
+        several[e[join > 1]] = True
+        weight = self.size - d
+        urn = several[self.ent]
+        weight[urn] = rng.standard_gamma(weight[urn])
+        total = np.cumsum(weight)
+        f, each = e[join > 0], np.repeat(np.arange((join > 0).sum()), join[join > 0])
+        last = np.cumsum(self.t)[f] - 1
+        first = last + 1 - self.t[f]
+        before = total[first] - weight[first]
+        j = np.searchsorted(total, before[each] + rng.random(len(each)) * (total[last] - before)[each], side="right")
+        self.size += np.bincount(np.clip(j, first[each], last[each]), minlength=len(self.size))
+        return e[made > 0], made[made > 0]
+
+    def tables(self) -> np.ndarray:
+        return self.t
 
 
 @dataclass
@@ -202,40 +244,45 @@ class Seating:
         few = np.array([int((level.c == k).sum()) for k in (1, 2) for level in self.levels], np.int64)
         return c, t, few
 
-    def _predicted(self, k: int, all_: Totals, d: np.ndarray, vocabulary: int) -> np.ndarray:
+    def _predicted(self, k: int, e: np.ndarray, all_: Totals, d: np.ndarray, vocabulary: int) -> np.ndarray:
         """Probability of the entries' words in their restaurants, at level k."""
         if k == 3:
-            return np.full(1, 1 / (vocabulary + 1))
+            return np.full(len(e), 1 / (vocabulary + 1))
         level = self.levels[k]
-        at = _FIRST[k] + level.ctx
-        above = self._predicted(k + 1, all_, d, vocabulary)[level.parent]
-        return (np.maximum(level.c - d[k] * level.tables(), 0) + (CONCENTRATION + d[k] * all_.t[at]) * above) / (CONCENTRATION + np.maximum(all_.c[at], level.c))
+        at, c = _FIRST[k] + level.ctx[e], level.c[e]
+        above = self._predicted(k + 1, level.parent[e], all_, d, vocabulary)
+        return (np.maximum(c - d[k] * level.t[e], 0) + (CONCENTRATION + d[k] * all_.t[at]) * above) / (CONCENTRATION + np.maximum(all_.c[at], c))
 
-    def _change(self, k: int, entries: np.ndarray, sign: int, all_: Totals, d: np.ndarray, v: int, rng: np.random.Generator) -> None:
-        """Entries at level k, with repetitions, get or lose customers, and levels above what follows from it."""
-        if k == 3 or not len(entries):
+    def _change(self, k: int, below: np.ndarray, n: np.ndarray, sign: int, all_: Totals, d: np.ndarray, v: int, rng: np.random.Generator) -> None:
+        """Entries at level k - 1 got or lost n tables: so do those at level k customers, and levels above what follows."""
+        if k == 3 or not len(below):
             return
         level = self.levels[k]
-        e, left = np.unique(entries, return_counts=True)
-        while len(e):
-            if sign < 0:
-                changed = level.remove(e, rng)
-            else:
-                changed = level.add(e, self._weight(k, e, all_, d, v), d[k], rng)
-            self._change(k + 1, level.parent[changed], sign, all_, d, v, rng)
-            left = left - 1
-            e, left = e[left > 0], left[left > 0]
+        e, at = np.unique(self.levels[k - 1].parent[below], return_inverse=True)
+        b = np.bincount(at, n).astype(np.int64)
+        changed = level.remove(e, b, rng) if sign < 0 else level.add(e, b, self._weight(k, e, all_, d, v), d[k], rng)
+        self._change(k + 1, *changed, sign, all_, d, v, rng)
 
     def _weight(self, k: int, e: np.ndarray, all_: Totals, d: np.ndarray, v: int) -> np.ndarray:
         level = self.levels[k]
-        return (CONCENTRATION + d[k] * all_.t[_FIRST[k] + level.ctx[e]]) * self._predicted(k + 1, all_, d, v)[level.parent[e]]
-
-    def sweep(self, all_: Totals, d: np.ndarray, v: int, rng: np.random.Generator, steps: int = STEPS) -> None:
+        return (CONCENTRATION + d[k] * all_.t[_FIRST[k] + level.ctx[e]]) * self._predicted(k + 1, level.parent[e], all_, d, v)
+
+    def begin(self, all_: Totals, d: np.ndarray, v: int, rng: np.random.Generator) -> None:
+        """From one table for each dish: customers come in anew, from the root's on."""
+        for k in (2, 1, 0):
+            level = self.levels[k]
+            full = level.c.copy()
+            level.c[:] = level.size[:] = 1
+            while len(e := np.flatnonzero(level.c < full)):
+                b = np.minimum(level.c, full - level.c)[e]
+                self._change(k + 1, *level.add(e, b, self._weight(k, e, all_, d, v), d[k], rng), 1, all_, d, v, rng)
+
+    def sweep(self, all_: Totals, d: np.ndarray, v: int, rng: np.random.Generator, parts: int = PARTS) -> None:
+        """Every customer of every entry is seated again once."""
         for k, level in enumerate(self.levels):
-            for _ in range(steps):
-                e = np.flatnonzero(level.c >= 2)  # a lone customer would take the same seat again
-                self._change(k + 1, level.parent[level.remove(e, rng)], -1, all_, d, v, rng)
-                self._change(k + 1, level.parent[level.add(e, self._weight(k, e, all_, d, v), d[k], rng)], 1, all_, d, v, rng)
+            for e, b in level.parts(parts, rng):
+                self._change(k + 1, *level.remove(e, b, rng), -1, all_, d, v, rng)
+                self._change(k + 1, *level.add(e, b, self._weight(k, e, all_, d, v), d[k], rng), 1, all_, d, v, rng)
 
     def keep_sample(self) -> None:
         self.samples.append([(small(level.c), small(level.tables())) for level in self.levels])
@@ -331,13 +378,13 @@ def train(docs: DataFrame, shards: int, text_col: str = "text", burn_in: int = B
     now = _synced(state)
     d, vocabulary, trained = now.discounts(), int(now.t[-1]), int(now.c[:LEAVES].sum())
     kept: list[Totals] = []
-    for k in range(burn_in + samples):
+    for k in range(-1, burn_in + samples):
 
         def step(frames: Iterator[pd.DataFrame], k: int = k, now: Totals = now) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for shard, blob in zip(f["shard"], f["blob"], strict=True):
                     s: Seating = unpacked(blob)
-                    s.sweep(now, d, vocabulary, np.random.default_rng([SEED, shard, k]))
+                    (s.begin if k < 0 else s.sweep)(now, d, vocabulary, np.random.default_rng([SEED, shard, k + 1]))
                     if k >= burn_in:
                         s.keep_sample()
                     yield _state_row(shard, s)
