@@ -2,15 +2,23 @@
 
 Draws come from hashes of (iteration, position), so results don't depend on partitioning. A draw joins the unit at its
 place; per iteration only sums travel on.
+
+``bootstrap_many`` and ``permutation_many`` are for as many iterations as wanted: units with equal counts are one kind, and
+an iteration draws how often each kind is taken (multinomial) or swapped (binomial), which has the same distribution.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.ids import f1, h16
 
+BLOCK = 100  # iterations drawn with one seed
 COUNTS = ["gold", "pred_a", "correct_a", "pred_b", "correct_b"]
 
 
@@ -45,6 +53,44 @@ def permutation(units: DataFrame, order: str, iterations: int, seed: str = "p")
     return _f1s(sums).select("iter", "diff")
 
 
+def _many(units: DataFrame, iterations: int, draw: Callable[[np.ndarray, np.ndarray, int, np.random.Generator], np.ndarray], seed: int) -> DataFrame:
+    """The draws' f1s. Kinds of units reach the driver: units are documents' sums of an evaluation set, not corpus rows."""
+    rows = sorted(tuple(r) for r in units.groupBy(*COUNTS).agg(F.count("*")).collect())
+    kinds, times = np.array([r[:-1] for r in rows], np.int64).reshape(-1, len(COUNTS)), np.array([r[-1] for r in rows], np.int64)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block in f["id"]:
+                n = min(BLOCK, iterations - block * BLOCK)
+                out = pd.DataFrame(draw(kinds, times, n, np.random.default_rng([seed, block])), columns=COUNTS)
+                out.insert(0, "iter", np.arange(n) + block * BLOCK)
+                yield out
+
+    blocks = -(-iterations // BLOCK)
+    sums = units.sparkSession.range(0, blocks, 1, min(blocks, 24)).mapInPandas(run, "iter long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return _f1s(sums)
+
+
+def bootstrap_many(units: DataFrame, iterations: int, seed: int = 11) -> DataFrame:
+    """As bootstrap()."""
+
+    def draw(kinds: np.ndarray, times: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+        if not len(times):
+            return np.zeros((n, len(COUNTS)), np.int64)
+        return rng.multinomial(times.sum(), times / times.sum(), n) @ kinds
+
+    return _many(units, iterations, draw, seed)
+
+
+def permutation_many(units: DataFrame, iterations: int, seed: int = 12) -> DataFrame:
+    """As permutation()."""
+
+    def draw(kinds: np.ndarray, times: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+        return times @ kinds + rng.binomial(times, 0.5, (n, len(times))) @ (kinds[:, [0, 3, 4, 1, 2]] - kinds)
+
+    return _many(units, iterations, draw, seed).select("iter", "diff")
+
+
 def interval(samples: DataFrame, value: str, digits: int = 4) -> DataFrame:
     """Percentile interval of 95 %."""
     return samples.agg(F.round(F.percentile(value, F.lit(0.025)), digits).alias("lower"), F.round(F.percentile(value, F.lit(0.975)), digits).alias("upper"))

@@ -17,6 +17,7 @@ from quillspan.sources.readers import plain_text
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+ITERATIONS = 20_000  # of resampling
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -580,6 +581,20 @@ def permutation_p(spark, sf):
     return resample.p_value(resample.permutation(u, "doc_id", 50), s["d"])
 
 
+@query()
+def bootstrap_ci_full(spark, sf):
+    """With the reference's iterations; bootstrap_ci has those that its SQL can do."""
+    return resample.interval(resample.bootstrap_many(_units(spark, sf), ITERATIONS), "diff")
+
+
+@query()
+def permutation_p_full(spark, sf):
+    """With the reference's iterations; permutation_p has those that its SQL can do."""
+    u = _units(spark, sf)
+    s = u.agg(*(F.sum(c).alias(c) for c in resample.COUNTS)).select((f1("gold", "pred_b", "correct_b", None) - f1("gold", "pred_a", "correct_a", None)).alias("d")).first()
+    return resample.p_value(resample.permutation_many(u, ITERATIONS), s["d"])
+
+
 _SCORED = "SELECT doc_id, quality = 1 AS positive, (('0x' || substr(md5('s:' || doc_id), 1, 4))::INT % 1000 + CASE WHEN quality = 1 THEN 300 ELSE 0 END) / 1300.0 AS score FROM labels"
 
 
