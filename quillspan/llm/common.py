@@ -44,11 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
+def stash(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    by: a column with few values; a filter on it then reads the files of these values only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspan_path = path  # noqa: SLF001
     return out

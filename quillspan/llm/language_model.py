@@ -1,52 +1,64 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Three levels of restaurants: a word's context is the class of the word before it, by its last three bytes (``LEAVES``
-classes); contexts share parents, the classes by the last byte (``MIDS``), and these share the root, whose base is
-uniform over the known words and one unknown. A customer of a leaf is a token; every table of a restaurant is a customer
-of its parent.
-
-The corpus is counted over all training documents and falls into shards by word, so a word's customers and tables at all
-levels are in one shard. Gibbs sampling takes customers out and seats them again by the Chinese-restaurant rule. A sweep
-does so with every customer of every dish of every restaurant once, in ``PARTS`` parts: of a dish with fewer customers one
-at a time, of others a ``PARTS``-th part together. A part is seated one after the other as far as new tables go, by the
-waiting times between them; the rest joins tables as in a Polya urn, where the part's new tables count as there from its
-begin. Before the first sweep all customers come in like this, doubling a dish's customers from one on, so that frequent
-dishes don't start at one table. The shards work in parallel and exchange only the restaurants' totals between sweeps. Discounts are estimated from the numbers of dishes with one and two customers. After
-``BURN_IN`` sweeps, ``SAMPLES`` seatings are kept, and a token's probability is the mean of their predictions.
-
-Scoring sends each batch of documents to the shards that have its words, as packed counts, and sums what they return.
-The number of shards grows with the text, so a shard's memory doesn't.
+A word's restaurant is that of the word before it; all these context restaurants share one parent, whose base is uniform
+over the known words and one unknown. A customer of a context is a token, and every table of a context is a customer of
+the parent. Contexts are the words themselves, so restaurants, dishes and customers all grow with the corpus.
+
+Gibbs sampling goes by turns, and each turn seats all customers anew:
+
+* Contexts, given the parent's distribution: with a gamma variate of each restaurant's total given, its dishes are
+  independent, and the seating of a dish's customers is drawn at once, as its number of tables (see pitman_yor). Contexts
+  are in shards that work in parallel; only sums by word leave a shard.
+* The parent, given all contexts' tables: its seating likewise, then its distribution as gamma variates of its
+  customers. Its words are in shards too, which answer what each context shard asked for.
+* Discount and concentration of both levels, from their likelihood on a grid.
+
+After ``BURN_IN`` turns ``SAMPLES`` of them are kept, and a token's probability is the mean of their predictions.
+
+A dish with one customer has one table always: such entries (most of them) are written once, and only the others go
+through the turns. A context whose word has over ``SPLIT_TOKENS`` tokens is split by the word that follows into parts,
+each a context of some shard; their totals (few, by definition) are exchanged. A word too frequent for one shard so
+never is in one.
+
+Scoring sends each chunk of documents' distinct words and pairs to the shards that have them, and joins their answers by
+chunk. Shards grow in number with the text, not in size. Words of a context are told apart by 40 bits of their hash.
 
 Defined results: a null or empty text is the end token alone. A null id counts as the empty text and so is in training.
-With no training documents every word is unknown and its probability 1. Repeated rows are scored, and learned, each.
+With no training documents every word is unknown and its probability 1. Repeated rows are scored, and learned, each. Of
+the input only the text and the id are read.
 """
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm import pitman_yor as py
 from quillspan.llm.common import crc_mod, drop_stash, stash, table, texts
 
 HELD_OUT_MOD, HELD_OUT_REMAINDER = 7, 2
-LEAVES, MIDS = 1024, 32
-CONCENTRATION = 1.0
-BURN_IN, SAMPLES, PARTS, SEED = 2, 3, 16, 11
-#: Characters of text for one shard, and of a counted chunk.
-SHARD_CHARS, CHUNK_CHARS, MIN_SHARDS = 32_000_000, 12_000_000, 12
-_FIRST = (0, LEAVES, LEAVES + MIDS)  # where each level's restaurants begin among the totals
-RESTAURANTS = LEAVES + MIDS + 1
-_PUNCTUATION = b".,;:!?\"')(-#*$%&|<>"
-_END = xxhash.xxh3_64_intdigest(b"\n")
+BURN_IN, SAMPLES, SEED = 2, 3, 11
+#: Characters of text for one shard of contexts, one of words, and a chunk.
+SHARD_CHARS, WORD_SHARD_CHARS, CHUNK_CHARS, MIN_SHARDS = 24_000_000, 96_000_000, 8_000_000, 6
+#: Contexts with more tokens are split; of more than MOST_SPLIT such, the most frequent.
+SPLIT_TOKENS, MOST_SPLIT = 2_000_000, 65_536
+_KEY = np.uint64(40)
+_START, _END = (xxhash.xxh3_64_intdigest(x) for x in (b"", b"\n"))
+_GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Kinds of rows: what shards keep, what they tell each other, what documents ask and what they get.
+PAIRS, FIXED, MOVING, SUMS, WORDS, CHANCES, ASKED, TEXT, OF_WORDS, OF_PAIRS = range(10)
+_TEXTS = 1 << 61  # dests of TEXT rows, past those of shards
+_ROW = "dest long, kind int, src long, blob binary"
+_TOLD = "dest long, kind int, src long, blob binary, note binary"
 
 
 def packed(x: object) -> bytes:
@@ -62,425 +74,703 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
-def context_class(word: bytes) -> int:
-    s = word.rstrip(_PUNCTUATION)
-    return (xxhash.xxh3_64_intdigest(s[-1:]) % MIDS) * (LEAVES // MIDS) + xxhash.xxh3_64_intdigest(s[-3:]) % (LEAVES // MIDS)
-
-
-_START = context_class(b"")
-
-
-def tokens(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the batch's distinct words, the end token's last; of each token: its word, context and document."""
-    split = [t.encode("utf-8").lower().split() for t in batch]  # bytes.lower() changes A-Z alone
-    words = [w for ws in split for w in ws]
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    hashes = np.array([*map(xxhash.xxh3_64_intdigest, number), _END], np.uint64)
-    classes = np.array([*map(context_class, number), _START], np.int64)
-    sizes = np.array([len(ws) + 1 for ws in split], np.int64)
-    tok = np.full(int(sizes.sum()), len(number), np.int64)
-    inner = np.ones(len(tok), bool)
-    inner[np.cumsum(sizes) - 1] = False
-    tok[inner] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    ctx = np.r_[_START, classes[tok[:-1]]][: len(tok)]
-    return hashes, tok, ctx, np.repeat(np.arange(len(batch)), sizes)
-
-
-def by_shard(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Shards and the numbers of the words that they have."""
-    shard = (hashes % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(shard[part[0]]), part
-
-
-def counted(batch: list[str], shards: int) -> Iterator[tuple[int, bytes]]:
-    """Shard and packed (hashes, pairs of each, contexts, counts)."""
-    hashes, tok, ctx, _ = tokens(batch)
-    keys, n = np.unique(tok * LEAVES + ctx, return_counts=True)
-    word, ctx = keys // LEAVES, keys % LEAVES
-    first = np.searchsorted(word, np.arange(len(hashes) + 1))
-    for s, part in by_shard(hashes, shards):
-        sizes = first[part + 1] - first[part]
-        at = np.repeat(first[part], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield s, packed((hashes[part], small(sizes), ctx[at].astype(np.uint16), small(n[at])))
-
-
-class Level:
-    """A word's entries in the restaurants of one level, and the tables that its customers sit at."""
-
-    def __init__(self, word: np.ndarray, ctx: np.ndarray, parent: np.ndarray, c: np.ndarray) -> None:
-        self.word, self.ctx, self.parent, self.c = word, ctx, parent, c.astype(np.int64)
-        self.ent, self.size = np.arange(len(c)), self.c.copy()  # each dish has one table until Seating.begin()
-        self.t = np.ones(len(c), np.int64)
-        self.todo: np.ndarray | None = None  # of each table, the customers that the sweep hasn't reached
-
-    def parts(self, parts: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Entries and how many of their customers are next, so that all have been at the end."""
-        e = np.flatnonzero(self.c >= 2)  # a lone customer would take the same seat again
-        n, begin = self.c[e], rng.integers(0, parts, len(e))
-        self.todo = self.size.copy()
-        for k in range(parts):
-            b = (n * (k + 1) + begin) // parts - (n * k + begin) // parts
-            yield e[b > 0], b[b > 0]
-        self.todo = None
-
-    def _drawn(self, e: np.ndarray, b: np.ndarray, pool: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """Of each table, how many of the b customers that are drawn evenly, each once, from an entry's pool."""
-        total = np.cumsum(pool)
-        last = np.cumsum(self.t)[e] - 1
-        first = last + 1 - self.t[e]
-        before = total[first] - pool[first]
-        n = total[last] - before
-        each = np.repeat(np.arange(len(e)), b)
-        rank = np.arange(len(each)) - np.repeat(np.cumsum(b) - b, b) + (rng.random(len(e)) * (1 - 1e-6))[each]
-        at = before[each] + np.minimum((rank * (n / b)[each]).astype(np.int64), n[each] - 1)
-        return np.bincount(np.searchsorted(total, at, side="right"), minlength=len(pool))
-
-    def remove(self, e: np.ndarray, b: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """b customers of each of the entries go. Returns the entries that lose tables, and how many."""
-        if not len(e):
-            return e, b
-        taken = self._drawn(e, b, self.size if self.todo is None else self.todo, rng)
-        self.size -= taken
-        self.c[e] -= b
-        keep = self.size > 0
-        lost = np.bincount(self.ent[~keep], minlength=len(self.c))
-        self.t -= lost
-        if self.todo is not None:
-            self.todo = (self.todo - taken)[keep]
-        self.ent, self.size = self.ent[keep], self.size[keep]
-        changed = np.flatnonzero(lost)
-        return changed, lost[changed]
-
-    def add(self, e: np.ndarray, b: np.ndarray, weight_new: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """b customers come to each of the entries. Returns the entries that get tables, and how many."""
-        if not len(e):
-            return e, b
-        n, left, made = self.c[e], b.copy(), np.zeros(len(e), np.int64)
-        act = np.arange(len(e))
-        while len(act):  # to the next new table; until it, the chance of one falls as in a Polya urn: geometric, by a beta
-            old = n[act] - d * (self.t[e[act]] + made[act])
-            chance = np.where(n[act] > 0, rng.beta(weight_new[act], np.where(n[act] > 0, old, 1.0)), 1.0)
-            with np.errstate(divide="ignore"):
-                wait = np.ceil(np.log(1 - rng.random(len(act))) / np.log1p(-np.maximum(chance, 1e-300)))
-            wait = np.clip(wait, 1, left[act] + 1).astype(np.int64)
-            opened = wait <= left[act]
-            step = np.minimum(wait, left[act])
-            n[act] += step
-            left[act] -= step
-            made[act] += opened
-            act = act[left[act] > 0]
-        new = np.repeat(e, made)
-        at = np.searchsorted(self.ent, new, side="right")
-        self.ent, self.size = np.insert(self.ent, at, new), np.insert(self.size, at, 1)
-        if self.todo is not None:
-            self.todo = np.insert(self.todo, at, 0)
-        self.c[e] += b
-        self.t[e] += made
-        join = b - made  # in proportion to the size less the discount, with what joined before
-        several = np.zeros(len(self.c), bool)
-        several[e[join > 1]] = True
-        weight = self.size - d
-        urn = several[self.ent]
-        weight[urn] = rng.standard_gamma(weight[urn])
-        total = np.cumsum(weight)
-        f, each = e[join > 0], np.repeat(np.arange((join > 0).sum()), join[join > 0])
-        last = np.cumsum(self.t)[f] - 1
-        first = last + 1 - self.t[f]
-        before = total[first] - weight[first]
-        j = np.searchsorted(total, before[each] + rng.random(len(each)) * (total[last] - before)[each], side="right")
-        self.size += np.bincount(np.clip(j, first[each], last[each]), minlength=len(self.size))
-        return e[made > 0], made[made > 0]
+def planes(keys: np.ndarray) -> bytes:
+    """The keys' 40 bits, byte by byte over all of them."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
 
-    def tables(self) -> np.ndarray:
-        return self.t
+
+def from_planes(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(5, -1).T
+    return out.view("<u8").ravel()
+
+
+def key_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(24)
+
+
+def histogram(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers, the second below 2**31, and how often each is there."""
+    both, n = np.unique(a.astype(np.int64) << 31 | b.astype(np.int64), return_counts=True)
+    return both >> 31, both & (1 << 31) - 1, n
+
+
+def word_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of keys, so that the order of words is also one by shard."""
+    return ((keys * np.uint64(shards)) >> _KEY).astype(np.int64)
+
+
+def starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def found(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted are, or -1."""
+    if not len(sorted_):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return np.where(sorted_[at] == wanted, at, -1)
+
+
+# --- tokens -------------------------------------------------------------------------------------------------------------
+
+
+def pieces(text: str, chars: int) -> Iterator[bytes]:
+    """The text in lower case, cut at white space into pieces of about so many characters."""
+    data = text.encode("utf-8").lower()  # bytes.lower() changes A-Z alone
+    at = 0
+    while len(data) - at > 2 * chars:
+        cut = at + chars
+        while cut < len(data) and data[cut] not in b" \t\n\x0b\x0c\r":
+            cut += 1
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
 
 
 @dataclass
-class Totals:
-    """Customers and tables of every restaurant, and the dishes with one and with two customers, by level at the start."""
+class Tokens:
+    """Distinct words' hashes, ascending; of each token its word, the word before it (numbers) and its row."""
+
+    hashes: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    row: np.ndarray
+
+    @classmethod
+    def of(cls, held: list[tuple[int, bytes, bytes, bool]]) -> Tokens:
+        """held: row, the word before the piece (none: empty), piece, whether the text ends here."""
+        split = [p.split() for _, _, p, _ in held]
+        number = {b"": 0, b"\n": 1}  # the start and the end of a text
+        for ws in split:
+            number.update(dict.fromkeys(ws, 0))
+        number.update((x[1], 0) for x in held)
+        number = {w: i for i, w in enumerate(number)}
+        hashes = np.array([_START, _END, *map(xxhash.xxh3_64_intdigest, list(number)[2:])], np.uint64)
+        sizes = np.array([len(ws) + end for ws, (*_, end) in zip(split, held, strict=True)], np.int64)
+        word = np.ones(int(sizes.sum()), np.int64)
+        inner = np.ones(len(word), bool)
+        ends = np.array([x[3] for x in held], bool)
+        inner[(np.cumsum(sizes) - 1)[ends]] = False
+        word[inner] = np.fromiter((number[w] for ws in split for w in ws), np.int64, int(inner.sum()))
+        before = np.r_[0, word[:-1]][: len(word)]
+        full = sizes > 0
+        before[starts(sizes)[full]] = [number[x[1]] for x, f in zip(held, full, strict=True) if f]
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return cls(hashes[order], rank[word], rank[before], np.repeat([x[0] for x in held], sizes).astype(np.int64))
+
+
+def chunks(batches: Iterable[pa.RecordBatch], text_col: str, id_col: str | None = None, chars: int = 0) -> Iterator[tuple[list, Tokens]]:
+    """The rows' ids and tokens of chunks of about so many characters. A longer text is in several chunks; with an id
+    column it is in one, and cut there only while it is split into words."""
+    chars = chars or CHUNK_CHARS
+    ids: list = []
+    held: list[tuple[int, bytes, bytes, bool]] = []
+    size = 0
+    for b in batches:
+        own = b.column(id_col).to_pylist() if id_col else [None] * b.num_rows
+        for i, t in zip(own, texts(b, text_col), strict=True):
+            parts = list(pieces(t, chars))
+            before = b""
+            for k, p in enumerate(parts):
+                held.append((len(ids), before, p, k == len(parts) - 1))
+                size += len(p) + 16
+                if k < len(parts) - 1:
+                    before = (p.rsplit(None, 1) or [before])[-1]
+                    if size >= chars and id_col is None:
+                        yield ids, Tokens.of(held)
+                        held, size = [], 0
+            ids.append(i)
+            if size >= chars:
+                yield ids, Tokens.of(held)
+                ids, held, size = [], [], 0
+    if held:
+        yield ids, Tokens.of(held)
+
+
+@dataclass
+class Split:
+    """Hashes of the words whose contexts are split, ascending, and into how many parts."""
+
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The parts' contexts, ascending, and the word that each is of."""
+        word = np.repeat(np.arange(len(self.hashes)), self.parts)
+        part = np.arange(len(word)) - np.repeat(starts(self.parts), self.parts)
+        keys = part_key(self.hashes[word], part)
+        order = np.argsort(keys)
+        return keys[order], word[order]
+
+
+def part_key(hashes: np.ndarray, part: np.ndarray) -> np.ndarray:
+    x = (hashes ^ (part.astype(np.uint64) + np.uint64(1)) * _GOLD) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def contexts(tok: Tokens, split: Split, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts' keys, by shard and key; their shards; of each token its context's number among them."""
+    n = len(tok.hashes)
+    at = found(split.hashes, tok.hashes)
+    parts = np.where(at >= 0, split.parts[at] if len(split.parts) else 1, 1)
+    first = starts(parts)
+    key = np.repeat(tok.hashes, parts)
+    of = np.repeat(np.arange(n), parts)
+    cut = at[of] >= 0
+    key[cut] = part_key(key[cut], (np.arange(len(of)) - first[of])[cut])
+    part = (key_of(tok.hashes)[tok.word] % parts[tok.before].astype(np.uint64)).astype(np.int64)
+    shard = (key % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((key, shard))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return key[order], shard[order], rank[first[tok.before] + part]
+
+
+def _slices(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    cuts = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b > a:
+            yield int(shard[a]), slice(a, b)
+
+
+def pairs_by_shard(tok: Tokens, split: Split, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Iterator]:
+    """Sorted (context, word) of each token with its row; where pairs begin; contexts' pairs; and for each shard its
+    contexts and pairs, as slices."""
+    key, shard, ctx = contexts(tok, split, shards)
+    n, rows = len(tok.hashes), int(tok.row.max()) + 1 if len(tok.row) else 1
+    if len(key) * n * rows >= 1 << 63:
+        raise ValueError("a chunk has too many words and rows")
+    x = np.sort((ctx * n + tok.word) * rows + tok.row)
+    pair, row = x // rows, x % rows
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+    pair = pair[first]
+    sizes = np.bincount(pair // n, minlength=len(key))
+    some = sizes > 0
+    key, shard, sizes = key[some], shard[some], sizes[some]
+    begin = starts(sizes)
+
+    def each() -> Iterator[tuple[int, slice, slice]]:
+        for s, c in _slices(shard):
+            a = int(begin[c.start])
+            yield s, c, slice(a, int(begin[c.stop - 1] + sizes[c.stop - 1]))
+
+    return pair % n, row, np.r_[first, len(row)], key, sizes, each()
+
+
+def _rows(rows: list[tuple], names: tuple[str, ...] = ("dest", "kind", "src", "blob")) -> pa.RecordBatch:
+    types = {"dest": pa.int64(), "kind": pa.int32(), "src": pa.int64(), "blob": pa.binary(), "note": pa.binary()}
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[n]) for c, n in zip(cols, names, strict=True)], names=list(names))
+
+
+def by_dest(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, int, bytes]]]]:
+    """Rows sorted by dest: each dest with its rows (kind, src, blob), which are read as they come."""
+
+    def flat() -> Iterator[tuple[int, int, int, bytes]]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield tuple(b.column(c)[k].as_py() for c in ("dest", "kind", "src", "blob"))
 
-    c: np.ndarray
-    t: np.ndarray
-    once: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    twice: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    from itertools import groupby
 
-    def discounts(self) -> np.ndarray:
-        return np.clip((self.once + 0.5) / (self.once + 2 * self.twice + 1), 0.05, 0.95)
+    for dest, group in groupby(flat(), key=lambda r: r[0]):
+        yield dest, (r[1:] for r in group)
 
 
-class Seating:
-    """A shard's words: their entries at the three levels, and the kept samples' numbers of customers and tables."""
+# --- shards of contexts -------------------------------------------------------------------------------------------------
 
-    def __init__(self, hashes: np.ndarray, word: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> None:
-        self.hashes, self.samples = hashes, []
-        mid_keys, up = np.unique(word * MIDS + ctx // (LEAVES // MIDS), return_inverse=True)
-        mid_word = mid_keys // MIDS
-        self.levels = [
-            Level(word, ctx, up, n),
-            Level(mid_word, mid_keys % MIDS, mid_word, np.bincount(up, minlength=len(mid_keys))),
-            Level(np.arange(len(hashes)), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.bincount(mid_word, minlength=len(hashes))),
-        ]
-        self.count = np.bincount(word, n, minlength=len(hashes)).astype(np.int64)
+
+class Merged:
+    """Sums of (context, key) -> count, put in as they come."""
+
+    MOST = 3_000_000
+
+    def __init__(self) -> None:
+        self.parts, self.pending = [], 0
+
+    def put(self, ctx: np.ndarray, sizes: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((ctx, sizes, keys, n))
+        self.pending += len(keys)
+        if self.pending > self.MOST:
+            self.parts = [self.all()]
+            self.pending = len(self.parts[0][2]) // 2
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        ctx = np.unique(np.concatenate([p[0] for p in self.parts]))
+        if len(ctx) >= 1 << 24:
+            raise ValueError("too many contexts in a shard")
+        both = np.concatenate([np.repeat(np.searchsorted(ctx, c).astype(np.uint64) << _KEY, s) | k for c, s, k, _ in self.parts])
+        n = np.concatenate([p[3] for p in self.parts]).astype(np.int64)
+        self.parts = []
+        order = np.argsort(both)
+        both, n = both[order], n[order]
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        both, n = both[first], np.add.reduceat(n, first)
+        return ctx, np.bincount((both >> _KEY).astype(np.int64), minlength=len(ctx)), both & ((np.uint64(1) << _KEY) - np.uint64(1)), n
+
+
+@dataclass
+class Contexts:
+    """What moves in a shard: the entries of at least two customers, in contexts that have some."""
+
+    at: np.ndarray  # contexts' numbers in the shard
+    once: np.ndarray  # their entries with one customer
+    c: np.ndarray  # their customers
+    sizes: np.ndarray  # their entries here
+    keys: bytes
+    n: np.ndarray  # the entries' customers
+    t: np.ndarray  # and tables
+    group: np.ndarray  # the split word that a context is of, or -1
+    alone: tuple[np.ndarray, np.ndarray]  # other contexts: their customers (as many tables), how often
+    alone_group: tuple[np.ndarray, np.ndarray]  # of split words: which, customers
+    samples: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
-    def of(cls, blobs: Iterable[bytes]) -> Seating:
-        parts = [unpacked(b) for b in blobs]
-        h = np.concatenate([np.repeat(x[0], x[1]) for x in parts])
-        ctx, n = np.concatenate([x[2] for x in parts]).astype(np.int64), np.concatenate([x[3].astype(np.int64) for x in parts])
-        hashes, word = np.unique(h, return_inverse=True)
-        keys, at = np.unique(word * LEAVES + ctx, return_inverse=True)
-        return cls(hashes, keys // LEAVES, keys % LEAVES, np.bincount(at, n).astype(np.int64))
-
-    def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Customers and tables by restaurant; dishes with one customer by level, then those with two."""
-        c, t = np.zeros((2, RESTAURANTS), np.int64)
-        for level, at in zip(self.levels, _FIRST, strict=True):
-            np.add.at(c, at + level.ctx, level.c)
-            np.add.at(t, at + level.ctx, level.tables())
-        few = np.array([int((level.c == k).sum()) for k in (1, 2) for level in self.levels], np.int64)
-        return c, t, few
-
-    def _predicted(self, k: int, e: np.ndarray, all_: Totals, d: np.ndarray, vocabulary: int) -> np.ndarray:
-        """Probability of the entries' words in their restaurants, at level k."""
-        if k == 3:
-            return np.full(len(e), 1 / (vocabulary + 1))
-        level = self.levels[k]
-        at, c = _FIRST[k] + level.ctx[e], level.c[e]
-        above = self._predicted(k + 1, level.parent[e], all_, d, vocabulary)
-        return (np.maximum(c - d[k] * level.t[e], 0) + (CONCENTRATION + d[k] * all_.t[at]) * above) / (CONCENTRATION + np.maximum(all_.c[at], c))
-
-    def _change(self, k: int, below: np.ndarray, n: np.ndarray, sign: int, all_: Totals, d: np.ndarray, v: int, rng: np.random.Generator) -> None:
-        """Entries at level k - 1 got or lost n tables: so do those at level k customers, and levels above what follows."""
-        if k == 3 or not len(below):
-            return
-        level = self.levels[k]
-        e, at = np.unique(self.levels[k - 1].parent[below], return_inverse=True)
-        b = np.bincount(at, n).astype(np.int64)
-        changed = level.remove(e, b, rng) if sign < 0 else level.add(e, b, self._weight(k, e, all_, d, v), d[k], rng)
-        self._change(k + 1, *changed, sign, all_, d, v, rng)
-
-    def _weight(self, k: int, e: np.ndarray, all_: Totals, d: np.ndarray, v: int) -> np.ndarray:
-        level = self.levels[k]
-        return (CONCENTRATION + d[k] * all_.t[_FIRST[k] + level.ctx[e]]) * self._predicted(k + 1, level.parent[e], all_, d, v)
-
-    def begin(self, all_: Totals, d: np.ndarray, v: int, rng: np.random.Generator) -> None:
-        """From one table for each dish: customers come in anew, from the root's on."""
-        for k in (2, 1, 0):
-            level = self.levels[k]
-            full = level.c.copy()
-            level.c[:] = level.size[:] = 1
-            while len(e := np.flatnonzero(level.c < full)):
-                b = np.minimum(level.c, full - level.c)[e]
-                self._change(k + 1, *level.add(e, b, self._weight(k, e, all_, d, v), d[k], rng), 1, all_, d, v, rng)
-
-    def sweep(self, all_: Totals, d: np.ndarray, v: int, rng: np.random.Generator, parts: int = PARTS) -> None:
-        """Every customer of every entry is seated again once."""
-        for k, level in enumerate(self.levels):
-            for e, b in level.parts(parts, rng):
-                self._change(k + 1, *level.remove(e, b, rng), -1, all_, d, v, rng)
-                self._change(k + 1, *level.add(e, b, self._weight(k, e, all_, d, v), d[k], rng), 1, all_, d, v, rng)
-
-    def keep_sample(self) -> None:
-        self.samples.append([(small(level.c), small(level.tables())) for level in self.levels])
-
-
-class Predictor:
-    """Mean predictions of a shard's samples, with each sample's totals."""
-
-    def __init__(self, s: Seating | None, totals: list[Totals], d: np.ndarray, vocabulary: int, trained: int) -> None:
-        self.hashes = s.hashes if s else np.zeros(0, np.uint64)
-        self.base = np.log10((np.r_[s.count, 0] if s else np.zeros(1)) + 1.0) - np.log10(trained + vocabulary + 1.0)
-        self.keys = [level.word * n + level.ctx for level, n in zip(s.levels, (LEAVES, MIDS, 1), strict=True)] if s else [np.zeros(0, np.int64)] * 3
-        self.p: list[list[np.ndarray]] = []
-        self.back: list[list[np.ndarray]] = []
-        for k, all_ in enumerate(totals):
-            back = [(CONCENTRATION + d[j] * all_.t[a:b]) / (CONCENTRATION + all_.c[a:b]) for j, (a, b) in enumerate(zip(_FIRST, (*_FIRST[1:], RESTAURANTS), strict=True))]
-            p: list[np.ndarray] = [np.full(1, 1 / (vocabulary + 1))]
-            for j in (2, 1, 0) if s else ():
-                level, (c, t) = s.levels[j], s.samples[k][j]
-                p.insert(0, np.maximum(c - d[j] * t, 0) / (CONCENTRATION + all_.c[_FIRST[j] + level.ctx]) + back[j][level.ctx] * p[0][level.parent])
-            self.p.append(p if s else [np.zeros(0)] * 3 + p)
-            self.back.append(back)
-
-    def score(self, hashes: np.ndarray, word: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs of a word (a number among hashes) and its context: known, base score and log10 probability."""
-        n = len(self.hashes)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(n - 1, 0))
-        at = np.where(self.hashes[at] == hashes, at, n) if n else np.zeros(len(hashes), np.int64)
-        w = at[word]
-        ctxs = (ctx, ctx // (LEAVES // MIDS), np.zeros(len(ctx), np.int64))
-        found = []
-        for keys, size, c in zip(self.keys, (LEAVES, MIDS, 1), ctxs, strict=True):
-            want = w * size + c
-            i = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-            found.append(np.where((keys[i] == want) & (w < n), i, -1) if len(keys) else np.full(len(w), -1))
-        total = np.zeros(len(w))
-        for p, back in zip(self.p, self.back, strict=True):
-            q = np.full(len(w), p[3][0])
-            for j in (2, 1, 0):
-                q = back[j][ctxs[j]] * q
-                seen = found[j] >= 0
-                q[seen] = p[j][found[j][seen]]
-            total += q
-        return w < n, self.base[w], np.log10(total / len(self.p))
-
-
-def _synced(state: DataFrame) -> Totals:
-    """Sums over all shards: RESTAURANTS + 6 rows reach the driver."""
-    rows = state.select(F.posexplode("totals")).select("pos", F.col("col.c").alias("c"), F.col("col.t").alias("t")).groupBy("pos").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toPandas()
-    c, t = np.zeros((2, RESTAURANTS + 3))
-    c[rows["pos"]], t[rows["pos"]] = rows["c"], rows["t"]
-    return Totals(c[:RESTAURANTS], t[:RESTAURANTS], c[RESTAURANTS:], t[RESTAURANTS:])
-
-
-_STATE = "shard long, totals array<struct<c:long,t:long>>, blob binary"
-
-
-def _state_row(shard: int, s: Seating) -> pd.DataFrame:
-    c, t, few = s.totals()
-    both = zip(np.r_[c, few[:3]].tolist(), np.r_[t, few[3:]].tolist(), strict=True)
-    return pd.DataFrame({"shard": [shard], "totals": [[{"c": x, "t": y} for x, y in both]], "blob": [packed(s)]})
+    def of(cls, m: Merged, split: Split) -> tuple[Contexts, bytes]:
+        """Also the packed entries that never change."""
+        ctx, sizes, keys, n = m.all()
+        part, word = split.keys()
+        at = found(part, ctx)
+        group = np.where(at >= 0, word[at] if len(word) else -1, -1)
+        where = np.repeat(np.arange(len(ctx)), sizes)
+        one = n == 1
+        once, c = np.bincount(where[one], minlength=len(ctx)), np.bincount(where, n, minlength=len(ctx)).astype(np.int64)
+        fixed = packed((ctx, small(c), small(once), planes(keys[one])))
+        moving = sizes - once
+        some = np.flatnonzero(moving)
+        rest = np.flatnonzero((moving == 0) & (group < 0))
+        cut = np.flatnonzero((moving == 0) & (group >= 0))
+        dishes = n[~one]
+        return cls(some, once[some], c[some], moving[some], planes(keys[~one]), dishes, np.ones(len(dishes), np.int64), group[some], np.unique(c[rest], return_counts=True), (group[cut], c[cut])), fixed
+
+    def turn(self, chance: np.ndarray, d: float, a: float, totals: np.ndarray, shard: int, turn: int) -> None:
+        """All seats anew. chance: the parent's probabilities of words(); totals: tables of the split words' contexts."""
+        rng = np.random.default_rng([SEED, turn + 1, shard])
+        tables = self.tables()
+        cut = self.group >= 0
+        tables[cut] = totals[self.group[cut]]
+        y = rng.standard_gamma(a / d + tables)
+        for k in np.flatnonzero(cut):  # all parts of a restaurant have one variate
+            y[k] = np.random.default_rng([SEED, turn + 1, 1 << 40, self.group[k]]).standard_gamma(a / d + tables[k])
+        _, of = np.unique(from_planes(self.keys), return_inverse=True)
+        self.t = py.draw_tables(self.n, d * np.repeat(y, self.sizes) * chance[of], d, rng)
+
+    def tables(self) -> np.ndarray:
+        ends = np.cumsum(self.sizes)
+        total = np.r_[0, np.cumsum(self.t)]
+        return self.once + total[ends] - total[ends - self.sizes]
+
+    def words(self) -> np.ndarray:
+        return np.unique(from_planes(self.keys))
+
+    def sums(self) -> np.ndarray:
+        """Tables by word, in the order of words()."""
+        w, of = np.unique(from_planes(self.keys), return_inverse=True)
+        return np.bincount(of, self.t, minlength=len(w)).astype(np.int64)
+
+    def note(self) -> bytes:
+        """For the driver: likelihoods on the grid, and what parts of split contexts have."""
+        tables, cut = self.tables(), self.group >= 0
+        c, t, n = histogram(self.c[~cut], tables[~cut])
+        rest = py.restaurant_terms(np.r_[c, self.alone[0]], np.r_[t, self.alone[0]], np.r_[n, self.alone[1]])
+        terms = py.table_terms(*histogram(self.n, self.t))
+        g = np.r_[self.group[cut], self.alone_group[0]]
+        ids, of = np.unique(g, return_inverse=True)
+        c, t = (np.bincount(of, np.r_[x[cut], self.alone_group[1]], minlength=len(ids)).astype(np.int64) for x in (self.c, tables))
+        return packed((rest + terms[:, None], ids, c, t))
+
+
+# --- shards of words ----------------------------------------------------------------------------------------------------
 
 
 @dataclass
-class LanguageModel:
-    """Shards of seatings in a table, and the totals that go with their samples."""
+class Words:
+    """A shard of the parent's dishes."""
+
+    hashes: np.ndarray
+    count: np.ndarray  # tokens
+    once: np.ndarray  # customers from entries that never change
+    asks: dict[int, np.ndarray] = field(default_factory=dict)  # of each shard of contexts, the words that it has
+    c: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    t: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    samples: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def turn(self, told: dict[int, np.ndarray], d: float, a: float, tables: float, base: float, shard: int, turn: int) -> np.ndarray:
+        """All seats anew; the words' part of the parent's distribution, as gamma variates."""
+        rng = np.random.default_rng([SEED, turn + 1, shard, 1])
+        c = self.once.copy()
+        for src, sums in told.items():
+            np.add.at(c, self.asks[src], sums)
+        self.c = c
+        y = float(np.random.default_rng([SEED, turn + 1, 1 << 41]).standard_gamma(a / d + max(tables, 1)))
+        self.t = np.zeros(len(c), np.int64)
+        some = c > 0  # all, but for words that another one's 40 bits hide
+        self.t[some] = py.draw_tables(c[some], np.full(int(some.sum()), d * y * base), d, rng)
+        return rng.standard_gamma(np.maximum(c - d * self.t, 0))
+
+    def note(self, total: float) -> bytes:
+        return packed((py.table_terms(*histogram(self.c[self.c > 0], self.t[self.c > 0])), int(self.c.sum()), int(self.t.sum()), total))
 
-    state: DataFrame
+
+# --- training -----------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Sample:
+    """Discount, concentration, and the parent's totals; a kept turn."""
+
+    d: float
+    a: float
+    d_up: float
+    a_up: float
+    c: int
+    t: int
+    split_t: np.ndarray
+
+
+@dataclass
+class LanguageModel:
+    first: DataFrame
+    moving: DataFrame
+    words: DataFrame
     shards: int
-    totals: list[Totals]
-    discounts: np.ndarray
+    word_shards: int
+    split: Split
+    split_c: np.ndarray
+    samples: list[Sample]
     vocabulary: int
     trained: int
 
+    def drop(self) -> None:
+        for df in {id(x): x for x in (self.first, self.moving, self.words)}.values():
+            drop_stash(df)
 
-def train(docs: DataFrame, shards: int, text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES) -> LanguageModel:
+
+def collected_garbage(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()  # noqa: SLF001
+
+
+def _only(df: DataFrame, *kinds: int) -> DataFrame:
+    return df.filter(F.col("kind").isin(*kinds)).select("dest", "kind", "src", "blob")
+
+
+def _met(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames, each dest's together: what is kept first."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.repartition("dest").sortWithinPartitions("dest", "kind", "src")
+
+
+def _notes(df: DataFrame, kind: int) -> list:
+    return [unpacked(r["note"]) for r in df.filter(F.col("kind") == kind).select("note").toLocalIterator()]
+
+
+def _counted(docs: DataFrame, text_col: str, word_shards: int, split_tokens: int) -> DataFrame:
+    """Rows of Words' hashes and counts; note: tokens, words, and the words that may be split."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tok in chunks(batches, text_col):
+            n = np.bincount(tok.word, minlength=len(tok.hashes))
+            h, n = tok.hashes[n > 0], n[n > 0]
+            yield _rows([(r, WORDS, 0, packed((h[s], small(n[s])))) for r, s in _slices(word_shard(key_of(h), word_shards))])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dest, rows in by_dest(batches):
+            parts, size = [], 0
+            for _, _, blob in rows:
+                parts.append(unpacked(blob))
+                size += len(parts[-1][0])
+                if size > 4_000_000:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0]) // 2
+            h, n = _summed(parts)
+            big = n > split_tokens
+            yield _rows([(dest, WORDS, 0, packed((h, small(n))), packed((int(n.sum()), len(h), h[big], n[big])))], ("dest", "kind", "src", "blob", "note"))
+
+    return _met(docs.select(text_col).mapInArrow(count, _ROW)).mapInArrow(merge, _TOLD)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[first], np.add.reduceat(n, first)
+
+
+def train(docs: DataFrame, shards: int, word_shards: int = 2, text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES, split_tokens: int = SPLIT_TOKENS) -> LanguageModel:
     """docs: the training documents."""
+    spark = docs.sparkSession
+    counted = stash(_counted(docs, text_col, word_shards, split_tokens), "lm-words")
+    notes = _notes(counted, WORDS)
+    trained, vocabulary = sum(x[0] for x in notes), sum(x[1] for x in notes)
+    base = 1 / (vocabulary + 1)
+    h, n = (np.concatenate([x[k] for x in notes] or [np.zeros(0, t)]) for k, t in ((2, np.uint64), (3, np.int64)))
+    big = n > trained / MOST_SPLIT  # so there are at most that many
+    h, n = h[big], n[big]
+    split = Split(np.sort(h), -(-n[np.argsort(h)] // split_tokens))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
-        for b in _and_none(batches):
-            if b is not None:
-                held += texts(b, text_col)
-            if held and (b is None or sum(map(len, held)) >= CHUNK_CHARS):
-                s, blobs = zip(*counted(held, shards), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
-                held = []
-
-    def start(g: pd.DataFrame) -> pd.DataFrame:
-        return _state_row(int(g["shard"].iloc[0]), Seating.of(g["blob"]))
-
-    state = stash(docs.select(text_col).mapInArrow(count, "shard long, blob binary").groupBy("shard").applyInPandas(start, _STATE), "lm")
-    now = _synced(state)
-    d, vocabulary, trained = now.discounts(), int(now.t[-1]), int(now.c[:LEAVES].sum())
-    kept: list[Totals] = []
-    for k in range(-1, burn_in + samples):
-
-        def step(frames: Iterator[pd.DataFrame], k: int = k, now: Totals = now) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for shard, blob in zip(f["shard"], f["blob"], strict=True):
-                    s: Seating = unpacked(blob)
-                    (s.begin if k < 0 else s.sweep)(now, d, vocabulary, np.random.default_rng([SEED, shard, k + 1]))
-                    if k >= burn_in:
-                        s.keep_sample()
-                    yield _state_row(shard, s)
-
-        old, state = state, stash(state.mapInPandas(step, _STATE), "lm")
-        drop_stash(old)
-        now = _synced(state)
-        if k >= burn_in:
-            kept.append(now)
-    return LanguageModel(state, shards, kept, d, vocabulary, trained)
-
-
-def _and_none(items: Iterable) -> Iterator:
-    yield from items
-    yield None
+        for _, tok in chunks(batches, text_col):
+            word, _, first, ctx, sizes, each = pairs_by_shard(tok, split, shards)
+            keys, n = key_of(tok.hashes)[word], np.diff(first)
+            yield _rows([(s, PAIRS, 0, packed((ctx[c], small(sizes[c]), planes(keys[p]), small(n[p])))) for s, c, p in each])
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dest, rows in by_dest(batches):
+            m = Merged()
+            for _, _, blob in rows:
+                ctx, sizes, keys, n = unpacked(blob)
+                m.put(ctx, sizes.astype(np.int64), from_planes(keys), n)
+            now, fixed = Contexts.of(m, split)
+            del m
+            lone, times = np.unique(from_planes(unpacked(fixed)[3]), return_counts=True)
+            words, sums = now.words(), now.sums()
+            out: dict[int, list] = {}
+            for k, (w, v) in enumerate(((words, sums), (lone, times))):
+                for r, s in _slices(word_shard(w, word_shards)):
+                    out.setdefault(r, [None, None])[k] = (planes(w[s]), small(v[s]))
+            yield _rows([(dest, FIXED, 0, fixed, None), (dest, MOVING, 0, packed(now), now.note())] + [(r, SUMS, dest, packed(x), None) for r, x in out.items()], ("dest", "kind", "src", "blob", "note"))
+
+    low = stash(_met(docs.select(text_col).mapInArrow(count, _ROW)).mapInArrow(seat, _TOLD), "lm-contexts", "kind")
+    collected_garbage(spark)
+    first_low = low
+    state = Sample(0.5, 1.0, 0.5, 1.0, 0, vocabulary, np.ones(len(split.hashes)))
+    rng = np.random.default_rng(SEED)
+    split_c = np.zeros(len(split.hashes))
+
+    def learn_low(df: DataFrame) -> None:
+        nonlocal split_c
+        grid, c, t = np.zeros((len(py.DISCOUNTS), len(py.CONCENTRATIONS))), *np.zeros((2, len(split.hashes)))
+        for g, ids, cc, tt in _notes(df, MOVING):
+            grid += g
+            c[ids] += cc
+            t[ids] += tt
+        split_c, state.split_t = c, np.maximum(t, 1)
+        grid += py.restaurant_terms(c, state.split_t, np.ones(len(c)))
+        state.d, state.a = py.draw_hyperparameters(grid, rng)
+
+    learn_low(low)
+    old_words, kept = counted, []
+    for turn in range(-1, burn_in + samples):
+        keep = turn >= burn_in
+        if turn >= 0:
+            low_args = (state.d, state.a, state.split_t, total, spare * base)  # noqa: F821
+
+            def lower(batches: Iterator[pa.RecordBatch], args: tuple = low_args, turn: int = turn, keep: bool = keep) -> Iterator[pa.RecordBatch]:
+                d, a, totals, whole, rest = args
+                for dest, rows in by_dest(batches):
+                    now, chances = None, []
+                    for kind, _, blob in rows:
+                        if kind == MOVING:
+                            now = unpacked(blob)
+                        else:
+                            chances.append(unpacked(blob))
+                    chance = (np.concatenate([*chances, np.zeros(0, np.float32)]).astype(np.float64) + rest) / whole
+                    now.turn(chance, d, a, totals, dest, turn)
+                    if keep:
+                        now.samples.append(small(now.t))
+                    sums, r = now.sums(), word_shard(now.words(), word_shards)
+                    yield _rows([(dest, MOVING, 0, packed(now), now.note())] + [(k, SUMS, dest, packed(small(sums[s])), None) for k, s in _slices(r)], ("dest", "kind", "src", "blob", "note"))
+
+            new = stash(_met(_only(low, MOVING), _only(old_words, CHANCES)).mapInArrow(lower, _TOLD), "lm-contexts", "kind")
+            if low is not first_low:
+                drop_stash(low)
+            low = new
+            learn_low(low)
+
+        def upper(batches: Iterator[pa.RecordBatch], args: tuple = (state.d_up, state.a_up, state.t), turn: int = turn, keep: bool = keep) -> Iterator[pa.RecordBatch]:
+            d, a, tables = args
+            for dest, rows in by_dest(batches):
+                now, told = None, {}
+                for kind, src, blob in rows:
+                    if kind == WORDS:
+                        now = unpacked(blob)
+                    else:
+                        told[src] = blob
+                if turn < 0:
+                    h, n = now if now else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    now = Words(h, n, np.zeros(len(h), np.int64))
+                    keys = key_of(h)
+                    for src, blob in told.items():
+                        moving, lone = unpacked(blob)
+                        if lone:
+                            np.add.at(now.once, np.searchsorted(keys, from_planes(lone[0])), lone[1])
+                        if moving:
+                            now.asks[src] = np.searchsorted(keys, from_planes(moving[0])).astype(np.int32)
+                            told[src] = moving[1]
+                    told = {s: x for s, x in told.items() if s in now.asks}
+                else:
+                    told = {s: unpacked(x) for s, x in told.items()}
+                gammas = now.turn(told, d, a, tables, base, dest, turn)
+                if keep:
+                    now.samples.append((small(now.c), small(now.t)))
+                yield _rows([(dest, WORDS, 0, packed(now), now.note(float(gammas.sum())))] + [(s, CHANCES, dest, packed(gammas[at].astype(np.float32)), None) for s, at in now.asks.items()], ("dest", "kind", "src", "blob", "note"))
+
+        new = stash(_met(_only(old_words, WORDS), _only(low, SUMS)).mapInArrow(upper, _TOLD), "lm-words", "kind")
+        drop_stash(old_words)
+        old_words = new
+        collected_garbage(spark)
+        notes = _notes(new, WORDS)
+        state.c, state.t, total = sum(x[1] for x in notes), sum(x[2] for x in notes), sum(x[3] for x in notes)
+        grid = sum((x[0] for x in notes), np.zeros(len(py.DISCOUNTS)))[:, None] + py.restaurant_terms(*(np.array([max(x, 1)]) for x in (state.c, state.t)), np.ones(1))
+        state.d_up, state.a_up = py.draw_hyperparameters(grid, rng)
+        spare = float(rng.standard_gamma(state.a_up + state.d_up * state.t))
+        total += spare
+        if keep:
+            kept.append(Sample(state.d, state.a, state.d_up, state.a_up, state.c, state.t, state.split_t.copy()))
+    return LanguageModel(first_low, low, old_words, shards, word_shards, split, split_c, kept, vocabulary, trained)
+
+
+# --- scoring ------------------------------------------------------------------------------------------------------------
+
+
+class WordAnswers:
+    """Of a shard of words: what documents ask."""
+
+    def __init__(self, w: Words, model: tuple) -> None:
+        samples, base = model
+        self.hashes = w.hashes
+        self.count = np.r_[w.count, 0]
+        self.p = np.stack([np.r_[np.maximum(c - s.d_up * t, 0) + (s.a_up + s.d_up * s.t) * base, (s.a_up + s.d_up * s.t) * base] / (s.a_up + s.c) for (c, t), s in zip(w.samples, samples, strict=True)]) if w.samples else np.zeros((0, len(self.count)))
+
+    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens in training, and the parent's probability by sample."""
+        at = found(self.hashes, hashes)
+        return self.count[at], self.p[:, at]
+
+
+class PairAnswers:
+    """Of a shard of contexts: what documents ask."""
+
+    def __init__(self, fixed: bytes, moving: Contexts | None, split: Split, split_c: np.ndarray, split_t: list[np.ndarray]) -> None:
+        self.ctx, c, once, lone = unpacked(fixed)
+        where = np.repeat(np.arange(len(self.ctx), dtype=np.uint64) << _KEY, once)
+        self.once = where | from_planes(lone)
+        m = moving
+        self.moving = np.repeat(m.at.astype(np.uint64) << _KEY, m.sizes) | from_planes(m.keys)
+        self.n, self.samples = m.n, m.samples
+        self.c = c.astype(np.int64)
+        self.t = []
+        part, word = split.keys()
+        at = found(part, self.ctx)
+        cut = at >= 0
+        ends = np.cumsum(m.sizes)
+        for k, s in enumerate(m.samples):
+            t = once.astype(np.int64)
+            total = np.r_[0, np.cumsum(s, dtype=np.int64)]
+            t[m.at] += total[ends] - total[ends - m.sizes]
+            t[cut] = split_t[k][word[at[cut]]]
+            self.t.append(t)
+        self.c[cut] = split_c[word[at[cut]]]
+
+    def get(self, ctx: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple:
+        """Contexts' customers and tables by sample; pairs' likewise. All 0 if unseen."""
+        at = found(self.ctx, ctx)
+        want = np.repeat(np.maximum(at, 0).astype(np.uint64) << _KEY, sizes) | keys
+        known = np.repeat(at >= 0, sizes)
+        n = ((found(self.once, want) >= 0) & known).astype(np.int64)
+        i = found(self.moving, want)
+        more = (i >= 0) & known
+        n[more] = self.n[i[more]]
+        t = []
+        for s in self.samples:
+            x = np.minimum(n, 1)
+            x[more] = s[i[more]]
+            t.append(small(x))
+        return small(np.where(at >= 0, self.c[at], 0)), [small(np.where(at >= 0, x[at], 0)) for x in self.t], small(n), t
 
 
 def score(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The id column, n_tokens, n_known, base_score, score and perplexity of every document."""
-    shards = model.shards
-    id_type = docs.schema[id_col].dataType.simpleString()
+    shards, word_shards, split = model.shards, model.word_shards, model.split
+    kept, trained, vocabulary, split_c = model.samples, model.trained, model.vocabulary, model.split_c
+    id_type = docs.schema[id_col].dataType
+    chars = CHUNK_CHARS
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: a batch's ids and numbers of tokens. Kind 2: what one shard has to score of it."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards of words are below 0. src: the chunk."""
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 32
-        for k, b in enumerate(batches):
-            if not b.num_rows:
-                continue
-            hashes, tok, ctx, doc = tokens(texts(b, text_col))
-            keys, n = np.unique((tok * b.num_rows + doc) * LEAVES + ctx, return_counts=True)
-            word, doc, ctx = keys // (LEAVES * b.num_rows), keys // LEAVES % b.num_rows, keys % LEAVES
-            first = np.searchsorted(word, np.arange(len(hashes) + 1))
-            sizes = np.zeros(b.num_rows, np.int64)
-            np.add.at(sizes, doc, n)
-            rows = [(-1 - part - k, part + k, 0, packed((b.column(id_col).to_pylist(), sizes)))]
-            for s, own in by_shard(hashes, shards):
-                each = first[own + 1] - first[own]
-                at = np.repeat(first[own], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                rows.append((s, part + k, 2, packed((b.num_rows, hashes[own], small(each), small(doc[at]), ctx[at].astype(np.uint16), small(n[at])))))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["shard", "batch", "kind", "blob"])
+        for k, (ids, tok) in enumerate(chunks(batches, text_col, id_col, chars)):
+            word, row, first, ctx, sizes, each = pairs_by_shard(tok, split, shards)
+            keys = key_of(tok.hashes)
+            # A task's rows leave its worker as they are made, so the chunk's arrays are in memory once.
+            yield _rows([(_TEXTS + part + k, TEXT, part + k, packed((ids, small(np.bincount(tok.row, minlength=len(ids))), small(word), small(sizes), small(np.diff(first)), small(row))))])
+            yield _rows([(-1 - r, ASKED, part + k, packed(tok.hashes[s])) for r, s in _slices(word_shard(keys, word_shards))])
+            yield _rows([(s, ASKED, part + k, packed((ctx[c], small(sizes[c]), planes(keys[word[p]])))) for s, c, p in each])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard and kind; kind 1 is the shard's state. One state is held at a time."""
-        at, predict = None, None
-        for b in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for shard, batch, kind, blob in zip(*(b.column(c).to_pylist() for c in ("shard", "batch", "kind", "blob")), strict=True):
-                if kind == 0:
-                    out.append((batch, 0, blob))
-                    continue
-                if shard != at:
-                    at, predict = shard, Predictor(unpacked(blob) if kind == 1 else None, model_totals, d, vocabulary, trained)
-                if kind == 2:
-                    rows, hashes, each, doc, ctx, n = unpacked(blob)
-                    known, base, log_p = predict.score(hashes, np.repeat(np.arange(len(hashes)), each), ctx.astype(np.int64))
-                    sums = [np.bincount(doc, n * x, minlength=rows) for x in (known, base, log_p)]
-                    out.append((batch, 1, packed(sums)))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["batch", "kind", "blob"])
+        for dest, rows in by_dest(batches):
+            have, fixed = None, None
+            for kind, src, blob in rows:
+                if kind == TEXT:
+                    yield _rows([(src, TEXT, src, blob)])
+                elif kind == FIXED:
+                    fixed = blob
+                elif kind == MOVING:
+                    have = PairAnswers(fixed, unpacked(blob), split, split_c, [s.split_t for s in kept])
+                    fixed = None
+                elif kind == WORDS:
+                    have = WordAnswers(unpacked(blob), (kept, 1 / (vocabulary + 1)))
+                elif dest < 0:
+                    n, p = have.get(unpacked(blob)) if have else (np.zeros(len(unpacked(blob)), np.int64), None)
+                    yield _rows([(src, OF_WORDS, -1 - dest, packed((small(n), None if p is None else p.astype(np.float32))))])
+                else:
+                    ctx, sizes, keys = unpacked(blob)
+                    zero = np.zeros(len(ctx), np.uint8), [np.zeros(len(ctx), np.uint8)] * len(kept), np.zeros(len(keys) // 5, np.uint8), [np.zeros(len(keys) // 5, np.uint8)] * len(kept)
+                    yield _rows([(src, OF_PAIRS, dest, packed(have.get(ctx, sizes, from_planes(keys)) if have else zero))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by batch and kind."""
-        head, sums = None, None
-
-        def done() -> pa.RecordBatch:
-            ids, sizes = head
-            known, base, log_p = sums
-            return pa.RecordBatch.from_arrays([pa.array(ids, docs_type), pa.array(sizes), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(log_p), pa.array(10.0 ** (-log_p / sizes))], names=[id_col, "n_tokens", "n_known", "base_score", "score", "perplexity"])
-
-        for b in batches:
-            for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if kind == 0:
-                    if head is not None:
-                        yield done()
-                    head, sums = unpacked(blob), np.zeros((3, 1))
+        for _, rows in by_dest(batches):
+            head, words, pairs = None, [], []
+            for kind, _, blob in rows:
+                if kind == TEXT:
+                    head = unpacked(blob)
                 else:
-                    sums = sums + np.array(unpacked(blob))
-        if head is not None:
-            yield done()
-
-    model_totals, d, vocabulary, trained = model.totals, model.discounts, model.vocabulary, model.trained
-    docs_type = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-    states = model.state.select("shard", F.lit(-1).cast("long").alias("batch"), F.lit(1).alias("kind"), "blob")
-    sent = docs.select(id_col, text_col).mapInArrow(send, "shard long, batch long, kind int, blob binary")
-    told = sent.unionByName(states).repartition("shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(answer, "batch long, kind int, blob binary")
-    return told.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(gather, f"`{id_col}` {id_type}, n_tokens long, n_known long, base_score double, score double, perplexity double")
+                    (words if kind == OF_WORDS else pairs).append(unpacked(blob))
+            ids, n_tokens, word, sizes, times, row = head
+            n_tokens = n_tokens.astype(np.int64)
+            count = np.concatenate([x[0] for x in words]).astype(np.int64)
+            total = np.zeros(len(word))
+            for k, s in enumerate(kept):
+                unseen = (s.a_up + s.d_up * s.t) / (vocabulary + 1) / (s.a_up + s.c)
+                up = np.concatenate([np.full(len(n), unseen) if p is None else p[k] for n, p in words])[word].astype(np.float64)
+                c, t = (np.repeat(np.concatenate(x).astype(np.float64), sizes) for x in ([x[0] for x in pairs], [x[1][k] for x in pairs]))
+                n, own = (np.concatenate(x).astype(np.float64) for x in ([x[2] for x in pairs], [x[3][k] for x in pairs]))
+                p = (np.maximum(n - s.d * own, 0) + (s.a + s.d * t) * up) / (s.a + c)
+                total += np.where(c > 0, p, up)
+            log_p = np.log10(total / len(kept))
+            base = np.log10(count + 1.0) - np.log10(trained + vocabulary + 1.0)
+            each = np.repeat(np.arange(len(word)), times)
+            known, base, log_p = (np.bincount(row, x[each], minlength=len(ids)) for x in ((count > 0)[word].astype(np.float64), base[word], log_p))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(n_tokens), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(log_p), pa.array(10.0 ** (-log_p / n_tokens))], names=[id_col, "n_tokens", "n_known", "base_score", "score", "perplexity"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_id = to_arrow_type(id_type)
+    words = _only(model.words, WORDS).withColumn("dest", -1 - F.col("dest"))
+    asked = docs.select(id_col, text_col).mapInArrow(ask, _ROW)
+    answers = _met(asked, _only(model.first, FIXED), _only(model.moving, MOVING), words).mapInArrow(answer, _ROW)
+    return _met(answers).mapInArrow(gather, f"`{id_col}` {id_type.simpleString()}, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score by the model of six in seven documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    model = train(docs.filter(crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT_REMAINDER), max(MIN_SHARDS, -(-chars // SHARD_CHARS)))
-    out = score(docs, model)
+    at_least = lambda size: max(MIN_SHARDS, -(-chars // size))
+    model = train(docs.filter(crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT_REMAINDER), at_least(SHARD_CHARS), at_least(WORD_SHARD_CHARS))
+    out = stash(score(docs, model), "lm-scores")
+    model.drop()
     held_out = crc_mod("doc_id", HELD_OUT_MOD) == HELD_OUT_REMAINDER
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.trained).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -171,75 +171,6 @@ def test_language_model(docs, none):
     assert all(r["score"] == pytest.approx(0) for r in language_model.score(docs, empty).collect())
 
 
-def test_language_model_reseats_every_customer():
-    """The number of tables of a dish of so many customers, against its exact distribution and from one table on."""
-    d, w, rng = 0.6, 3.0, np.random.default_rng(5)
-    for n in (9, 300):
-        row = np.array([0.0, 1.0])  # of seatings of k customers by tables, scaled
-        for k in range(1, n):
-            more = np.zeros(k + 2)
-            more[:-1] += row * np.maximum(k - d * np.arange(k + 1), 0)
-            more[1:] += row * w
-            row = more / more.max()
-        exact = (row * np.arange(n + 1)).sum() / row.sum()
-        level = language_model.Level(*np.zeros((3, 50), np.int64), np.full(50, n))
-        seen = []
-        for k in range(60):
-            reseated = np.zeros(50, np.int64)
-            for e, b in level.parts(language_model.PARTS, rng):
-                level.remove(e, b, rng)
-                level.add(e, b, np.full(len(e), w), d, rng)
-                reseated[e] += b
-                assert (np.bincount(level.ent, minlength=50) == level.t).all() and (np.bincount(level.ent, level.size) == level.c).all()
-            assert (reseated == n).all() and (level.c == n).all()
-            seen.append(level.t.mean())
-        assert np.mean(seen[10:]) == pytest.approx(exact, rel=0.03)
-
-
-def test_language_model_mixes_frequent_words():
-    text = ["a b " * 4000, *(f"a c{k} b" for k in range(400))]
-    s = language_model.Seating.of([b for _, b in language_model.counted(text, 1)])
-
-    def now():
-        c, t, few = s.totals()
-        return language_model.Totals(c.astype(float), t.astype(float), few[:3].astype(float), few[3:].astype(float))
-
-    d, v, seen = now().discounts(), len(s.hashes), []
-    leaf = s.levels[0]
-    for k in range(21):
-        (s.sweep if k else s.begin)(now(), d, v, np.random.default_rng(k))
-        for low, up in zip(s.levels, s.levels[1:], strict=False):
-            assert (np.bincount(low.parent, low.t, minlength=len(up.c)) == up.c).all()
-        seen.append(leaf.t[leaf.c > 3000].sum())
-    assert np.mean(seen[3:6]) > 20  # two dishes; as many tables as ten reseated customers could open
-    assert np.mean(seen[3:6]) == pytest.approx(np.mean(seen[10:]), rel=0.4)  # and as later
-
-
-def test_language_model_is_a_distribution():
-    text = ["the cat sat on the mat the cat ran", "a dog sat on a mat", "the dog ran"] * 20
-    s = language_model.Seating.of([b for _, b in language_model.counted(text, 1)])
-
-    def totals():
-        c, t, few = s.totals()
-        return language_model.Totals(c.astype(float), t.astype(float), few[:3].astype(float), few[3:].astype(float))
-    now = totals()
-    d, v = now.discounts(), len(s.hashes)
-    kept = []
-    for k in range(4):
-        s.sweep(now, d, v, np.random.default_rng(k))
-        for child, parent in zip(s.levels, s.levels[1:], strict=False):
-            assert (np.bincount(child.parent, child.tables(), minlength=len(parent.c)) == parent.c).all()
-        assert all((np.bincount(x.ent, x.size, minlength=len(x.c)) == x.c).all() for x in s.levels)
-        now = totals()
-        s.keep_sample()
-        kept.append(now)
-    p = language_model.Predictor(s, kept, d, v, int(s.count.sum()))
-    for ctx in (language_model._START, language_model.context_class(b"the"), 17):
-        words = np.arange(v + 1)
-        _, _, lp = p.score(np.r_[s.hashes, np.uint64(12345)], words, np.full(v + 1, ctx))
-        assert (10.0**lp).sum() == pytest.approx(1, abs=1e-9)
-
-
 def test_ogg(docs, none):
     def crc(data):
         r = 0
