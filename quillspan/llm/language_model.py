@@ -49,6 +49,8 @@ HELD_OUT_MOD, HELD_OUT_REMAINDER = 7, 2
 BURN_IN, SAMPLES, SEED = 2, 3, 11
 #: Characters of text for one shard of contexts, one of words, and a chunk.
 SHARD_CHARS, WORD_SHARD_CHARS, CHUNK_CHARS, MIN_SHARDS = 24_000_000, 96_000_000, 8_000_000, 6
+#: Documents are scored in so many passes, each with its shuffles removed before the next.
+PASSES = 3
 #: Contexts with more tokens are split; of more than MOST_SPLIT such, the most frequent.
 SPLIT_TOKENS, MOST_SPLIT = 2_000_000, 65_536
 _KEY = np.uint64(40)
@@ -770,7 +772,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     at_least = lambda size: max(MIN_SHARDS, -(-chars // size))
     model = train(docs.filter(crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT_REMAINDER), at_least(SHARD_CHARS), at_least(WORD_SHARD_CHARS))
-    out = stash(score(docs, model), "lm-scores")
+    out = None
+    for k in range(PASSES):
+        own = stash(score(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PASSES)) == k), model), "lm-scores")
+        out = out.unionByName(own) if out else own
+        collected_garbage(spark)
     model.drop()
     held_out = crc_mod("doc_id", HELD_OUT_MOD) == HELD_OUT_REMAINDER
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.trained).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
