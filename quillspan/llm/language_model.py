@@ -32,12 +32,12 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +54,9 @@ PASSES = 3
 #: Contexts with more tokens are split; of more than MOST_SPLIT such, the most frequent.
 SPLIT_TOKENS, MOST_SPLIT = 2_000_000, 65_536
 _KEY = np.uint64(40)
-_START, _END = (xxhash.xxh3_64_intdigest(x) for x in (b"", b"\n"))
+_START, _END = np.uint64(0x5F3D2A1B9C8E7D61), np.uint64(0xA7C9E1F30B4D6825)
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Kinds of rows: what shards keep, what they tell each other, what documents ask and what they get.
 PAIRS, FIXED, MOVING, SUMS, WORDS, CHANCES, ASKED, TEXT, OF_WORDS, OF_PAIRS = range(10)
@@ -130,6 +132,34 @@ def pieces(text: str, chars: int) -> Iterator[bytes]:
     yield data[at:]
 
 
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and their hashes: eight bytes at a time, all words at once."""
+    data = data + b" " * 8
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = edges if space[0] else np.r_[0, edges]
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the eight bytes from every byte on
+
+    def block(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        over = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+        return eight[at] << over >> over
+
+    h = _mixed(block(first, size) ^ size.astype(np.uint64) * _GOLD)
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more):
+        h[more] = _mixed(h[more] * _MIX ^ block(first[more] + at, size[more] - at))
+        at += 8
+        more = more[size[more] > at]
+    return first, h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    x = (x ^ (x >> np.uint64(27))) * _GOLD
+    return x ^ (x >> np.uint64(32))
+
+
 @dataclass
 class Tokens:
     """Distinct words' hashes, ascending; of each token its word, the word before it (numbers) and its row."""
@@ -140,50 +170,48 @@ class Tokens:
     row: np.ndarray
 
     @classmethod
-    def of(cls, held: list[tuple[int, bytes, bytes, bool]]) -> Tokens:
-        """held: row, the word before the piece (none: empty), piece, whether the text ends here."""
-        split = [p.split() for _, _, p, _ in held]
-        number = {b"": 0, b"\n": 1}  # the start and the end of a text
-        for ws in split:
-            number.update(dict.fromkeys(ws, 0))
-        number.update((x[1], 0) for x in held)
-        number = {w: i for i, w in enumerate(number)}
-        hashes = np.array([_START, _END, *map(xxhash.xxh3_64_intdigest, list(number)[2:])], np.uint64)
-        sizes = np.array([len(ws) + end for ws, (*_, end) in zip(split, held, strict=True)], np.int64)
-        word = np.ones(int(sizes.sum()), np.int64)
-        inner = np.ones(len(word), bool)
+    def of(cls, held: list[tuple[int, int, bytes, bool]]) -> Tokens:
+        """held: row, the hash of the word before the piece, the piece, whether the text ends here."""
+        first, h = words_of(b" ".join(x[2] for x in held))
+        begin = starts(np.array([len(x[2]) + 1 for x in held], np.int64))
+        n = np.diff(np.r_[np.searchsorted(first, begin), len(first)])
         ends = np.array([x[3] for x in held], bool)
-        inner[(np.cumsum(sizes) - 1)[ends]] = False
-        word[inner] = np.fromiter((number[w] for ws in split for w in ws), np.int64, int(inner.sum()))
+        size = n + ends
+        last = (np.cumsum(size) - 1)[ends]
+        every = np.full(int(size.sum()), _END, np.uint64)
+        inner = np.ones(len(every), bool)
+        inner[last] = False
+        every[inner] = h
+        hashes, word = np.unique(np.r_[every, _START, np.array([x[1] for x in held], np.uint64)], return_inverse=True)
+        word, start = word[: len(every)], word[len(every) + 1 :]
         before = np.r_[0, word[:-1]][: len(word)]
-        full = sizes > 0
-        before[starts(sizes)[full]] = [number[x[1]] for x, f in zip(held, full, strict=True) if f]
-        order = np.argsort(hashes)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return cls(hashes[order], rank[word], rank[before], np.repeat([x[0] for x in held], sizes).astype(np.int64))
+        before[starts(size)[size > 0]] = start[size > 0]
+        return cls(hashes, word, before, np.repeat([x[0] for x in held], size).astype(np.int64))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text_col: str, id_col: str | None = None, chars: int = 0) -> Iterator[tuple[list, Tokens]]:
     """The rows' ids and tokens of chunks of about so many characters. A longer text is in several chunks; with an id
-    column it is in one, and cut there only while it is split into words."""
+    column it is in one."""
     chars = chars or CHUNK_CHARS
     ids: list = []
-    held: list[tuple[int, bytes, bytes, bool]] = []
+    held: list[tuple[int, int, bytes, bool]] = []
     size = 0
     for b in batches:
         own = b.column(id_col).to_pylist() if id_col else [None] * b.num_rows
         for i, t in zip(own, texts(b, text_col), strict=True):
-            parts = list(pieces(t, chars))
-            before = b""
-            for k, p in enumerate(parts):
-                held.append((len(ids), before, p, k == len(parts) - 1))
-                size += len(p) + 16
-                if k < len(parts) - 1:
-                    before = (p.rsplit(None, 1) or [before])[-1]
+            before, rest = int(_START), None
+            for p in pieces(t, chars):
+                if rest is not None:
+                    held.append((len(ids), before, rest, False))
+                    size += len(rest)
+                    if word := rest.rsplit(None, 1)[-1:]:
+                        before = int(words_of(word[0])[1][0])
                     if size >= chars and id_col is None:
                         yield ids, Tokens.of(held)
                         held, size = [], 0
+                rest = p
+            held.append((len(ids), before, rest, True))
+            size += len(rest) + 16
             ids.append(i)
             if size >= chars:
                 yield ids, Tokens.of(held)
@@ -454,9 +482,11 @@ class LanguageModel:
 
 
 def collected_garbage(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()  # noqa: SLF001
+    """Lets Spark remove shuffle files that nothing refers to any more; its cleaner works in the background."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()  # noqa: SLF001
+        time.sleep(0.3)
 
 
 def _only(df: DataFrame, *kinds: int) -> DataFrame:
@@ -620,7 +650,6 @@ def train(docs: DataFrame, shards: int, word_shards: int = 2, text_col: str = "t
         new = stash(_met(_only(old_words, WORDS), _only(low, SUMS)).mapInArrow(upper, _TOLD), "lm-words", "kind")
         drop_stash(old_words)
         old_words = new
-        collected_garbage(spark)
         notes = _notes(new, WORDS)
         state.c, state.t, total = sum(x[1] for x in notes), sum(x[2] for x in notes), sum(x[3] for x in notes)
         grid = sum((x[0] for x in notes), np.zeros(len(py.DISCOUNTS)))[:, None] + py.restaurant_terms(*(np.array([max(x, 1)]) for x in (state.c, state.t)), np.ones(1))
