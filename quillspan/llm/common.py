@@ -7,8 +7,10 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +65,41 @@ def drop_stash(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
 
+class MaybeIn:
+    """A Bloom filter of long keys, at most ``MOST`` words of 64 bits, whatever the number of keys: beyond some 16
+    million keys it only lets more through. Four bits of one word for each key."""
+
+    MOST, KEYS_A_WORD = 4 << 20, 4
+
+    def __init__(self, keys: DataFrame, key: str) -> None:
+        n = keys.count()
+        self.words = min(max(64, n // self.KEYS_A_WORD), self.MOST)
+        h = F.xxhash64(F.col(key).cast("long"))
+        mask = None
+        for k in range(4):
+            bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_h, {40 + 6 * k}) & 63 as int))")
+            mask = bit if mask is None else mask.bitwiseOR(bit)
+        rows = keys.select(h.alias("_h")).select(F.pmod("_h", F.lit(self.words)).alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+        table_ = np.zeros(self.words, np.int64)
+        table_[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+        self.table = keys.sparkSession.sparkContext.broadcast(table_)
+
+    def __call__(self, key: Column) -> Column:
+        """Whether a key may be among the filter's; True for all that are."""
+        words, shared = self.words, self.table
+
+        @F.pandas_udf("boolean")
+        def hit(h: pd.Series) -> pd.Series:
+            x = h.to_numpy(np.int64)
+            u = x.view(np.uint64)
+            mask = np.zeros(len(u), np.uint64)
+            for k in range(4):
+                mask |= np.uint64(1) << ((u >> np.uint64(40 + 6 * k)) & np.uint64(63))
+            return pd.Series((shared.value[x % words].view(np.uint64) & mask) == mask)
+
+        return hit(F.xxhash64(key.cast("long")))
+
+
 def crc_mod(id_col: str, m: int):
     """crc32(id as text) mod m; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(m))

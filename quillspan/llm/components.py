@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Nodes without edges are left out; an edge of a node to itself is ignored. A node's neighbours are never gathered:
     their minimum is aggregated before the shuffle and joined back, and a join's frequent keys can be split. Every
-    round is written to the shared folder, so lineage stays short and lost executors cost one round at most.
+    round is written to the shared folder, so lineage stays short and lost executors cost one round at most; so is the
+    result, which drop_stash() removes.
     """
     now = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -31,4 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         now = stash(small.filter("a <> b").distinct(), "edges")
         drop_stash(large)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = stash(out, "components")
+    drop_stash(now)
+    return out

@@ -1,15 +1,19 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
-Texts become sets of hashed runs of five words. Equal sets are one class of copies with one representative. Each
-representative has a signature of ``TREES`` labels of ``DEPTH`` minimum hashes, a path in as many prefix tries.
-Prefixes are shortened from the full depth on until the share of pairs at the threshold that meet in some trie reaches
-the target recall; representatives that share a prefix of that length are candidates. Candidates are joined into
-components, and inside a component all pairs are verified with the exact sets, in blocks: a task counts its block's links
-and returns sums and a spanning forest, never the pairs.
+Texts become sets of hashed runs of five words. Rows with equal sets are one class of copies. Each class has a signature
+of ``TREES`` labels of ``DEPTH`` minimum hashes, a path in as many prefix tries. The paths of all tries are sorted
+together, so that neighbours share the longest prefixes; what a class and its neighbour share is an edge of that depth.
+
+Matched prefixes are shortened by steps: edges of the full depth come first. They join classes into components, whose
+pairs are verified with the exact sets. The links found there tell how many others of their similarity that depth has
+missed; while that is more than the target recall allows, edges one level up are taken too, and components that grew are
+verified again. Block pairs of a large component are compared only where they share a prefix. A task counts its blocks'
+links and returns sums and a spanning forest, never the pairs.
 
 Defined results: texts of one to four words have one shingle, the whole text's words; texts without a word are copies of
-each other. Repeated rows are copies. Rows that share an id but not the text fall into one class. A null id counts as a
-negative number made from the text, so null-id rows with different texts stay apart. Extra columns are left out.
+each other. A row is a document: repeated rows are copies, and rows that share an id but not the text have classes of
+their own, by the same name if both are named after this id. A null id counts as a negative number made from the text, so
+null-id rows with different texts stay apart. Extra columns are left out. Sets are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -22,16 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import drop_stash, stash, table, texts
+from quillspan.llm.common import MaybeIn, drop_stash, stash, table, texts
 from quillspan.llm.components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of at least 4/5
-TREES, DEPTH, RECALL = 16, 6, 0.998
-#: Documents and shingles in a block of a component, about.
+TREES, DEPTH, LEAST_DEPTH, RECALL = 16, 6, 3, 0.9995
+#: Classes and shingles in a block of a component, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
+#: Similarities of links are counted by hundredths.
+BINS = 100
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.random.default_rng(20240501).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-NODE = "coalesce(cast({0} as bigint), -4611686018427387904 - pmod(xxhash64(coalesce({1}, '')), 2305843009213693952))"
+NODE = "coalesce(try_cast({0} as bigint), -4611686018427387904 - pmod(xxhash64(coalesce({1}, '')), 2305843009213693952))"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,38 +72,73 @@ def signature(sh: np.ndarray) -> np.ndarray:
     return (_mix(least) >> np.uint64(48)).astype(np.uint16).reshape(TREES, DEPTH)
 
 
-def prefix_length(similarity: float = NUMERATOR / DENOMINATOR, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Longest prefix with which pairs of this similarity meet in some trie as often as asked for; 1 at least."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def met(similarity: np.ndarray, depth: int) -> np.ndarray:
+    """Share of the pairs of this similarity that have a prefix of this depth in common in some trie."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def recall(links: np.ndarray, depth: int) -> float:
+    """Estimated from the links found, by similarity in hundredths: each stands for others that weren't met."""
+    some = np.flatnonzero(links)
+    return float(links.sum() / (links[some] / met(some / BINS, depth)).sum()) if len(some) else float(met(np.array([NUMERATOR / DENOMINATOR]), depth)[0])
 
 
-def signatures(docs: DataFrame, text_col: str, node_col: str = "node") -> DataFrame:
-    """node, h1 and h2 (hash of the set), n (shingles), keys (a trie prefix of each tree)."""
-    length = prefix_length()
+def class_of(sh: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(sh.tobytes()) - (1 << 63)
+
+
+def signatures(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """The id, node, set (its hash), n (shingles) and paths (TREES x DEPTH labels of two bytes, that sort as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, h2, n, keys = [], [], [], []
-            for t in texts(b, text_col):
-                sh = shingles(t)
-                d = xxhash.xxh3_128_digest(sh.tobytes())
-                h1.append(int.from_bytes(d[:8], "little", signed=True))
-                h2.append(int.from_bytes(d[8:], "little", signed=True))
-                n.append(len(sh))
-                paths = signature(sh)[:, :length]
-                keys.append([int.from_bytes(xxhash.xxh3_64_digest(bytes([k]) + p.tobytes()), "little", signed=True) for k, p in enumerate(paths)])
-            yield pa.RecordBatch.from_arrays([b.column(node_col), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "h1", "h2", "n", "keys"])
+            sets = [shingles(t) for t in texts(b, text_col)]
+            paths = [signature(sh).astype(">u2").tobytes() for sh in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(class_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(paths, pa.binary())], names=["id", "node", "set", "n", "paths"])
+
+    return docs.select(F.col(id_col).alias("id"), "node", text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, node long, set long, n long, paths binary")
 
-    return docs.select(node_col, text_col).mapInArrow(run, "node long, h1 long, h2 long, n long, keys array<long>")
 
+def neighbours(classes: DataFrame) -> DataFrame:
+    """Edges (a, b, depth) between classes that are next to each other in a sorted trie, depth being what they share.
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) that join each prefix's nodes to the least of them."""
-    rows = reps.filter("n > 0").select(F.col("node").alias("a"), F.explode("keys").alias("key"))
-    least = rows.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("_n")).filter("_n > 1").select("key", "b")
-    return rows.join(least, "key").filter("a <> b").select("a", "b").distinct()
+    All tries are sorted as one range-partitioned table; no prefix, however frequent, is in one task. What the tasks'
+    first and last rows share is looked at on the driver, one pair for each task.
+    """
+    spark = classes.sparkSession
+    width = 2 * DEPTH
+    rows = classes.filter("n > 0").select("set", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("set", "tree", F.expr(f"substring(paths, tree * {width} + 1, {width})").alias("path"))
+    ordered = rows.repartitionByRange("tree", "path", "set").sortWithinPartitions("tree", "path", "set")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, first, last = TaskContext.get().partitionId(), None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            set_, tree = (b.column(c).to_numpy() for c in ("set", "tree"))
+            path = np.frombuffer(b"".join(b.column("path").to_pylist()), np.uint8).reshape(-1, width)
+            first = first or (int(set_[0]), int(tree[0]), path[0].tobytes())
+            if last:
+                set_, tree, path = np.r_[last[0], set_], np.r_[last[1], tree], np.r_[np.frombuffer(last[2], np.uint8)[None], path]
+            last = (int(set_[-1]), int(tree[-1]), path[-1].tobytes())
+            same = (path[1:] == path[:-1]).reshape(-1, DEPTH, 2).all(2)
+            depth = np.where(tree[1:] == tree[:-1], np.cumprod(same, axis=1).sum(1), 0)
+            at = np.flatnonzero(depth >= LEAST_DEPTH)
+            yield pa.RecordBatch.from_arrays([pa.array(set_[1:][at]), pa.array(set_[:-1][at]), pa.array(depth[at].astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=["a", "b", "depth", "part", "path"])
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in (first, last)]), pa.array([x[1] for x in (first, last)], pa.int64()), pa.array([0, 1], pa.int32()), pa.array([part] * 2, pa.int32()), pa.array([x[2] for x in (first, last)])], names=["a", "b", "depth", "part", "path"])
+
+    out = stash(ordered.mapInArrow(walk, "a long, b long, depth int, part int, path binary"), "tries")
+    ends = sorted(out.filter("part is not null").collect(), key=lambda r: (r["part"], r["depth"]))
+    across = []
+    for x, y in zip(ends[1::2], ends[2::2], strict=False):
+        same = [x["path"][k : k + 2] == y["path"][k : k + 2] for k in range(0, width, 2)]
+        depth = (same + [False]).index(False)
+        if x["b"] == y["b"] and depth >= LEAST_DEPTH:
+            across.append((x["a"], y["a"], depth))
+    return out.filter("part is null").select("a", "b", "depth").unionByName(spark.createDataFrame(across, "a long, b long, depth int")), out
 
 
 def linked(sizes_a: np.ndarray, sizes_b: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -141,16 +182,21 @@ def _labels(link: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = new_rows, new_cols
 
 
-def verify_block(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int, int]]:
-    """Rows (node, links, other). left, right: (node, copies, shingles); right is None for the pairs within left.
+def verify_block(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int | None, int, int]]:
+    """Rows (set, links, other). left, right: (set, copies, shingles); right is None for the pairs within left.
 
-    links: how many documents outside the node's copies it is linked to here; other: a node of its component here.
+    links: how many documents that aren't copies it is linked to here; other: a set of its component here. Rows without
+    a set: how many pairs are linked (links) at a similarity of so many hundredths (other).
     """
     other = right if right is not None else left
     sizes = [np.array([len(x[2]) for x in side], np.int64) for side in (left, other)]
-    link = linked(sizes[0], sizes[1], common_counts([x[2] for x in left], [x[2] for x in other]).astype(np.int64))
+    common = common_counts([x[2] for x in left], [x[2] for x in other]).astype(np.int64)
+    link = linked(sizes[0], sizes[1], common)
     if right is None:
         np.fill_diagonal(link, False)
+    i, j = np.nonzero(np.triu(link) if right is None else link)
+    seen = np.bincount(BINS * common[i, j] // (sizes[0][i] + sizes[1][j] - common[i, j]), minlength=1)
+    yield from ((None, int(seen[k]), int(k)) for k in np.flatnonzero(seen))
     copies = [np.array([x[1] for x in side], np.int64) for side in (left, other)]
     rows, cols = _labels(link, right is None)
     name = [x[0] for x in left] + ([] if right is None else [x[0] for x in right])
@@ -159,67 +205,100 @@ def verify_block(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple
         yield from ((x[0], int(n), name[k]) for x, n, k in zip(right, copies[0] @ link, cols, strict=True) if n)
 
 
-def verified(members: DataFrame, text_col: str) -> DataFrame:
-    """node, links, other: what verify_block() gives. members: node, copies, n, component and the text."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "copies", "component", "blocks", "block")), pa.array([shingles(t).tobytes() for t in texts(b, text_col)], pa.binary())], names=["node", "copies", "component", "blocks", "block", "shingles"])
-
-    sets = members.select("node", "copies", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), text_col)
-    sets = sets.mapInArrow(make, "node long, copies long, component long, blocks long, block long, shingles binary")
-    units = sets.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "copies", "shingles")
+def verified(members: DataFrame, sets: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """set, links, other: what verify_block() gives. members: set, component; sets: set and its shingles."""
+    sized = members.join(classes.select("set", "copies", "n", "paths"), "set")
+    blocks = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    placed = sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    # Blocks to compare: all within themselves, and those that share a prefix in some trie.
+    prefixes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.concat(k.cast("string"), F.lit(":"), F.hex(F.substring(F.col("paths"), k * 2 * DEPTH + 1, F.lit(2 * depth))))))
+    shared = placed.filter("blocks > 1").select("component", "block", prefixes.alias("prefix")).distinct().groupBy("component", "prefix").agg(F.array_sort(F.collect_set("block")).alias("together"))
+    far = shared.select("component", F.explode(F.col("together")).alias("i"), "together").select("component", "i", F.explode(F.filter("together", lambda x: x > F.col("i"))).alias("j"))
+    near = placed.select("component", F.col("block").alias("i"), F.col("block").alias("j"))
+    pairs = near.unionByName(far).distinct()
+    both = pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    units = placed.select("set", "copies", "component", "block").join(sets, "set").join(both, ["component", "block"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by component and pair of blocks; one pair of blocks is held at a time."""
-        at, held = None, []
+        at, held = None, {}
 
-        def done() -> list[tuple[int, int, int]]:
-            if at is None or len(held) < 2:
-                return []
-            one = [x[1:] for x in held if x[0] == at[1]]
-            two = None if at[1] == at[2] else [x[1:] for x in held if x[0] == at[2]]
-            return list(verify_block(one, two)) if one and (two or two is None) else []
+        def done() -> list[tuple]:
+            one = [x[1:] for x in held.values() if x[0] == at[1]] if at else []
+            two = [x[1:] for x in held.values() if x[0] == at[2]] if at and at[1] != at[2] else None
+            return list(verify_block(one, two)) if one and (two or two is None) and len(held) > 1 else []
 
         def rows(out: list) -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "links", "other"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["set", "links", "other"])
 
         for b in batches:
             out = []
-            for component, i, j, block, node, copies, sh in zip(*(b.column(c).to_pylist() for c in ("component", "i", "j", "block", "node", "copies", "shingles")), strict=True):
+            for component, i, j, block, set_, copies, sh in zip(*(b.column(c).to_pylist() for c in ("component", "i", "j", "block", "set", "copies", "shingles")), strict=True):
                 if at != (component, i, j):
                     out += done()
-                    at, held = (component, i, j), []
-                held.append((block, node, copies, np.frombuffer(sh, np.uint64)))
+                    at, held = (component, i, j), {}
+                held[set_] = (block, set_, copies, np.frombuffer(sh, np.uint64))  # repeated rows: once
             yield rows(out)
         yield rows(done())
 
-    return units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(check, "node long, links long, other long")
+    return units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(check, "set long, links long, other long")
+
+
+def sets_of(own: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """set and shingles of the wanted classes (set, rep), from one row of each or more."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in texts(b, text_col)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set", "shingles"])
+
+    some = own.filter(MaybeIn(wanted, "rep")(F.col("node"))).select(text_col)
+    return some.mapInArrow(make, "set long, shingles binary").join(wanted.select("set"), "set", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The id column, node (the id, or a negative number for a null one), class_id (the least node of the documents that
-    links connect) and n_links (documents, copies included, with at least the similarity)."""
-    own = docs.select(id_col, F.expr(NODE.format(f"`{id_col}`", f"`{text_col}`")).alias("node"), text_col)
-    signed = stash(signatures(own, text_col), "signatures")
-    classes = signed.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
-    classes = stash(classes, "classes")
-    # Nodes of different sets share one only where rows share an id.
-    firsts = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"))
-    reps = signed.join(firsts, "node").groupBy("node").agg(F.max("copies").alias("copies"), F.max("n").alias("n"), F.first("keys").alias("keys"))
-    reps = stash(reps, "reps")
-    near = stash(connected_components(candidates(reps)), "near")
-    sized = near.join(reps.select("node", "copies", "n"), "node")
-    blocks = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    members = sized.join(blocks, "component").join(own.select("node", text_col), "node")
-    links = stash(verified(members, text_col), "links")
-    groups = stash(connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b"))), "groups")
-    sums = links.groupBy("node").agg(F.sum("links").alias("links"))
-    by_rep = groups.withColumnRenamed("component", "class_id").join(sums, "node", "full")
-    of_class = classes.join(by_rep, classes["rep"] == by_rep["node"], "left").select("h1", "h2", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("node", "h1", "h2").join(of_class, ["h1", "h2"], "left").drop("h1", "h2")
-    return out.select(F.when(F.col("node") > -4611686018427387904, F.col("node")).alias(id_col), "node", "class_id", "n_links")
+    links connect) and n_links (documents, copies included, with at least the similarity), for every row. The result is
+    in the shared folder; drop_stash() removes it."""
+    own = docs.select(F.col(id_col), F.col(text_col), F.expr(NODE.format(f"`{id_col}`", f"`{text_col}`")).alias("node"))
+    signed = stash(signatures(own, text_col, id_col), "signatures")
+    classes = stash(signed.groupBy("set").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths")), "classes")
+    edges, tries = neighbours(classes)
+    links, before, seen, sets = None, None, np.zeros(BINS + 1), None
+    old = [signed, classes, tries]
+    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
+        now = connected_components(edges.filter(F.col("depth") >= depth))
+        old.append(now)
+        grown = now
+        if before is not None:  # only components that aren't the same as one level down
+            size = lambda c: c.groupBy("component").agg(F.count("*").alias("_n"))
+            grown = now.join(size(now).join(size(before), ["component", "_n"], "left_anti"), "component", "left_semi")
+        fresh = grown if before is None else grown.join(before, "node", "left_anti")
+        new = sets_of(own, classes.join(fresh.withColumnRenamed("node", "set"), "set", "left_semi").select("set", "rep"), text_col)
+        new = stash(new, "sets")
+        old.append(new)
+        sets = new if sets is None else sets.unionByName(new)
+        found = stash(verified(grown.withColumnRenamed("node", "set"), sets, classes, depth).withColumn("round", F.lit(DEPTH - depth)), "links")
+        old.append(found)
+        for r in found.filter("set is null").groupBy("other").agg(F.sum("links").alias("n")).collect():
+            seen[r["other"]] += r["n"]
+        found = found.filter("set is not null")
+        links = found if links is None else links.unionByName(found)
+        before = now
+        if recall(seen, depth) >= RECALL:
+            break
+    groups = connected_components(links.select(F.col("set").alias("a"), F.col("other").alias("b")))
+    old.append(groups)
+    sums = links.groupBy("set", "round").agg(F.sum("links").alias("links")).groupBy("set").agg(F.max_by("links", "round").alias("links"))
+    of = classes.select("set", "rep", "copies").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    names = of.groupBy("component").agg(F.min("rep").alias("class_id"))
+    of_set = of.join(names, "component").join(sums, "set", "left").select("set", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = signed.select("id", "node", "set").join(of_set, "set")
+    out = stash(out.select(F.col("id").alias(id_col), "node", "class_id", "n_links"), "near")
+    for df in old:
+        drop_stash(df)
+    return out
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,9 +307,16 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that with the least id, and one of its rows if it is repeated."""
-    found = stash(near_duplicates(docs).select("node", "class_id"), "found")
-    stay = found.filter("node = class_id").groupBy("node").agg(F.count("*").alias("_n")).withColumnRenamed("node", "_node")
-    own = docs.withColumn("_own", F.expr(NODE.format("`doc_id`", "`text`")))
-    out = own.join(stay, F.col("_own") == F.col("_node"), "left_semi")
-    return (out.dropDuplicates(["_own"]) if stay.filter("_n > 1").limit(1).count() else out).select(docs.columns)
+    """One document of each class: that with the least id; of several rows with this id, the one whose text has the
+    least hash. Null ids, empty texts, repeated rows as in near_duplicates(); an empty table stays empty; columns of any
+    name stay as they are. Texts are shuffled only of rows that go or share an id."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    nodes = found.groupBy("node").agg(F.max((F.col("node") == F.col("class_id")).cast("int")).alias("_stays"), F.count("*").alias("_n"))
+    special = stash(nodes.filter("_stays = 0 or _n > 1").select("node", "_stays"), "special")
+    drop_stash(found)
+    names = docs.columns
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).withColumn("node", F.expr(NODE.format("row.doc_id", "row.text")))
+    held = held.withColumn("maybe", MaybeIn(special, "node")(F.col("node")))
+    rare = held.filter("maybe").join(special, "node", "left").filter("coalesce(_stays, 1) = 1")
+    one = rare.groupBy("node").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return held.filter("not maybe").select("row").unionByName(one.select("row")).select("row.*")

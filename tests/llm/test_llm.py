@@ -132,17 +132,64 @@ def test_near_duplicates(spark, block, monkeypatch):
     label, links = brute_near(texts)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_dup.near_duplicates(d).collect()}
     assert got == {k: (label[k], links[k]) for k in range(len(texts))}
-    stay = near_dup.stage_near_duplicates(spark, d, "").select("doc_id").collect()
-    assert sorted(r[0] for r in stay) == sorted({label[k] for k in range(len(texts))})
+    kept = near_dup.stage_near_duplicates(spark, d, "")
+    assert kept.columns == d.columns
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted({label[k] for k in range(len(texts))})
 
 
-def test_near_duplicates_null_ids_and_none(spark, none):
+def near_pairs(n, rng):
+    """Texts in pairs of a similarity just above 4/5, where a forest loses most."""
+    out = []
+    for k in range(n):
+        w = [f"p{k}w{j}" for j in range(100)]
+        v = list(w)
+        v[2] = v[50] = "other"
+        out += [" ".join(w), " ".join(v[:-1] if rng.random() < 0.5 else v)]
+    return out
+
+
+def test_forest_recall(spark):
+    """Of the links of documents whose id is divisible by 20, against all pairs."""
+    texts = near_pairs(400, np.random.default_rng(1)) + [" ".join(f"x{k}y{j}" for j in range(30)) for k in range(200)]
+    label, links = brute_near(texts[:800])
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_links"] for r in near_dup.near_duplicates(d).collect()}
+    asked = range(0, 800, 20)
+    assert sum(links[k] for k in asked) >= 40
+    assert sum(got[k] for k in asked) >= 0.9 * sum(links[k] for k in asked)
+    assert sum(got.values()) >= 0.998 * sum(links)
+    assert all(got[k] == 0 for k in range(800, 1000))
+
+
+def test_recall_estimate():
+    """Links near the threshold ask for shorter prefixes, those far above don't."""
+    high, low = np.zeros(101), np.zeros(101)
+    high[96], low[80] = 50, 50
+    assert near_dup.recall(high, near_dup.DEPTH) > near_dup.RECALL
+    assert near_dup.recall(low, near_dup.DEPTH) < near_dup.RECALL < near_dup.recall(low, 4)
+    assert near_dup.recall(np.zeros(101), near_dup.DEPTH) < near_dup.RECALL
+
+
+def test_near_duplicates_null_ids_repeats_and_none(spark, none):
     d = spark.createDataFrame([(None, "a b c d e f"), (None, "g h i j k l"), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id bigint, text string")
     got = near_dup.near_duplicates(d).collect()
     assert Counter(r["n_links"] for r in got) == {2: 3, 0: 1}
     assert near_dup.stage_near_duplicates(spark, d, "").count() == 2
     assert near_dup.near_duplicates(none).collect() == []
-    assert near_dup.prefix_length(0.8, 0.998) == 5
+    assert near_dup.stage_near_duplicates(spark, none, "").collect() == []
+    words = [f"w{k}" for k in range(60)]
+    near = spark.createDataFrame([(5, " ".join(words)), (5, " ".join(words)), (6, " ".join([*words[:-1], "z"]))], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in near_dup.near_duplicates(near).collect()) == [(5, 5, 2), (5, 5, 2), (6, 5, 2)]
+    assert [r["doc_id"] for r in near_dup.stage_near_duplicates(spark, near, "").collect()] == [5]
+    named = spark.createDataFrame([("b", " ".join(words)), ("a", " ".join(words)), ("c", "one two")], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["n_links"]) for r in near_dup.near_duplicates(named).collect()) == [("a", 1), ("b", 1), ("c", 0)]
+
+
+def test_maybe_in(spark):
+    keys = spark.range(0, 5000, 5)
+    seen = spark.range(5000).withColumn("hit", common.MaybeIn(keys, "id")(F.col("id"))).toPandas()
+    assert seen["hit"][seen["id"] % 5 == 0].all()
+    assert seen["hit"][seen["id"] % 5 != 0].mean() < 0.1
 
 
 def test_components(spark):
