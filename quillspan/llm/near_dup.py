@@ -2,13 +2,14 @@
 
 Texts become sets of hashed runs of five words. Rows with equal sets are one class of copies. Each class has a signature
 of ``TREES`` labels of ``DEPTH`` minimum hashes, a path in as many prefix tries. The paths of all tries are sorted
-together, so that neighbours share the longest prefixes; what a class and its neighbour share is an edge of that depth.
+together, so that neighbours share the longest prefixes. A class is joined to the first one below the trie node that it
+shares with its neighbour, by an edge of that node's depth.
 
-Matched prefixes are shortened by steps: edges of the full depth come first. They join classes into components, whose
-pairs are verified with the exact sets. The links found there tell how many others of their similarity that depth has
-missed; while that is more than the target recall allows, edges one level up are taken too, and components that grew are
-verified again. Block pairs of a large component are compared only where they share a prefix. A task counts its blocks'
-links and returns sums and a spanning forest, never the pairs.
+Edges of the full depth come first. They join classes into components, whose pairs are verified with the exact sets. The
+links found there tell how many others of their similarity that depth has missed; if that is more than the target recall
+allows, matched prefixes are shortened to the depth that, with these similarities, reaches it, and components that grew
+are verified again. Block pairs of a large component are compared only where they share a prefix. A task counts its
+blocks' links and returns sums and a spanning forest, never the pairs.
 
 Defined results: texts of one to four words have one shingle, the whole text's words; texts without a word are copies of
 each other. A row is a document: repeated rows are copies, and rows that share an id but not the text have classes of
@@ -30,7 +31,7 @@ from quillspan.llm.common import MaybeIn, drop_stash, stash, table, texts
 from quillspan.llm.components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of at least 4/5
-TREES, DEPTH, LEAST_DEPTH, RECALL = 16, 6, 3, 0.9995
+TREES, DEPTH, LEAST_DEPTH, RECALL = 16, 5, 3, 0.9995
 #: Classes and shingles in a block of a component, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
 #: Similarities of links are counted by hundredths.
@@ -100,7 +101,7 @@ def signatures(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def neighbours(classes: DataFrame) -> DataFrame:
-    """Edges (a, b, depth) between classes that are next to each other in a sorted trie, depth being what they share.
+    """Edges (a, b, depth) of each trie, and the table that they are in.
 
     All tries are sorted as one range-partitioned table; no prefix, however frequent, is in one task. What the tasks'
     first and last rows share is looked at on the driver, one pair for each task.
@@ -114,19 +115,25 @@ def neighbours(classes: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part, first, last = TaskContext.get().partitionId(), None, None
+        tops = np.zeros(DEPTH + 1, np.int64)  # by depth: the first class below the last row's trie node
         for b in batches:
             if not b.num_rows:
                 continue
             set_, tree = (b.column(c).to_numpy() for c in ("set", "tree"))
             path = np.frombuffer(b"".join(b.column("path").to_pylist()), np.uint8).reshape(-1, width)
             first = first or (int(set_[0]), int(tree[0]), path[0].tobytes())
-            if last:
-                set_, tree, path = np.r_[last[0], set_], np.r_[last[1], tree], np.r_[np.frombuffer(last[2], np.uint8)[None], path]
+            before = np.r_[np.frombuffer(last[2], np.uint8)[None] if last else path[:1], path[:-1]]
+            same = (path == before).reshape(-1, DEPTH, 2).all(2)
+            depth = np.where(tree == np.r_[last[1] if last else -1, tree[:-1]], np.cumprod(same, axis=1).sum(1), 0)
             last = (int(set_[-1]), int(tree[-1]), path[-1].tobytes())
-            same = (path[1:] == path[:-1]).reshape(-1, DEPTH, 2).all(2)
-            depth = np.where(tree[1:] == tree[:-1], np.cumprod(same, axis=1).sum(1), 0)
+            top = set_.copy()
+            for k in range(LEAST_DEPTH, DEPTH + 1):
+                begin = np.maximum.accumulate(np.where(depth < k, np.arange(len(set_)), -1))
+                own = np.where(begin >= 0, set_[begin], tops[k])
+                top = np.where(depth == k, own, top)
+                tops[k] = own[-1]
             at = np.flatnonzero(depth >= LEAST_DEPTH)
-            yield pa.RecordBatch.from_arrays([pa.array(set_[1:][at]), pa.array(set_[:-1][at]), pa.array(depth[at].astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=["a", "b", "depth", "part", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_[at]), pa.array(top[at]), pa.array(depth[at].astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=["a", "b", "depth", "part", "path"])
         if last:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in (first, last)]), pa.array([x[1] for x in (first, last)], pa.int64()), pa.array([0, 1], pa.int32()), pa.array([part] * 2, pa.int32()), pa.array([x[2] for x in (first, last)])], names=["a", "b", "depth", "part", "path"])
 
@@ -209,15 +216,21 @@ def verified(members: DataFrame, sets: DataFrame, classes: DataFrame, depth: int
     """set, links, other: what verify_block() gives. members: set, component; sets: set and its shingles."""
     sized = members.join(classes.select("set", "copies", "n", "paths"), "set")
     blocks = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    placed = sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
-    # Blocks to compare: all within themselves, and those that share a prefix in some trie.
-    prefixes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.concat(k.cast("string"), F.lit(":"), F.hex(F.substring(F.col("paths"), k * 2 * DEPTH + 1, F.lit(2 * depth))))))
-    shared = placed.filter("blocks > 1").select("component", "block", prefixes.alias("prefix")).distinct().groupBy("component", "prefix").agg(F.array_sort(F.collect_set("block")).alias("together"))
-    far = shared.select("component", F.explode(F.col("together")).alias("i"), "together").select("component", "i", F.explode(F.filter("together", lambda x: x > F.col("i"))).alias("j"))
-    near = placed.select("component", F.col("block").alias("i"), F.col("block").alias("j"))
-    pairs = near.unionByName(far).distinct()
-    both = pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    units = placed.select("set", "copies", "component", "block").join(sets, "set").join(both, ["component", "block"])
+    placed = stash(sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks"))), "placed")
+    units = placed.select("set", "copies", "component", "block").join(sets, "set")
+    large = placed.filter("blocks > 1")
+    if large.limit(1).count():
+        # Blocks to compare: all within themselves, and those that share a prefix in some trie.
+        prefixes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.xxhash64(k, F.substring(F.col("paths"), k * 2 * DEPTH + 1, F.lit(2 * depth)))))
+        shared = large.select("component", "block", prefixes.alias("prefix")).groupBy("component", "prefix").agg(F.array_sort(F.collect_set("block")).alias("together"))
+        far = shared.filter("size(together) > 1").select("component", F.explode(F.col("together")).alias("i"), "together").select("component", "i", F.explode(F.filter("together", lambda x: x > F.col("i"))).alias("j")).distinct()
+        away = far.select("component", F.col("i").alias("block"), F.col("j").alias("with")).unionByName(far.select("component", F.col("j").alias("block"), F.col("i").alias("with")))
+        partners = away.groupBy("component", "block").agg(F.collect_list("with").alias("with"))  # fewer than the blocks
+        units = units.join(F.broadcast(partners) if large.select("component", "block").distinct().count() < 10_000 else partners, ["component", "block"], "left")
+    else:
+        units = units.withColumn("with", F.lit(None).cast("array<long>"))
+    other = F.explode(F.concat(F.array("block"), F.coalesce("with", F.array().cast("array<long>"))))
+    units = units.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "copies", "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by component and pair of blocks; one pair of blocks is held at a time."""
@@ -265,29 +278,38 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     signed = stash(signatures(own, text_col, id_col), "signatures")
     classes = stash(signed.groupBy("set").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("paths").alias("paths")), "classes")
     edges, tries = neighbours(classes)
-    links, before, seen, sets = None, None, np.zeros(BINS + 1), None
     old = [signed, classes, tries]
-    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
-        now = connected_components(edges.filter(F.col("depth") >= depth))
-        old.append(now)
-        grown = now
-        if before is not None:  # only components that aren't the same as one level down
-            size = lambda c: c.groupBy("component").agg(F.count("*").alias("_n"))
-            grown = now.join(size(now).join(size(before), ["component", "_n"], "left_anti"), "component", "left_semi")
-        fresh = grown if before is None else grown.join(before, "node", "left_anti")
-        new = sets_of(own, classes.join(fresh.withColumnRenamed("node", "set"), "set", "left_semi").select("set", "rep"), text_col)
-        new = stash(new, "sets")
-        old.append(new)
+
+    def check(members: DataFrame, fresh: DataFrame, sets: DataFrame | None, depth: int) -> tuple[DataFrame, DataFrame]:
+        """The links within these components, and the sets known; fresh: members whose sets aren't."""
+        wanted = stash(classes.select("set", "rep").join(fresh.select(F.col("node").alias("set")), "set", "left_semi"), "wanted")
+        new = stash(sets_of(own, wanted, text_col), "sets")
         sets = new if sets is None else sets.unionByName(new)
-        found = stash(verified(grown.withColumnRenamed("node", "set"), sets, classes, depth).withColumn("round", F.lit(DEPTH - depth)), "links")
-        old.append(found)
-        for r in found.filter("set is null").groupBy("other").agg(F.sum("links").alias("n")).collect():
-            seen[r["other"]] += r["n"]
-        found = found.filter("set is not null")
-        links = found if links is None else links.unionByName(found)
-        before = now
-        if recall(seen, depth) >= RECALL:
-            break
+        found = stash(verified(members.withColumnRenamed("node", "set"), sets, classes, depth).withColumn("round", F.lit(DEPTH - depth)), "links")
+        old.extend([wanted, new, found])
+        return found, sets
+
+    first = connected_components(edges.filter(F.col("depth") == DEPTH))
+    links, sets = check(first, first, None, DEPTH)
+    seen = np.zeros(BINS + 1)
+    for r in links.filter("set is null").groupBy("other").agg(F.sum("links").alias("n")).collect():
+        seen[r["other"]] = r["n"]
+    depth = next((k for k in range(DEPTH, LEAST_DEPTH, -1) if recall(seen, k) >= RECALL), LEAST_DEPTH)
+    old.append(first)
+    if depth < DEPTH:
+        # Components are single nodes now, so what a hot prefix has joined is one already.
+        name = first.withColumnsRenamed({"node": "a", "component": "ca"})
+        more = edges.filter((F.col("depth") >= depth) & (F.col("depth") < DEPTH)).select("a", "b").distinct()
+        more = more.join(name, "a", "left").join(name.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
+        more = stash(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "more")
+        merged = connected_components(more)
+        at = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        old_ones = first.join(at, "component").select("node", F.col("now").alias("component"))
+        new_ones = merged.join(first, "node", "left_anti")
+        second, _ = check(old_ones.unionByName(new_ones), new_ones, sets, depth)
+        old.extend([more, merged])
+        links = links.unionByName(second)
+    links = links.filter("set is not null")
     groups = connected_components(links.select(F.col("set").alias("a"), F.col("other").alias("b")))
     old.append(groups)
     sums = links.groupBy("set", "round").agg(F.sum("links").alias("links")).groupBy("set").agg(F.max_by("links", "round").alias("links"))
