@@ -76,27 +76,101 @@ def test_perfect_hash():
     assert (h.find(h1 + 1, h2 + 1) == -1).all()
 
 
+WRAPPED = """Some words before.
+
+Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including
+
+Words after it."""
+
+
 def test_license_scan(spark, none):
-    rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "She renewed her driving license at the office."), (3, None), (4, "This work is licensed under the GNU General Public License, version 3."), (5, ""), (6, "All rights reserved.\nLicensed under CC BY-NC 4.0.")]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("families", F.lit("clash"))
-    got = {r["doc_id"]: (r["families"], [x["paragraph"] for x in r["licenses"]], r["n_paragraphs"]) for r in licenses.scan_licenses(d).collect()}
-    assert got == {1: (["mit"], [1], 3), 2: ([], [], 1), 3: ([], [], 1), 4: (["gpl"], [0], 1), 5: ([], [], 1), 6: (["cc-by-nc", "proprietary"], [0, 1], 2)}
+    rows = [
+        (1, "x\nReleased under the MIT License.\ny"),
+        (2, "She renewed her driving license at the office."),
+        (3, None),
+        (4, "This work is licensed under the GNU General Public License, version 3."),
+        (5, ""),
+        (6, "All rights reserved.\nLicensed under CC BY-NC 4.0."),
+        (7, "This is free and unencumbered software released into the domain."),
+        (8, WRAPPED),
+        (9, "SPDX-License-Identifier: GPL-2.0-only\n\nThe MIT License (MIT)"),
+        (9, "word " * 50_000 + "\nReleased under the BSD 2-Clause License."),
+    ]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("families", F.lit("clash")).withColumn("_scan", F.lit("own")).withColumn("_cued", F.lit("own"))
+    out = licenses.scan_licenses(d)
+    assert out.columns == ["doc_id", "text", "_scan", "_cued", "n_paragraphs", "n_scored", "licenses", "families"]
+    got = sorted((r["doc_id"], r["families"], [x["paragraph"] for x in r["licenses"]], r["n_paragraphs"]) for r in out.collect())
+    assert got == [(1, ["mit"], [1], 3), (2, [], [], 1), (3, [], [], 1), (4, ["gpl"], [0], 1), (5, [], [], 1), (6, ["cc-by-nc", "proprietary"], [0, 1], 2), (7, ["unlicense"], [0], 1), (8, ["mit"], [2], 7), (9, ["bsd"], [1], 2), (9, ["gpl", "mit"], [0, 2], 3)]
     assert licenses.scan_licenses(none).collect() == []
 
 
-def test_license_probabilities_equal_the_model(spark):
+def scan_by_hand(text):
+    """The model and its confirmation in plain Python."""
     weights, bias, heat = licenses.model()
+    own = set(licenses.grams(text))
+    z = np.array(bias) + sum((np.array(weights[x]) for x in own if x in weights), np.zeros(len(bias)))
+    p = np.exp((z - z.max()) * heat)
+    p = p / p.sum()
+    name = ["", *licenses.FAMILIES][int(p.argmax())]
+    similarity = max((len(own & set(licenses.pairs_of(t))) / len(licenses.pairs_of(t)) for t in licenses.TEMPLATES.get(name, [])), default=0)
+    return name if name and p.max() >= licenses.MIN_PROBABILITY and similarity >= licenses.MIN_SIMILARITY else None, p.max()
+
+
+def test_license_probabilities_equal_the_model(spark):
     texts = [t for f in licenses.FAMILIES for t in licenses.TEMPLATES[f]] + licenses.OTHERS
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(licenses.scan_paragraph(F.col("t"))).collect()]
     right = 0
-    for k, (t, g) in enumerate(zip(texts, got, strict=True)):
-        z = np.array(bias) + sum((np.array(weights[x]) for x in licenses.grams(t) if x in weights), np.zeros(len(bias)))
-        p = np.exp((z - z.max()) * heat)
-        assert g["probability"] == pytest.approx(p.max() / p.sum(), abs=2e-6)
+    for t, g in zip(texts, got, strict=True):
+        family, p = scan_by_hand(t)
+        assert g["probability"] == pytest.approx(p, abs=2e-6)
+        assert g["family"] == family
         own = next((f for f in licenses.FAMILIES if t in licenses.TEMPLATES[f]), None)
-        right += g["family"] == own
-        assert own is not None or g["family"] is None, k
-    assert right >= 0.95 * len(texts)
+        right += family == own
+        assert own is not None or family is None
+    assert right >= 0.98 * len(texts)
+
+
+def test_cues_lose_no_paragraph_that_could_be_confirmed():
+    """Whatever 2-grams of a template a paragraph lacks, if it has enough of them then it has a cue."""
+    for ts in licenses.TEMPLATES.values():
+        for t in ts:
+            own = licenses.pairs_of(t)
+            without = sum(not any(c in g for c in licenses.cues()) for g in own)
+            assert without < licenses.MIN_SIMILARITY * len(own)
+
+
+def test_scan_and_model_agree_on_documents(spark):
+    """Every line of documents: found by the scan if and only if the model confirms it."""
+    d = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    found = {(r["doc_id"], x["paragraph"], x["family"]) for r in licenses.scan_licenses(d).collect() for x in r["licenses"]}
+    want = set()
+    for r in d.collect():
+        for k, line in enumerate((r["text"] or "").split("\n")):
+            if (family := scan_by_hand(line)[0]) is not None:
+                want.add((r["doc_id"], k, family))
+    assert want
+    assert want <= found
+    assert {x[0] for x in found} == {x[0] for x in want}  # no notice is wrapped there
+
+
+def test_planted_licenses(spark):
+    """Precision and recall on lines planted in documents, wrapped and not, of wording that training had in part."""
+    base = [r["text"] or "" for r in common.table(spark, "/root/testdata/sf0.001", "documents").select("text").limit(60).collect()]
+    rows, want = [], {}
+    for k, t in enumerate(base):
+        family = licenses.FAMILIES[k % len(licenses.FAMILIES)]
+        notice = licenses.TEMPLATES[family][k % len(licenses.TEMPLATES[family])]
+        words = ("Copyright 2020 Some One. " + notice).split()
+        wrapped = "\n".join(" ".join(words[j : j + 7]) for j in range(0, len(words), 7))
+        rows.append((k, f"{t}\n\n{wrapped}\n\n{licenses.OTHERS[k % len(licenses.OTHERS)]}" if k % 2 else f"{t}\n\n{licenses.OTHERS[k % len(licenses.OTHERS)]}"))
+        want[k] = {family} if k % 2 else set()
+    got = {r["doc_id"]: set(r["families"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    planted = [k for k in want if want[k]]
+    assert sum(want[k] <= got[k] for k in planted) >= 0.9 * len(planted)
+    own = {k: {f for x in base[k].split("\n") if (f := scan_by_hand(x)[0])} for k in want}
+    assert sum(not (got[k] - own[k] - want[k]) for k in want) >= 0.95 * len(want)
 
 
 def brute_near(texts):
