@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -100,6 +101,15 @@ class MaybeIn:
         return hit(F.xxhash64(key.cast("long")))
 
 
+def aside(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones renamed, so that none can clash with what an operator adds; and the way
+    back to docs' columns from a frame with more."""
+    low = {c.lower() for c in needed}
+    names = [c if c.lower() in low else f"_aside{k}" for k, c in enumerate(docs.columns)]
+    own = docs.toDF(*names)
+    return own, lambda df: df.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
 def crc_mod(id_col: str, m: int):
     """crc32(id as text) mod m; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(m))

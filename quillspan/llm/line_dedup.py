@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import ASCII_SPACE, stash, table, texts, widened, with_columns
+from quillspan.llm.common import ASCII_SPACE, aside, drop_stash, stash, table, texts, widened, with_columns
 
 MIN_CHARS, MIN_DOCS = 40, 5
 RESIDENT_BYTES, HOT_SHARE, SHARD_KEYS, SHARD_PROBES = 32 << 20, 10_000, 1 << 16, 500_000
+#: Of a key in a worker: 20 in the arrays, the bits of its levels, and the unpacked bits and ranks of about 2.5 slots.
+KEY_BYTES = 44
 NO_ID = -(1 << 63)
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -186,11 +188,16 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     all_keys = line_counts(docs.select(id_col, text_col), text_col, id_col, min_chars)
     keys = stash(all_keys.filter(F.col("n") >= min_docs), "line-keys")
     n_keys, held = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_shards = max(1, -(-n_keys // SHARD_KEYS), -(-held // SHARD_PROBES))
-    whole = n_keys * 22 <= resident_bytes
+    whole = n_keys * KEY_BYTES <= resident_bytes
+    # Beyond, all long lines are sent to the shards, unique ones too.
+    asked_for = held if whole else all_keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_shards = max(1, -(-n_keys // SHARD_KEYS), -(-asked_for // SHARD_PROBES))
     near = keys if whole else keys.filter(F.col("n") * hot_share > held)
     hot_n = n_shards if whole else 1
     resident = spark.sparkContext.broadcast(Shards(hot_n, {r["shard"]: r["blob"] for r in build_shards(near, hot_n).collect()}))
+    hits_col = "_line_hits"
+    while hits_col in {c.lower() for c in docs.columns}:
+        hits_col += "_"
     schema = widened(docs.schema, {text_col: T.StringType(), "n_lines": T.LongType(), "n_dropped": T.LongType()})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +205,10 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         for b in batches:
             rows, where, pairs, own = _lines(b, text_col, id_col, min_chars)
             gone = shards.dropped(pairs, own)
-            if "_line_hits" in b.schema.names:
-                hits = [{(x["h1"], x["h2"]) for x in h or ()} for h in b.column("_line_hits").to_pylist()]
+            if not whole:
+                hits = [{(x["h1"], x["h2"]) for x in h or ()} for h in b.column(hits_col).to_pylist()]
                 gone |= np.fromiter(((int(p[0]), int(p[1])) in hits[r] for (r, _), p in zip(where, pairs, strict=True)), bool, len(pairs))
-                b = b.select([c for c in b.schema.names if c != "_line_hits"])  # noqa: PLW2901
+                b = b.select([c for c in b.schema.names if c != hits_col])  # noqa: PLW2901
             drop: dict[int, set[int]] = {}
             for r, k in where[gone].tolist():
                 drop.setdefault(r, set()).add(k)
@@ -232,7 +239,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     asked = docs.select(id_col, text_col).mapInArrow(probes, "shard long, h1 long, h2 long, own long")
     hits = asked.groupBy("shard").cogroup(far.groupBy("shard")).applyInPandas(answer, "h1 long, h2 long, own long")
-    by_doc = hits.groupBy("own").agg(F.collect_list(F.struct("h1", "h2")).alias("_line_hits"))
+    by_doc = hits.groupBy("own").agg(F.collect_list(F.struct("h1", "h2")).alias(hits_col))
     own = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     return docs.join(by_doc, own == by_doc["own"], "left").drop("own").mapInArrow(apply, schema)
 
@@ -244,8 +251,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the lines that dedup_lines() keeps."""
-    return dedup_lines(docs).select(docs.columns)
+    """The documents with the lines that dedup_lines() keeps; a null text becomes an empty one. Repeated rows hold their
+    lines each. An empty table stays empty. All other columns stay as they are, whatever their names."""
+    own, back = aside(docs, ["doc_id", "text"])
+    return back(dedup_lines(own))
 
 
 ORACLE_SQL = {

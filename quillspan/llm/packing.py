@@ -192,6 +192,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """token_pieces() and pack() of them: null and empty texts are one piece, the end id; repeated rows are packed each."""
     return pack(stash(token_pieces(docs, path, capacity=capacity), "pieces"), capacity)
 
 
@@ -201,4 +202,6 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequences. A null or empty text is one piece, the end id alone. Repeated rows
+    are packed each; of equal lengths any order may come. An empty table has no pieces. Other columns are left out."""
     return pack_documents(docs, tokenizer_path())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import crc_mod, drop_stash, stash, table, texts, widened, with_columns
+from quillspan.llm.common import MaybeIn, aside, crc_mod, drop_stash, stash, table, texts, widened, with_columns
 
 BITS = 16
 DIMS = 1 << BITS
@@ -229,8 +229,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score reaches the threshold. Texts aren't shuffled: features are made again while filtering."""
-    feats = stash(featurize(docs.select("doc_id", "text")).drop("text"), "features")
-    model = train(feats, table(spark, sf_dir, "labels"))
+    """The documents whose score reaches the threshold; null and empty texts have the score of no features. Repeated
+    rows are judged each. An empty table stays empty. All columns stay as they are, whatever their names. Texts aren't
+    shuffled: features are made again while filtering."""
+    labels = table(spark, sf_dir, "labels")
+    feats = stash(featurize(docs.select("doc_id", "text").filter(MaybeIn(labels, "doc_id")(F.col("doc_id")))).drop("text"), "features")
+    model = train(feats, labels)
     drop_stash(feats)
-    return score_documents(docs, model).filter(F.col("score") >= THRESHOLD).select(docs.columns)
+    own, back = aside(docs, ["doc_id", "text"])
+    return back(score_documents(own, model).filter(F.col("score") >= THRESHOLD))

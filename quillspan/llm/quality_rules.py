@@ -8,10 +8,12 @@ strata and rules (Bonferroni), so with probability 1 - delta all rules together
 documents in every stratum. Of the admissible cutoffs the most lenient one is taken that catches nearly all bad
 documents any of them catches; a rule that catches none is off.
 
-Defined results: null and empty texts have no words and fail the base rule. A null language, one beyond the
-``MAX_STRATA`` largest, or one without labels belongs to the pooled stratum '*'. Labels with null quality are ignored;
-a document labelled more than once counts once per label. With no labels only the base rule rejects. Input columns
-named like an output column are replaced.
+Every language is a stratum. One with so few good documents that no cutoff can be proven, whatever it rejects, has none:
+only the base rule rejects there. Cutoffs of the others reach the driver, no more of them than labels by that number.
+
+Defined results: null and empty texts have no words and fail the base rule. A null language is the stratum '*'. Labels
+with null quality are ignored; a document labelled more than once counts once per label. With no labels only the base
+rule rejects. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -26,12 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import ASCII_SPACE, drop_stash, stash, table, texts, widened, with_columns
+from quillspan.llm.common import ASCII_SPACE, MaybeIn, aside, drop_stash, stash, table, texts, widened, with_columns
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
-#: The languages with most labelled good documents get a stratum each; all others share '*'.
-MAX_STRATA = 64
 ALPHA, DELTA, GRID = 0.05, 0.05, 40
 #: Rule: ratio, step of its grid of cutoffs (step, 2 step, ... GRID steps).
 RULES = {
@@ -143,15 +143,17 @@ def _level(rule: str):
 def fit_thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, lang_col: str = "lang") -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule. labelled: FEATURES, the language and quality, of all labelled documents.
 
-    Counts over all labelled rows are made by Spark. Only they reach the driver: at most (MAX_STRATA + 1) x rules x
-    (GRID + 1) x 2 of them. Documents that fail the base rule are rejected anyway and take no part.
+    Counts over all labelled rows are made by Spark; of strata that can have a cutoff, rules x (GRID + 1) x 2 of them
+    reach the driver. Documents that fail the base rule are rejected anyway and take no part.
     """
-    held = labelled.filter(F.col("quality").isin(0, 1)).withColumn("_lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("*")))
-    top = held.filter("quality = 1").groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_STRATA)
-    names = {r[0] for r in top.collect()} | {"*"}
+    held = labelled.filter(F.col("quality").isin(0, 1)).withColumn("_lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("*"))).filter(~base_failed())
+    strata = held.groupBy("_lang").agg(F.count_if(F.col("quality") == 1).alias("good"))
+    tests = strata.count() * len(RULES)
+    least = math.log(delta / max(tests, 1)) / math.log1p(-alpha / len(RULES))  # with fewer, no rejection at all is proof
+    names = sorted(r[0] for r in strata.filter(F.col("good") >= least).collect())
     rows = (
-        held.filter(~base_failed())
-        .select(F.when(F.col("_lang").isin(*names), F.col("_lang")).otherwise("*").alias("s"), "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES))).alias("x"))
+        held.filter(F.col("_lang").isin(names))
+        .select(F.col("_lang").alias("s"), "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES))).alias("x"))
         .groupBy("s", "x.rule", "x.level", "quality")
         .count()
         .collect()
@@ -161,7 +163,7 @@ def fit_thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
         count[r["s"], r["rule"]][r["quality"], r["level"]] += r["count"]
     out: dict[str, dict[str, float]] = {s: {} for s in names}
     for (s, rule), (bad, good) in count.items():
-        j = select_cutoff(good, bad, alpha / len(RULES), delta / len(count))
+        j = select_cutoff(good, bad, alpha / len(RULES), delta / tests)
         if j is not None:
             out[s][rule] = RULES[rule][1] * (j + 1)
     return out
@@ -170,13 +172,12 @@ def fit_thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
 def rejected_by(cutoffs: dict[str, dict[str, float]], lang_col: str = "lang"):
     """Column: the rules whose cutoff the document's ratio exceeds, in the order of RULES."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("*"))
-    stratum = F.when(lang.isin(*cutoffs), lang).otherwise(F.lit("*"))
     hit = []
     for rule in RULES:
         steps = [(s, round(c[rule] / RULES[rule][1])) for s, c in sorted(cutoffs.items()) if rule in c]
         over = F.lit(False)
         for s, j in steps:
-            over = over | ((stratum == s) & (_level(rule) >= j))
+            over = over | ((lang == s) & (_level(rule) >= j))
         hit.append(F.when(over, F.lit(rule)))
     return F.array_compact(F.array(*hit))
 
@@ -195,8 +196,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no rule rejects."""
-    feats = stash(rule_features(docs.select("doc_id", "lang", "text")).drop("text"), "rules")
-    cutoffs = fit_thresholds(labelled_features(feats, table(spark, sf_dir, "labels")))
+    """The documents that no rule rejects; null and empty texts go, since they fail the base rule. Repeated rows are
+    judged each. An empty table stays empty. All columns stay as they are, whatever their names."""
+    labels = table(spark, sf_dir, "labels")
+    some = docs.select("doc_id", "lang", "text").filter(MaybeIn(labels, "doc_id")(F.col("doc_id")))
+    feats = stash(rule_features(some).drop("text"), "rules")
+    cutoffs = fit_thresholds(labelled_features(feats, labels))
     drop_stash(feats)
-    return rule_features(docs).filter(~base_failed() & (F.size(rejected_by(cutoffs)) == 0)).select(docs.columns)
+    own, back = aside(docs, ["doc_id", "lang", "text"])
+    return back(rule_features(own).filter(~base_failed() & (F.size(rejected_by(cutoffs)) == 0)))
