@@ -18,7 +18,7 @@ STAGES = [
     ("n-gram Jaccard join", stage_near_duplicates),
     ("best-fit packing", stage_best_fit_packing),
 ]
-#: Token ids and fitted models are beyond SQL; tests/llm compares run() with a brute-force version.
+#: Token ids and fitted models are beyond SQL; tests/llm compares run() with a plain Python version.
 ORACLE_SQL = None
 
 
