@@ -75,7 +75,7 @@ class MaybeIn:
     def __init__(self, keys: DataFrame, key: str) -> None:
         n = keys.count()
         self.words = min(max(64, n // self.KEYS_A_WORD), self.MOST)
-        h = F.xxhash64(F.col(key).cast("long"))
+        h = self.hashed(F.col(key))
         mask = None
         for k in range(4):
             bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_h, {40 + 6 * k}) & 63 as int))")
@@ -85,20 +85,27 @@ class MaybeIn:
         table_[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
         self.table = keys.sparkSession.sparkContext.broadcast(table_)
 
+    def mask(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether keys of these xxhash64 may be among the filter's; True for all that are."""
+        u = hashes.view(np.uint64)
+        bits = np.zeros(len(u), np.uint64)
+        for k in range(4):
+            bits |= np.uint64(1) << ((u >> np.uint64(40 + 6 * k)) & np.uint64(63))
+        return (self.table.value[hashes % self.words].view(np.uint64) & bits) == bits
+
     def __call__(self, key: Column) -> Column:
-        """Whether a key may be among the filter's; True for all that are."""
-        words, shared = self.words, self.table
+        """The same of a column of keys."""
+        held = self
 
         @F.pandas_udf("boolean")
         def hit(h: pd.Series) -> pd.Series:
-            x = h.to_numpy(np.int64)
-            u = x.view(np.uint64)
-            mask = np.zeros(len(u), np.uint64)
-            for k in range(4):
-                mask |= np.uint64(1) << ((u >> np.uint64(40 + 6 * k)) & np.uint64(63))
-            return pd.Series((shared.value[x % words].view(np.uint64) & mask) == mask)
-
-        return hit(F.xxhash64(key.cast("long")))
+            return pd.Series(held.mask(h.to_numpy(np.int64)))
+
+        return hit(self.hashed(key))
+
+    @staticmethod
+    def hashed(key: Column) -> Column:
+        return F.xxhash64(key.cast("long"))
 
 
 def aside(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

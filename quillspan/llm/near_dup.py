@@ -261,13 +261,16 @@ def verified(members: DataFrame, sets: DataFrame, classes: DataFrame, depth: int
 def sets_of(own: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """set and shingles of the wanted classes (set, rep), from one row of each or more."""
 
+    maybe = MaybeIn(wanted, "rep")
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in texts(b, text_col)]
+            some = b.filter(pa.array(maybe.mask(b.column("hash").to_numpy())))
+            sets = [shingles(t) for t in texts(some, text_col)]
             yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set", "shingles"])
 
-    some = own.filter(MaybeIn(wanted, "rep")(F.col("node"))).select(text_col)
-    return some.mapInArrow(make, "set long, shingles binary").join(wanted.select("set"), "set", "left_semi")
+    rows = own.select(MaybeIn.hashed(F.col("node")).alias("hash"), text_col)
+    return rows.mapInArrow(make, "set long, shingles binary").join(wanted.select("set"), "set", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm.common import MaybeIn, aside, crc_mod, drop_stash, stash, table, texts, widened, with_columns
+from quillspan.llm.common import aside, crc_mod, drop_stash, stash, table, texts, widened, with_columns
 
 BITS = 16
 DIMS = 1 << BITS
@@ -233,7 +233,7 @@ def stage_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
     rows are judged each. An empty table stays empty. All columns stay as they are, whatever their names. Texts aren't
     shuffled: features are made again while filtering."""
     labels = table(spark, sf_dir, "labels")
-    feats = stash(featurize(docs.select("doc_id", "text").filter(MaybeIn(labels, "doc_id")(F.col("doc_id")))).drop("text"), "features")
+    feats = stash(featurize(docs.select("doc_id", "text")).drop("text"), "features")
     model = train(feats, labels)
     drop_stash(feats)
     own, back = aside(docs, ["doc_id", "text"])
