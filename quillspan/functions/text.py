@@ -7,20 +7,40 @@ from pyspark.sql import functions as F
 
 # Pairs of outer markup that canonical text drops.
 MARKUP_PAIRS = ["《》", "（）", "()", "【】", "[]", "<>", "“”", "「」", "『』"]
-_MARKUP_DEPTH = 8
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """By Python's own tables: characters that fold to one other, and to several."""
+    folds = {c: c.casefold() for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c != c.casefold()}
+    return {c: f for c, f in folds.items() if len(f) == 1}, {c: f for c, f in folds.items() if len(f) > 1}
+
+
+_ONE, _MANY = _foldings()
+
+
+def casefold(x: Column | str) -> Column:
+    """Unicode case folding. Texts of one byte a character take the short way."""
+    t = col(x)
+    full = F.translate(t, "".join(_ONE), "".join(_ONE.values()))
+    several = "[" + "".join(_MANY) + "]"
+    long = full
+    for c, f in _MANY.items():
+        long = F.replace(long, F.lit(c), F.lit(f))
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).when(t.rlike(several), long).otherwise(full)
+
+
 def norm(x: Column | str) -> Column:
     """White space as single spaces, no margins, case folded. Null stays null."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(col(x), r"(?U)\s+", " "))), "ß", "ss")
+    return casefold(F.trim(F.regexp_replace(col(x), r"(?U)\s+", " ")))
 
 
 def strip_markup(x: Column | str, pairs: list[str] = MARKUP_PAIRS) -> Column:
-    """Without the pairs that enclose the whole text, nested ones too."""
+    """Without the pairs that enclose the whole text, nested ones too, until none is left. There can't be more layers
+    than opening characters and spaces at the begin."""
 
     def peel(acc: Column, _: Column) -> Column:
         t = F.trim(acc)
@@ -29,7 +49,9 @@ def strip_markup(x: Column | str, pairs: list[str] = MARKUP_PAIRS) -> Column:
             enclosed = enclosed | (t.startswith(p[0]) & t.endswith(p[1]))
         return F.when((F.length(t) >= 2) & enclosed, F.trim(t.substr(F.lit(2), F.length(t) - 2))).otherwise(t)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_MARKUP_DEPTH)), col(x), peel)
+    opening = "".join(sorted({f"\\{p[0]}" for p in pairs}))
+    layers = F.length(F.regexp_extract(col(x), f"^[ {opening}]*", 0)) + 1
+    return F.when(col(x).isNotNull(), F.aggregate(F.sequence(F.lit(1), layers), col(x), peel))
 
 
 def canonical_text(x: Column | str, pairs: list[str] = MARKUP_PAIRS) -> Column:
@@ -44,7 +66,7 @@ def content_length(x: Column | str) -> Column:
 def clip(x: Column | str, limit: int = 180) -> Column:
     """At most so many characters, with an ellipsis for what is cut."""
     t = col(x)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(t.substr(1, limit - 1)), F.lit("…")))
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(t.substr(1, limit - 1), r"(?U)\s+$", ""), F.lit("…")))
 
 
 def relation_name(x: Column | str) -> Column:

@@ -70,39 +70,45 @@ def representative_positions(count: Column, limit: int) -> Column:
     return F.when(count <= limit, every).otherwise(spread)
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, fingerprint (bigint): bit b is set if at least half of the shingles' MD5 prefixes have it.
+def _digest(kind: str):
+    if kind == "md5":  # of the first eight bytes, four for the upper bits and four for the lower ones
+        return lambda x: hashlib.md5(x).digest()[:8]  # noqa: S324
+    return lambda x: hashlib.blake2b(x, digest_size=8).digest()
 
-    Shingles are voted on where they are made: each row adds 64 sums, which partial aggregation folds before the shuffle.
-    """
-    half = lambda h, k: F.conv(F.substring(h, k, 8), 16, 10).cast("bigint")
-    hashed = F.transform(F.transform(shingle_array(text_col), F.md5), lambda h: F.struct(half(h, 1).alias("hi"), half(h, 9).alias("lo")))
-    v = docs.select(id_col, F.length(F.coalesce(text_col, F.lit(""))).alias("n_chars"), F.explode(hashed).alias("s")).select(id_col, "n_chars", "s.hi", "s.lo")
-    votes = [F.sum(F.when(F.getbit(F.col("lo" if b < 32 else "hi"), F.lit(b % 32)) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(64)]
-    g = v.groupBy(id_col, "n_chars").agg(*votes)
-    bits = F.lit(0).cast("bigint")
-    for b in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{b}") >= 0, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-    return g.select(id_col, "n_chars", bits.alias("fingerprint"))
 
+def _shingles(t: str, size: int, step: int, cap: int) -> list[str]:
+    """What functions.text.shingle_array() makes of a normal form."""
+    out = list({t[i : i + size] for i in range(0, max(len(t) - size + 1, 1), step)})
+    if len(out) > cap:
+        every = max(len(out) // cap, 1)
+        out = sorted(out)[::every][:cap]
+    return out
 
-def simhash_blake2b(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same with 64-bit BLAKE2b hashes, which SQL lacks."""
+
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str = "md5", size: int = 5, step: int = 3, cap: int = 20_000) -> DataFrame:
+    """id, n_chars, fingerprint (bigint): bit b is set if at least half of the shingles' digests have it. digest: md5, or
+    blake2b with 64 bits. A document's shingles never leave its row, so nothing is shuffled."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        take = _digest(digest)
         for f in frames:
-            out = []
-            for sh in f["s"]:
-                v = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in sh], np.uint64)
-                ones = ((v[:, None] & weight) != 0).sum(axis=0)
-                out.append(int(np.where(2 * ones >= len(v), weight, np.uint64(0)).sum(dtype=np.uint64).astype(np.int64)))
-            yield pd.DataFrame({id_col: f[id_col], "fingerprint": out})
+            prints = np.zeros(len(f), np.int64)
+            for k, t in enumerate(f["t"]):
+                v = np.frombuffer(b"".join([take(x.encode()) for x in _shingles(t, size, step, cap)]), np.uint8).reshape(-1, 8)
+                ones = np.unpackbits(v, axis=1).sum(axis=0, dtype=np.int64)
+                prints[k] = int.from_bytes(np.packbits(2 * ones >= len(v)).tobytes(), "big", signed=True)
+            yield pd.DataFrame({id_col: f[id_col], "n_chars": f["n_chars"], "fingerprint": prints})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, shingle_array(text_col).alias("s")).mapInPandas(run, f"`{id_col}` {kind}, fingerprint bigint")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(id_col, F.length(text).alias("n_chars"), norm(text).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, n_chars int, fingerprint bigint")
+
+
+def simhash_blake2b(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same with 64-bit BLAKE2b digests."""
+    return simhash(docs, id_col, text_col, "blake2b").drop("n_chars")
 
 
 def simhash_pairs(fingerprints: DataFrame, id_col: str = "doc_id", max_distance: int = 8, min_length_ratio: float = 0.35) -> DataFrame:

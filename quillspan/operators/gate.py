@@ -141,7 +141,7 @@ def merge_reasons(*columns: Column) -> Column:
 def risk_reasons(reasons: Column | str, claim: Column | str, confidence: Column | str, low: float = 0.8) -> Column:
     """Why a relation needs a second look: what the verifier found, a claim that isn't explicit, low confidence."""
     own = F.filter(F.coalesce(col(reasons), F.array().cast("array<string>")), lambda r: r != "accepted")
-    claim_risk = F.when(col(claim).isin("inferred", "uncertain"), F.array(F.concat(F.lit("claim_"), col(claim)))).otherwise(F.array().cast("array<string>"))
+    claim_risk = F.when(col(claim).isin("inferred", "uncertain"), F.array(F.concat(F.lit("claim_status:"), col(claim)))).otherwise(F.array().cast("array<string>"))
     weak = F.when(col(confidence) < low, F.array(F.lit("low_confidence"))).otherwise(F.array().cast("array<string>"))
     return merge_reasons(own, claim_risk, weak)
 

@@ -62,31 +62,44 @@ def evidence_rates(verified: DataFrame, by: list[str] | None = None) -> DataFram
     return g.select(*(by or []), "relations", ratio("covered", "relations").alias("coverage"), ratio("supported", "relations").alias("correctness"), ratio(F.col("relations") - F.col("supported"), F.col("relations")).alias("unsupported_rate"), ratio("invalid", "relations").alias("invalid_rate"))
 
 
-def classify_predicted(pred: DataFrame, gold: DataFrame, gold_entities: DataFrame, by: list[str]) -> DataFrame:
-    """pred with a class. pred, gold: by, s_name, s_type, type, t_name, t_type. gold_entities: by, name, type.
+def _known(side: str) -> list[Column]:
+    """Whether the names of a relation's end are among a job's entities, with its type and at all."""
+    typed = F.struct(F.col(f"{side}_name").alias("name"), F.col(f"{side}_type").alias("type"))
+    return [F.array_contains("typed", typed).alias(f"{side}_exact"), F.array_contains("named", F.col(f"{side}_name")).alias(f"{side}_named")]
+
+
+def _with_other_side(rows: DataFrame, other: DataFrame, entities: DataFrame, by: list[str]) -> DataFrame:
+    """rows with what the other side has for their job, as sets: edges, pairs of names, entities. All three tables are
+    grouped by job and so meet in one shuffle each; a job's annotations are bounded by its text."""
+    edge = F.struct("s_name", "s_type", "type", "t_name", "t_type")
+    sets = other.groupBy(*by).agg(F.collect_set(edge).alias("edges"), F.collect_set(F.struct("s_name", "t_name")).alias("pairs"), F.collect_set(F.struct("s_name", "t_name", "type")).alias("typed_pairs"))
+    ents = entities.groupBy(*by).agg(F.collect_set(F.struct("name", "type")).alias("typed"), F.collect_set("name").alias("named"))
+    x = rows.join(sets, by, "left").join(ents, by, "left")
+    back = F.struct(F.col("t_name").alias("s_name"), F.col("s_name").alias("t_name"))
+    back_typed = F.struct(F.col("t_name").alias("s_name"), F.col("s_name").alias("t_name"), "type")
+    flags = [
+        F.array_contains("edges", edge).alias("strict"),
+        F.array_contains("pairs", F.struct("s_name", "t_name")).alias("directed"),
+        F.array_contains("pairs", back).alias("backward"),
+        F.array_contains("typed_pairs", back_typed).alias("backward_type"),
+        *_known("s"),
+        *_known("t"),
+    ]
+    x = x.select(*(F.col(c) for c in rows.columns), *flags)
+    return x.fillna(False, ["strict", "directed", "backward", "backward_type", "s_exact", "s_named", "t_exact", "t_named"])
 
-    All lookups are equi-joins with distinct keys of the same group, so frequent keys don't multiply rows.
-    """
-    one = lambda df, keys, name: df.select(*by, *keys).distinct().withColumn(name, F.lit(True))
-    ends = ["s_name", "s_type", "t_name", "t_type"]
-    x = pred.join(one(gold, [*ends, "type"], "strict"), [*by, *ends, "type"], "left")
-    x = x.join(one(gold, ["s_name", "t_name"], "directed"), [*by, "s_name", "t_name"], "left")
-    back = gold.select(*by, F.col("t_name").alias("s_name"), F.col("s_name").alias("t_name"), "type")
-    x = x.join(one(back, ["s_name", "t_name"], "backward"), [*by, "s_name", "t_name"], "left")
-    x = x.join(one(back, ["s_name", "t_name", "type"], "backward_type"), [*by, "s_name", "t_name", "type"], "left")
-    for side in ("s", "t"):
-        named = gold_entities.select(*by, F.col("name").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"))
-        x = x.join(one(named, [f"{side}_name", f"{side}_type"], f"{side}_exact"), [*by, f"{side}_name", f"{side}_type"], "left")
-        x = x.join(one(named, [f"{side}_name"], f"{side}_named"), [*by, f"{side}_name"], "left")
-    both = F.col("s_exact").isNotNull() & F.col("t_exact").isNotNull()
-    some = F.col("s_named").isNotNull() | F.col("t_named").isNotNull()
+
+def classify_predicted(pred: DataFrame, gold: DataFrame, gold_entities: DataFrame, by: list[str]) -> DataFrame:
+    """pred with a class. pred, gold: by, s_name, s_type, type, t_name, t_type. gold_entities: by, name, type."""
+    x = _with_other_side(pred, gold, gold_entities, by)
+    both, some = F.col("s_exact") & F.col("t_exact"), F.col("s_named") | F.col("t_named")
     category = (
-        F.when(F.col("strict").isNotNull(), "strict_match")
+        F.when(F.col("strict"), "strict_match")
         .when(~both & some, "entity_type_or_boundary_error")
         .when(~both, "unsupported_or_hallucinated_endpoint")
-        .when(F.col("directed").isNotNull(), "wrong_relation_type")
-        .when(F.col("backward").isNotNull() & F.col("backward_type").isNotNull(), "reversed_direction")
-        .when(F.col("backward").isNotNull(), "reversed_direction_and_type")
+        .when(F.col("directed"), "wrong_relation_type")
+        .when(F.col("backward") & F.col("backward_type"), "reversed_direction")
+        .when(F.col("backward"), "reversed_direction_and_type")
         .otherwise("unsupported_entity_pair")
     )
     return x.select(*pred.columns, category.alias("category"))
@@ -94,22 +107,13 @@ def classify_predicted(pred: DataFrame, gold: DataFrame, gold_entities: DataFram
 
 def classify_missed(gold: DataFrame, pred: DataFrame, pred_entities: DataFrame, by: list[str]) -> DataFrame:
     """The gold relations that were not predicted, with a class."""
-    one = lambda df, keys, name: df.select(*by, *keys).distinct().withColumn(name, F.lit(True))
-    ends = ["s_name", "s_type", "t_name", "t_type"]
-    x = gold.join(pred.select(*by, *ends, "type").distinct(), [*by, *ends, "type"], "left_anti")
-    x = x.join(one(pred, ["s_name", "t_name"], "directed"), [*by, "s_name", "t_name"], "left")
-    back = pred.select(*by, F.col("t_name").alias("s_name"), F.col("s_name").alias("t_name"))
-    x = x.join(one(back, ["s_name", "t_name"], "backward"), [*by, "s_name", "t_name"], "left")
-    for side in ("s", "t"):
-        named = pred_entities.select(*by, F.col("name").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"))
-        x = x.join(one(named, [f"{side}_name", f"{side}_type"], f"{side}_exact"), [*by, f"{side}_name", f"{side}_type"], "left")
-        x = x.join(one(named, [f"{side}_name"], f"{side}_named"), [*by, f"{side}_name"], "left")
-    both = F.col("s_exact").isNotNull() & F.col("t_exact").isNotNull()
+    x = _with_other_side(gold, pred, pred_entities, by).filter(~F.col("strict"))
+    both = F.col("s_exact") & F.col("t_exact")
     category = (
-        F.when(both & F.col("directed").isNotNull(), "wrong_relation_type_or_claim")
-        .when(both & F.col("backward").isNotNull(), "direction_error")
+        F.when(both & F.col("directed"), "wrong_relation_type_or_claim")
+        .when(both & F.col("backward"), "direction_error")
         .when(both, "relation_type_or_pair_error_with_recalled_entities")
-        .when(F.col("s_named").isNotNull() | F.col("t_named").isNotNull(), "partial_entity_boundary_or_type_error")
+        .when(F.col("s_named") | F.col("t_named"), "partial_entity_boundary_or_type_error")
         .otherwise("entity_recall_bottleneck")
     )
     return x.select(*gold.columns, category.alias("category"))

@@ -7,11 +7,16 @@ of a document, so no exploded table of all tokens exists.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.ids import h16, h16b
-from quillspan.functions.text import norm
+from quillspan.functions.text import MARKUP_PAIRS, canonical_text, norm
+from quillspan.sources.scratch import written
 
 TYPES = ["PER", "ORG", "LOC", "MISC"]
 RELATIONS = ["works_for", "located_in", "linked_to"]
@@ -28,26 +33,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, i, tok, start, seg, seg_text; in_gold, in_v1, in_v2 and the types there."""
-    toks = F.split(F.coalesce("text", F.lit("")), "[ \n]")
-    d = documents(spark, sf_dir).select("doc_id", "lang", "text", toks.alias("toks"), F.split("text", "\n").alias("lines"))
-    key = lambda tag, i: F.concat(F.lit(tag), F.col("doc_id").cast("string"), F.lit(":"), i.cast("string"))
-
-    def flags(t, i):
-        gold = h16(key("", i)) % 16 == 0
-        kind = h16b(F.lower(t)) % 4
-        v1 = F.when(gold, h16(key("v1:", i)) % 8 != 0).otherwise(h16(key("x1:", i)) % 64 == 0)
-        v2 = F.when(gold, h16(key("v2:", i)) % 8 != 0).otherwise(h16(key("x2:", i)) % 64 == 0)
-        flip = lambda tag: F.when(h16(key(tag, i)) % 16 == 0, (kind + 1) % 4).otherwise(kind)
-        return F.struct(i.alias("i"), t.alias("tok"), gold.alias("in_gold"), v1.alias("in_v1"), v2.alias("in_v2"), kind.alias("k0"), flip("t1:").alias("k1"), flip("t2:").alias("k2"))
-
-    chosen = F.filter(F.transform("toks", lambda t, i: F.when(F.length(t) >= 3, flags(t, i))), lambda s: s.isNotNull() & (s["in_gold"] | s["in_v1"] | s["in_v2"]))
-    placed = F.transform(chosen, lambda s: s.withField("start", F.length(F.array_join(F.slice(F.col("toks"), F.lit(1), s["i"]), " ")) + F.when(s["i"] > 0, 1).otherwise(0)))
-    lined = F.transform(placed, lambda s: s.withField("seg", F.length(F.substring(F.col("text"), F.lit(1), s["start"])) - F.length(F.replace(F.substring(F.col("text"), F.lit(1), s["start"]), F.lit("\n"), F.lit("")))))
-    texts = F.transform(lined, lambda s: s.withField("seg_text", F.get(F.col("lines"), s["seg"])))
+    """doc_id, lang, i, tok, start, seg, seg_text; in_gold, in_v1, in_v2 and the types there.
+
+    One pass over each text chooses and places its mentions; they are written once and read by all branches of a query.
+    """
+
+    def below(m: int, *parts: object) -> bool:
+        return int(md5("".join(map(str, parts)).encode()).hexdigest()[:4], 16) % m == 0
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for doc, lang, text in f.itertuples(index=False):
+                lines = text.split("\n")
+                i = start = 0
+                for seg, line in enumerate(lines):
+                    for tok in line.split(" "):
+                        if len(tok) >= 3:
+                            gold = below(16, doc, ":", i)
+                            v1, v2 = (not below(8, k, doc, ":", i) if gold else below(64, x, doc, ":", i) for k, x in (("v1:", "x1:"), ("v2:", "x2:")))
+                            if gold or v1 or v2:
+                                out.append((doc, lang, i, tok, start, seg, line, gold, v1, v2))
+                        i += 1
+                        start += len(tok) + 1
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "i", "tok", "start", "seg", "seg_text", "in_gold", "in_v1", "in_v2"])
+
+    chosen = documents(spark, sf_dir).select("doc_id", "lang", "text").filter("text is not null").mapInPandas(choose, "doc_id bigint, lang string, i int, tok string, start int, seg int, seg_text string, in_gold boolean, in_v1 boolean, in_v2 boolean")
+    key = lambda tag: F.concat(F.lit(tag), F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string"))
+    kind = h16b(F.lower("tok")) % 4
+    flip = lambda tag: F.when(h16(key(tag)) % 16 == 0, (kind + 1) % 4).otherwise(kind)
     names = F.array(*map(F.lit, TYPES))
-    m = d.select("doc_id", "lang", F.explode(texts).alias("s")).select("doc_id", "lang", "s.*")
-    return m.select("doc_id", "lang", "i", "tok", "start", "seg", "seg_text", "in_gold", "in_v1", "in_v2", *(F.get(names, F.col(f"k{k}")).alias(n) for k, n in enumerate(("type_gold", "type_v1", "type_v2"))))
+    types = [F.get(names, k).alias(n) for k, n in ((kind, "type_gold"), (flip("t1:"), "type_v1"), (flip("t2:"), "type_v2"))]
+    return written(chosen.select("*", *types), "mentions")
 
 
 def entities(m: DataFrame, which: str) -> DataFrame:
@@ -83,8 +100,8 @@ def signatures(spark: SparkSession) -> DataFrame:
 
 
 def concepts(m: DataFrame, which: str = "gold") -> DataFrame:
-    """Mentions by language, type and normal form: name, mention_count, docs."""
-    e = entities(m, which).withColumn("name", norm("text"))
+    """Mentions by language, type and canonical text: name, mention_count, docs."""
+    e = entities(m, which).withColumn("name", canonical_text("text"))
     return e.groupBy("lang", "type", "name").agg(F.count("*").alias("mention_count"), F.array_sort(F.collect_set("doc_id")).alias("docs"))
 
 
@@ -106,6 +123,15 @@ def duck_norm(x: str) -> str:
     return _NORM.format(x)
 
 
+def duck_strip(x: str) -> str:
+    """Outer markup off a normalized text: of nested pairs as many layers as the text can have is beyond one expression,
+    so four, more than any token of the tables has; blanks inside tokens there are none."""
+    pairs = " OR ".join(f"(t[1] = '{p[0]}' AND t[-1] = '{p[1]}')" for p in MARKUP_PAIRS)
+    for _ in range(4):
+        x = f"list_transform([{x}], lambda t: CASE WHEN length(t) >= 2 AND ({pairs}) THEN trim(t[2:-2]) ELSE t END)[1]"
+    return x
+
+
 def _duck_entities(which: str) -> str:
     return f"SELECT doc_id, lang, 'E' || i AS id, i, tok AS text, type_{which} AS type, seg, \"start\", \"start\" + length(tok) AS \"end\", seg_text, {duck_norm('tok')} AS name FROM m WHERE in_{which}"
 

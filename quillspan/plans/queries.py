@@ -11,7 +11,7 @@ from quillspan.functions import text as T
 from quillspan.functions.ids import concept_id, document_id, f1, h16, ratio
 from quillspan.operators import contracts, corpus, decode, gate, graph, kg, metrics, resample, splitting, windows
 from quillspan.plans import fixtures as fx
-from quillspan.plans.fixtures import DUCK, duck_norm
+from quillspan.plans.fixtures import DUCK, duck_norm, duck_strip
 from quillspan.sources.readers import plain_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +107,7 @@ def content_length_stats(spark, sf):
 
 @query(f"SELECT doc_id, md5({duck_norm('text')}) AS norm_md5, md5(CASE WHEN length(text) <= 180 THEN text ELSE rtrim(text[:179], ' ' || chr(10)) || '…' END) AS clip_md5 FROM documents")
 def normalized_texts(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.md5(T.norm("text")).alias("norm_md5"), F.md5(F.when(F.length("text") <= 180, F.col("text")).otherwise(F.concat(F.regexp_replace(F.col("text").substr(1, 179), "[ \n]+$", ""), F.lit("…")))).alias("clip_md5"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(T.norm("text")).alias("norm_md5"), F.md5(T.clip("text")).alias("clip_md5"))
 
 
 @query(f"""SELECT doc_id, list(item_id ORDER BY item_id) AS items FROM documents d JOIN benchmark b ON contains({duck_norm('d.text')}, {duck_norm('b.text')}) GROUP BY doc_id""")
@@ -423,14 +423,16 @@ def shard_union_order(spark, sf):
 # --- knowledge graph --------------------------------------------------------------------------------------------------
 
 
-@query(f"{DUCK} SELECT lang, type, name AS canonical_name, count(*) AS mention_count, list(DISTINCT doc_id ORDER BY doc_id) AS source_documents, 'concept_' || substr(sha1(lang || '|' || type || '|' || name), 1, 16) AS concept_id FROM gold GROUP BY lang, type, name")
+_CANON = f"{DUCK}, canon AS MATERIALIZED (SELECT * REPLACE ({duck_strip('name')} AS name) FROM gold)"
+
+
+@query(f"{_CANON} SELECT lang, type, name AS canonical_name, count(*) AS mention_count, list(DISTINCT doc_id ORDER BY doc_id) AS source_documents, 'concept_' || substr(sha1(lang || '|' || type || '|' || name), 1, 16) AS concept_id FROM canon GROUP BY lang, type, name")
 def concept_agg(spark, sf):
-    m = fx.mentions(spark, sf)
-    c = fx.concepts(m)
-    return c.select("lang", "type", F.col("name").alias("canonical_name"), "mention_count", F.col("docs").alias("source_documents"), F.concat(F.lit("concept_"), F.substring(F.sha1(F.concat_ws("|", "lang", "type", "name")), 1, 16)).alias("concept_id"))
+    e = fx.entities(fx.mentions(spark, sf), "gold")
+    return kg.build_concepts(e).select("lang", "type", "canonical_name", "mention_count", "source_documents", "concept_id")
 
 
-_CAT = f"""{DUCK}, k AS (SELECT lang, type, name, count(*) AS n, list(DISTINCT doc_id ORDER BY doc_id) AS docs FROM gold GROUP BY ALL), cat AS MATERIALIZED (SELECT lang, name, type, round(n / total, 4)::DOUBLE AS purity, n AS support, docs FROM (SELECT *, sum(n) OVER (PARTITION BY lang, name) AS total, row_number() OVER (PARTITION BY lang, name ORDER BY n DESC, type) AS rk FROM k) WHERE rk = 1)"""
+_CAT = f"""{_CANON}, k AS (SELECT lang, type, name, count(*) AS n, list(DISTINCT doc_id ORDER BY doc_id) AS docs FROM canon WHERE name <> '' GROUP BY ALL), cat AS MATERIALIZED (SELECT lang, name, type, round(n / total, 4)::DOUBLE AS purity, n AS support, docs FROM (SELECT *, sum(n) OVER (PARTITION BY lang, name) AS total, row_number() OVER (PARTITION BY lang, name ORDER BY n DESC, type) AS rk FROM k) WHERE rk = 1)"""
 
 
 def _catalog(m):
@@ -443,7 +445,7 @@ def type_purity_anchors(spark, sf):
     return _catalog(fx.mentions(spark, sf))
 
 
-@query(f"""{_NAMED} SELECT lang, s_name AS source, s_type AS source_type, type AS relation, t_name AS target, t_type AS target_type, count(*) AS support, list(DISTINCT doc_id ORDER BY doc_id) AS docs FROM gr WHERE s_name <> t_name GROUP BY ALL""")
+@query(f"""{_NAMED}, c AS (SELECT * REPLACE ({duck_strip('s_name')} AS s_name, {duck_strip('t_name')} AS t_name) FROM gr) SELECT lang, s_name AS source, s_type AS source_type, type AS relation, t_name AS target, t_type AS target_type, count(*) AS support, list(DISTINCT doc_id ORDER BY doc_id) AS docs FROM c WHERE s_name <> t_name AND s_name <> '' AND t_name <> '' GROUP BY ALL""")
 def edge_support(spark, sf):
     m = fx.mentions(spark, sf)
     con = kg.build_concepts(fx.entities(m, "gold").withColumn("text", T.norm("text")))
@@ -462,7 +464,7 @@ def leave_one_doc_out_anchors(spark, sf):
     return kg.exact_anchors(seg, _catalog(m))
 
 
-@query(f"{DUCK}, k AS (SELECT lang, type, name, count(*) AS n FROM gold GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, type ORDER BY n DESC, name) AS round FROM k), q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round, type) AS rank FROM r) SELECT lang, type, name, n, rank FROM q WHERE rank <= 20")
+@query(f"{_CANON}, k AS (SELECT lang, type, name, count(*) AS n FROM canon GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, type ORDER BY n DESC, name) AS round FROM k), q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round, type) AS rank FROM r) SELECT lang, type, name, n, rank FROM q WHERE rank <= 20")
 def round_robin_topk(spark, sf):
     k = fx.concepts(fx.mentions(spark, sf)).select("lang", "type", "name", F.col("mention_count").alias("n"))
     return kg.round_robin(k, ["lang"], "type", [F.desc("n"), "name"], 20).drop("round")
@@ -494,7 +496,7 @@ def kg_coverage(spark, sf):
     return e.join(known, ["lang", "type", "name"], "left").groupBy("split").agg(F.count("*").alias("mentions"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("known"))
 
 
-@query(f"""{DUCK}, sp AS {_SPLIT}, k AS (SELECT lang, type, name, unnest(list(DISTINCT doc_id)) AS doc_id FROM gold GROUP BY lang, type, name) SELECT lang, type, name, list(doc_id ORDER BY doc_id) AS outside FROM k JOIN sp USING (doc_id) WHERE split <> 'train' GROUP BY lang, type, name""")
+@query(f"""{_CANON}, sp AS {_SPLIT}, k AS (SELECT lang, type, name, unnest(list(DISTINCT doc_id)) AS doc_id FROM canon GROUP BY lang, type, name) SELECT lang, type, name, list(doc_id ORDER BY doc_id) AS outside FROM k JOIN sp USING (doc_id) WHERE split <> 'train' GROUP BY lang, type, name""")
 def leakage_audit(spark, sf):
     c = fx.concepts(fx.mentions(spark, sf)).select("lang", "type", "name", "docs")
     return splitting.leakage(c, "docs", _splits(spark, sf))
