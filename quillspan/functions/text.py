@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +26,19 @@ _ONE, _MANY = _foldings()
 
 def casefold(x: Column | str) -> Column:
     """Unicode case folding. Texts of one byte a character take the short way."""
-    t = col(x)
-    full = F.translate(t, "".join(_ONE), "".join(_ONE.values()))
-    several = "[" + "".join(_MANY) + "]"
-    long = full
-    for c, f in _MANY.items():
-        long = F.replace(long, F.lit(c), F.lit(f))
-    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).when(t.rlike(several), long).otherwise(full)
+    several = F.create_map(*(F.lit(y) for pair in _MANY.items() for y in pair))
+
+    def fold(t: Column) -> Column:
+        one = F.translate(t, "".join(_ONE), "".join(_ONE.values()))
+        rare = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+        return F.when(F.octet_length(t) == F.length(t), F.lower(t)).when(t.rlike("[" + "".join(_MANY) + "]"), rare).otherwise(one)
+
+    return bound(col(x), fold)
+
+
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x), with x computed once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 def norm(x: Column | str) -> Column:
@@ -50,8 +58,12 @@ def strip_markup(x: Column | str, pairs: list[str] = MARKUP_PAIRS) -> Column:
         return F.when((F.length(t) >= 2) & enclosed, F.trim(t.substr(F.lit(2), F.length(t) - 2))).otherwise(t)
 
     opening = "".join(sorted({f"\\{p[0]}" for p in pairs}))
-    layers = F.length(F.regexp_extract(col(x), f"^[ {opening}]*", 0)) + 1
-    return F.when(col(x).isNotNull(), F.aggregate(F.sequence(F.lit(1), layers), col(x), peel))
+
+    def strip(t: Column) -> Column:
+        layers = F.length(F.regexp_extract(t, f"^[ {opening}]*", 0))
+        return F.when(layers > 0, F.aggregate(F.sequence(F.lit(0), layers), t, peel)).otherwise(F.trim(t))
+
+    return bound(col(x), strip)
 
 
 def canonical_text(x: Column | str, pairs: list[str] = MARKUP_PAIRS) -> Column:

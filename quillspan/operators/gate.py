@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import col, norm
+from quillspan.functions.text import bound, col, norm
 
 VERIFY_REASONS = [
     "unknown_entity_reference",
@@ -28,7 +28,7 @@ VERIFY_REASONS = [
 def well_formed(evidence: Column | str) -> Column:
     """At least one item, and each with a text and a segment."""
     e = col(evidence)
-    ok = F.forall(e, lambda v: (F.coalesce(norm(v["text"]), F.lit("")) != "") & v["segment_id"].isNotNull())
+    ok = F.forall(e, lambda v: F.coalesce(v["text"].rlike(r"(?U)\S"), F.lit(False)) & v["segment_id"].isNotNull())
     return F.coalesce((F.size(e) > 0) & ok, F.lit(False))
 
 
@@ -38,9 +38,9 @@ def segment_ids(evidence: Column | str) -> Column:
 
 def contains_both(evidence: Column | str, a: Column | str, b: Column | str) -> Column:
     """One item holds both texts, normalized and not empty."""
-    x, y = norm(a), norm(b)
-    found = F.exists(col(evidence), lambda v: F.contains(norm(v["text"]), x) & F.contains(norm(v["text"]), y))
-    return F.coalesce((x != "") & (y != "") & found, F.lit(False))
+    all_ = F.struct(norm(a).alias("x"), norm(b).alias("y"), F.transform(col(evidence), lambda v: norm(v["text"])).alias("texts"))
+    both = bound(all_, lambda s: (s["x"] != "") & (s["y"] != "") & F.exists(s["texts"], lambda t: F.contains(t, s["x"]) & F.contains(t, s["y"])))
+    return F.coalesce(both, F.lit(False))
 
 
 def with_endpoints(relations: DataFrame, entities: DataFrame, by: list[str], fields: tuple[str, ...] = ("text", "type", "evidence")) -> DataFrame:

@@ -68,3 +68,20 @@ def test_json_repair():
     with pytest.raises(ValueError):
         S.extract_annotation("nothing")
     assert S.unwrap_json('```json\n{"a": [1]}\n```') == '{"a": [1]}'
+
+
+def test_casefold_of_every_character(spark):
+    from quillspan.functions import text as T
+
+    chars = [c for c in map(chr, range(1, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (c.casefold() != c or ord(c) % 97 == 0)]
+    rows = [(k, "".join(chars[k : k + 50])) for k in range(0, len(chars), 50)] + [(-1, "PLAIN Ascii"), (-2, ""), (-3, None)]
+    got = {r["k"]: r["f"] for r in spark.createDataFrame(rows, "k int, t string").select("k", T.casefold("t").alias("f")).collect()}
+    assert got == {k: t.casefold() if t is not None else None for k, t in rows}
+
+
+def test_strip_markup_to_the_end(spark):
+    from quillspan.functions import text as T
+
+    rows = ["(" * 30 + "x" + ")" * 30, "《 (a) 》", "()", "(a) b", "", None, "[(]", "(a)(b)"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").orderBy("k").select(T.strip_markup("t")).collect()]
+    assert got == ["x", "a", "", "(a) b", "", None, "(", "a)(b"]
