@@ -11,8 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+(?:[-_]\w+)*|\S")
-_SENTENCE = re.compile(r"(?:[.!?。！？；;][\"'”’）)]?)(?=\s|$)")
-_BREAKS = (_SENTENCE, re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"\s"))
+# Fixed values: what ends a sentence, what may follow it, the least share of a part, and a crop's margin.
+ENDERS, CLOSERS = ".!?。！？；;", "\"'”’）)"
+LEAST_SHARE, MARGIN, CROP = 0.55, 120, 480
+_JSON = re.compile(r'"(?:\\.|[^"\\])*"|[\[\]{}]|[^"\[\]{}]+', re.DOTALL)
 
 
 def occurrences(text: str, needle: str, overlapping: bool = True) -> list[tuple[int, int]]:
@@ -112,21 +114,33 @@ def choose_spans(candidates: Sequence[tuple], mode: str = "longest") -> list[tup
     return sorted((*k, best[k]) if width > 3 else k for k in taken)
 
 
+def break_kind(text: str, at: int, begin: int, stop: int) -> int | None:
+    """What kind of break ends at this place of text[begin:stop]: 0 a sentence, 1 a blank line, 2 a line, 3 white space."""
+    last = text[at - 1]
+    closed = last in CLOSERS and at - 2 >= begin and text[at - 2] in ENDERS
+    if (last in ENDERS or closed) and (at == stop or text[at].isspace()):
+        return 0
+    if last == "\n":
+        blank = text[begin : at - 1]
+        return 1 if "\n" in blank[len(blank.rstrip()) :] else 2
+    return 3 if last.isspace() else None
+
+
 def break_point(text: str, start: int, hard_end: int, protected: Sequence[tuple[int, int]] = ()) -> int:
     """Where to end a part that may go to hard_end: after the last sentence, else blank line, line or white space in the
     last 45 %, and never inside a protected span."""
-    least = start + max(1, int((hard_end - start) * 0.55))
-    view, end = text[start:hard_end], hard_end
-    for p in _BREAKS:
-        fits = [start + m.end() for m in p.finditer(view) if start + m.end() >= least]
-        if fits:
-            end = fits[-1]
-            break
-    inside = next(((a, b) for a, b in sorted(protected) if a < end < b), None)
-    if inside:
-        a, b = inside
-        end = b if b <= hard_end else a if a > start else end
-    return max(start + 1, min(end, hard_end))
+    seen: dict[int, int] = {}
+    for at in range(hard_end, start + max(1, int((hard_end - start) * LEAST_SHARE)) - 1, -1):
+        kind = break_kind(text, at, start, hard_end)
+        if kind is not None:
+            seen.setdefault(kind, at)
+            if kind == 0:
+                break
+    end = seen[min(seen)] if seen else hard_end
+    around = min(((a, b) for a, b in protected if a < end < b), default=None)
+    if around and around[1] <= hard_end:
+        return around[1]
+    return around[0] if around and around[0] > start else end
 
 
 def semantic_parts(text: str, size: int, overlap: int, protected: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
@@ -155,20 +169,19 @@ def fixed_parts(length: int, size: int, overlap: int) -> list[tuple[int, int]]:
         start = max(start + 1, end - overlap)
 
 
-def focus(text: str, needles: Sequence[str], size: int = 480) -> tuple[int, int]:
+def focus(text: str, needles: Sequence[str], size: int = CROP) -> tuple[int, int]:
     """A span of about size characters around the first places of the needles, from a line's start to a sentence's end."""
-    spans = [(text.find(n), text.find(n) + len(n)) for n in needles if n and n in text]
-    if not spans or len(text) <= size:
+    places = {text.find(n): n for n in needles if n and n in text}
+    if not places or len(text) <= size:
         return 0, len(text)
-    first, last = min(a for a, _ in spans), max(b for _, b in spans)
-    size = min(len(text), max(size, last - first + 120))
-    start = max(0, first - (size - (last - first)) // 2)
-    end = min(len(text), start + size)
-    start = max(0, end - size)
-    line = text.rfind("\n", start, first)
-    start = line + 1 if line >= start else start
-    stop = next((last + m.end() for m in re.finditer(rf"{_SENTENCE.pattern}|\n", text[last:end])), None)
-    return start, stop if stop is not None and stop - start <= size else end
+    low, high = min(places), max(text.find(n) + len(n) for n in needles if n and n in text)
+    room = min(len(text), max(size, high - low + MARGIN))
+    left = min(max(low - (room - (high - low)) // 2, 0), len(text) - room)
+    right = left + room
+    left = max(left, text.rfind("\n", left, low) + 1)
+    ends = (at for at in range(high + 1, right + 1) if break_kind(text, at, high, right) in (0, 1, 2))
+    stop = next(ends, right)
+    return left, stop if stop - left <= room else right
 
 
 def window_ranges(n: int, fits: Callable[[int, int], bool], overlap: int = 1) -> list[tuple[int, int]]:
@@ -186,37 +199,33 @@ def window_ranges(n: int, fits: Callable[[int, int], bool], overlap: int = 1) ->
 
 
 def close_json(text: str) -> str | None:
-    """The text with the brackets that are missing, or None if that can't make it whole."""
-    text = re.sub(r'}\s*,\s*("relations"\s*:)', r"}], \1", text, count=1)
-    open_, out, quoted, i = [], [], False, 0
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            if c == "\\":
-                out.append(text[i : i + 2])
-                i += 2
-                continue
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            open_.append(c)
-        elif c in "]}":
-            want = "[" if c == "]" else "{"
-            if c == "}" and want in open_:
-                while open_[-1] == "[":
-                    out.append("]")
-                    open_.pop()
-            if not open_ or open_.pop() != want:
+    """The text with the brackets that are missing, or None if that can't make it whole.
+
+    Token by token: a closing brace first closes lists that are open inside its object, and a key closes a list that it
+    would stand in; what is open at the end is closed there. A string without an end can't be mended."""
+    parts: list[str] = []
+    waiting: list[str] = []  # the closing brackets that are due, the next one last
+    at = 0
+    for m in _JSON.finditer(text):
+        if m.start() != at:
+            return None
+        token, at = m[0], m.end()
+        if token in ("{", "["):
+            waiting.append("}" if token == "{" else "]")
+        elif token in ("}", "]"):
+            if token == "}" and token in waiting:
+                while waiting[-1] == "]":
+                    parts.append(waiting.pop())
+            if not waiting or waiting.pop() != token:
                 return None
-        out.append(c)
-        i += 1
-    if quoted:
+        elif token[0] == '"' and waiting[-1:] == ["]"] and text[at:].lstrip()[:1] == ":":
+            comma = bool(parts) and parts[-1].strip() == ","
+            parts.insert(len(parts) - comma, waiting.pop())
+        parts.append(token)
+    if at != len(text):
         return None
-    body = "".join(out)
-    if open_:
-        body = re.sub(r",\s*$", "", body)
-    return body + "".join("]" if c == "[" else "}" for c in reversed(open_))
+    whole = "".join(parts)
+    return (whole.rstrip().removesuffix(",") if waiting else whole) + "".join(reversed(waiting))
 
 
 def extract_annotation(text: str) -> dict:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,37 +79,38 @@ def negatives(pairs: DataFrame, by: list[str], positive: str, kind: Column, quot
     return p.withColumn("kind", F.lit("positive")).unionByName(neg.filter(F.col("_r") <= room).drop("_key", "_limit", "_r"))
 
 
-def stable_rank(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _tie(*parts: object) -> str:
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
 
 
 def allocate_clusters(clusters: DataFrame, targets: dict[str, int], dimensions: list[str]) -> DataFrame:
-    """cluster and split: whole clusters, the largest first, go where the split lacks most of their kinds of documents.
+    """cluster and split: whole clusters, the largest first, go where the split lacks most of their kinds of documents;
+    of equal ones where most room is left, then by hash. ValueError if a cluster fits nowhere.
 
-    clusters: cluster and one row per document with the dimensions. Greedy in order, so it is one task; it sees one row
-    per cluster and combination of kinds, not one per document.
+    clusters: cluster and one row per document with the dimensions. Each choice depends on all before, so it is one task;
+    it sees one row per cluster and kind (a dimension's value), not one per document.
     """
-    counts = clusters.groupBy("cluster", *dimensions).agg(F.count("*").alias("n"))
+    kinds = F.explode(F.array(*(F.concat(F.lit(f"{d}="), F.coalesce(F.col(d).cast("string"), F.lit("\0"))) for d in dimensions)))
+    counts = clusters.select("cluster", kinds.alias("kind")).groupBy("cluster", "kind").agg(F.count("*").alias("n"))
+    names = list(targets)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(targets.values())
-        have = {s: Counter() for s in targets}
-        size = dict.fromkeys(targets, 0)
-        share = {(d, v): n / total for d in dimensions for v, n in frame.groupby(d, dropna=False)["n"].sum().items()}
-        groups = sorted(frame.groupby("cluster"), key=lambda g: (-g[1]["n"].sum(), stable_rank(str(g[0]))))
+        table = frame.pivot_table(index="cluster", columns="kind", values="n", fill_value=0, aggfunc="sum")
+        docs = table.to_numpy(float).sum(axis=1) / len(dimensions)
+        room = np.array([targets[s] for s in names], float)
+        lacks = np.outer(room / room.sum(), table.sum(axis=0).to_numpy(float))  # by split and kind
+        order = sorted(range(len(table)), key=lambda k: (-docs[k], _tie(table.index[k])))
         out = []
-        for cluster, g in groups:
-            n = int(g["n"].sum())
-            fits = [s for s in targets if size[s] + n <= targets[s]]
-            if not fits:
-                raise ValueError(f"cluster {cluster} fits into no split")
-            kinds = {(d, v) for d in dimensions for v in g[d].unique()}
-            best = max(fits, key=lambda s: (sum(max(targets[s] * share[k] - have[s][k], 0) for k in kinds), targets[s] - size[s], stable_rank(f"{cluster}|{s}")))
-            out.append((cluster, best))
-            size[best] += n
-            for d in dimensions:
-                for v, m in g.groupby(d, dropna=False)["n"].sum().items():
-                    have[best][d, v] += int(m)
+        for k in order:
+            own = table.iloc[k].to_numpy(float)
+            need = np.maximum(lacks[:, own > 0], 0).sum(axis=1)
+            open_ = [s for s in range(len(names)) if room[s] >= docs[k]]
+            if not open_:
+                raise ValueError(f"cluster {table.index[k]} fits into no split")
+            best = max(open_, key=lambda s: (round(need[s], 9), room[s], _tie(table.index[k], names[s])))
+            room[best] -= docs[k]
+            lacks[best] -= own
+            out.append((table.index[k], names[best]))
         return pd.DataFrame(out, columns=["cluster", "split"])
 
     kind = clusters.schema["cluster"].dataType.simpleString()
