@@ -98,9 +98,15 @@ def graph_faults(concepts: DataFrame, mentions: DataFrame, relations: DataFrame,
     )
 
 
-def grounding_rates(entities: DataFrame, by: list[str], text: str = "text", source: str = "source") -> DataFrame:
-    """Shares of entities whose text is in the source, as it is and case folded."""
-    g = entities.groupBy(*by).agg(F.count("*").alias("entities"), F.count_if(F.contains(F.col(source), F.col(text))).alias("exact"), F.count_if(F.contains(norm(source), norm(text))).alias("folded"))
+def grounding_rates(entities: DataFrame, sources: DataFrame, key: list[str], by: list[str], text: str = "text", source: str = "source") -> DataFrame:
+    """Shares of entities whose text is in their source, as it is and case folded. A source is folded once, and each of
+    its distinct texts looked up once."""
+    folded = sources.select(*key, source, norm(source).alias("_folded"))
+    texts = entities.groupBy(*key, *by, text).agg(F.count("*").alias("_n")).groupBy(*key, *by).agg(F.collect_list(F.struct(F.col(text).alias("t"), norm(text).alias("f"), F.col("_n").alias("n"))).alias("_texts"))
+    x = texts.join(folded, key, "left")
+    total = lambda hit: F.aggregate(F.filter("_texts", hit), F.lit(0).cast("bigint"), lambda a, s: a + s["n"])
+    own = x.select(*by, total(lambda s: F.lit(True)).alias("e"), total(lambda s: F.contains(F.col(source), s["t"])).alias("x"), total(lambda s: F.contains(F.col("_folded"), s["f"])).alias("f"))
+    g = own.groupBy(*by).agg(F.sum("e").alias("entities"), F.sum("x").alias("exact"), F.sum("f").alias("folded"))
     return g.select(*by, "entities", ratio("exact", "entities").alias("exact"), ratio("folded", "entities").alias("folded"))
 
 

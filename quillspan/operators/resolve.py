@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.spans import matching_spans_in
-from quillspan.functions.text import col, overlapping_starts
+from quillspan.functions.spans import matching_spans, matching_spans_in
+from quillspan.functions.text import col
 
 
 def resolve_spans(entities: DataFrame, segments: DataFrame, by: list[str], ident: str = "id") -> DataFrame:
@@ -14,28 +16,43 @@ def resolve_spans(entities: DataFrame, segments: DataFrame, by: list[str], ident
 
     entities: by, ident, text, segment_id and given_start, both null if unknown. segments: by, segment_id, start, text.
     A given place counts if the text is there; else the only match in the named segment; else the only one in all of the
-    job's. Matches are exact, else with any white space between words. An entity meets its job's segments alone.
+    job's. Matches are exact, else with any white space between words. A job's entities and segments meet in one group,
+    which its text bounds; all segments are searched at once.
     """
-    s = segments.select(*by, F.col("segment_id").alias("_seg"), F.col("start").alias("_at"), F.col("text").alias("_text"))
-    own = entities.select(*by, ident, "text", "segment_id", "given_start")
-    pairs = own.join(s, by, "left")
-    local = F.col("given_start") - F.col("_at")
-    there = (F.col("segment_id") == F.col("_seg")) & (local >= 0) & (F.substring(F.col("_text"), (local + 1).cast("int"), F.length("text")) == F.col("text")) & (F.length("text") > 0)
-    places = F.transform(matching_spans_in("_text", "text"), lambda m: F.struct((m["start"] + F.col("_at")).alias("start"), (m["end"] + F.col("_at")).alias("end")))
-    found = pairs.select(*by, ident, "given_start", "text", F.coalesce(there, F.lit(False)).alias("_there"), F.coalesce(F.col("segment_id") == F.col("_seg"), F.lit(False)).alias("_named"), F.coalesce(places, F.array().cast("array<struct<start:int,end:int>>")).alias("_m"))
-    count = lambda c: F.sum(F.when(c, F.size("_m")).otherwise(0))
-    first = lambda c: F.min(F.when(c & (F.size("_m") > 0), F.get("_m", F.lit(0))))
-    g = found.groupBy(*by, ident).agg(F.max("_there").alias("there"), count(F.col("_named")).alias("n_named"), count(F.lit(True)).alias("n_all"), first(F.col("_named")).alias("named"), first(F.lit(True)).alias("any"), F.first("given_start").alias("given"), F.first("text").alias("t"))
-    status = F.when(F.col("there") | (F.col("n_named") == 1), "resolved").when(F.col("n_named") > 1, "ambiguous").when(F.col("n_all") == 1, "resolved").when(F.col("n_all") > 1, "ambiguous").otherwise("not_found")
-    place = F.when(F.col("there"), F.struct(F.col("given").cast("int").alias("start"), (F.col("given") + F.length("t")).cast("int").alias("end"))).when(F.col("n_named") == 1, F.col("named")).when((F.col("n_named") == 0) & (F.col("n_all") == 1), F.col("any"))
-    return entities.join(g.select(*by, ident, status.alias("status"), place["start"].alias("start"), place["end"].alias("end")), [*by, ident])
+    names = [*by, ident]
+    fields = ", ".join(f"`{c}` {entities.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(own: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
+        segs = segs.sort_values("start")
+        texts = dict(zip(segs["segment_id"], zip(segs["start"].astype(int), segs["text"], strict=True), strict=True))
+        whole = "\0".join(segs["text"])
+        borders = np.cumsum([0, *(len(t) + 1 for t in segs["text"])])[:-1]
+        begins = segs["start"].to_numpy()
+        out = []
+        for text, name, given in zip(own["text"], own["segment_id"], own["given_start"], strict=True):
+            start, local = texts.get(name, (0, ""))
+            if text and given == given and given is not None and 0 <= given - start and local[int(given) - start :][: len(text)] == text:
+                out.append(("resolved", int(given), int(given) + len(text)))
+                continue
+            found = [(start + x, start + y) for x, y in matching_spans(local, text or "")]
+            if not found:
+                spots = matching_spans(whole, text or "")
+                at = np.searchsorted(borders, [x for x, _ in spots], side="right") - 1
+                found = [(int(begins[k]) + x - int(borders[k]), int(begins[k]) + y - int(borders[k])) for k, (x, y) in zip(at, spots, strict=True)]
+            out.append(("resolved", *found[0]) if len(found) == 1 else ("ambiguous" if found else "not_found", None, None))
+        got = pd.DataFrame(out, columns=["status", "start", "end"], index=own.index).astype({"start": "Int64", "end": "Int64"})
+        return pd.concat([own[names], got], axis=1)
+
+    need = entities.select(*names, "text", "segment_id", "given_start").groupBy(*by)
+    got = need.cogroup(segments.select(*by, "segment_id", "start", "text").groupBy(*by)).applyInPandas(run, f"{fields}, status string, start int, end int")
+    return entities.join(got, names)
 
 
 def nth_occurrence(uses: DataFrame, by: list[str], text: str, source: str, order: str) -> DataFrame:
-    """uses with start: the k-th use of a text in a group gets its k-th place in the source, the last one for all later
-    uses; null if there is none."""
+    """uses with start: the k-th use of a text in a group gets its k-th place in the source (places don't overlap), the
+    last one for all later uses; null if there is none."""
     w = Window.partitionBy(*by, text).orderBy(order)
-    starts = overlapping_starts(source, text)
+    starts = F.transform(matching_spans_in(source, text), lambda m: m["start"])
     x = uses.withColumn("_k", F.row_number().over(w)).withColumn("_starts", starts)
     return x.withColumn("start", F.get("_starts", F.least(F.col("_k"), F.size("_starts")) - 1)).drop("_k", "_starts")
 

@@ -87,7 +87,7 @@ def document_level_f1(spark, sf):
 
 
 @query(f"""{DUCK}, u AS (SELECT doc_id, id, tok, seg, seg_text, row_number() OVER (PARTITION BY doc_id, seg, tok ORDER BY i) AS k FROM (SELECT doc_id, i, 'E' || i AS id, tok, seg, seg_text FROM m WHERE in_v2)),
-p AS (SELECT *, list_transform(list_filter(range(0, length(seg_text) - length(tok) + 1), lambda x: substr(seg_text, (x + 1)::BIGINT, length(tok)) = tok), lambda x: x) AS spots FROM u) SELECT doc_id, id, spots[least(k, len(spots))]::INT AS "start" FROM p""")
+p AS (SELECT *, list_transform(range(1, len(string_split(seg_text, tok))), lambda k: list_sum(list_transform(string_split(seg_text, tok)[1:k], lambda x: length(x))) + (k - 1) * length(tok)) AS spots FROM u) SELECT doc_id, id, spots[least(k, len(spots))]::INT AS "start" FROM p""")
 def nth_occurrences(spark, sf):
     u = fx.mentions(spark, sf).filter("in_v2").select("doc_id", "seg", "i", F.concat(F.lit("E"), "i").alias("id"), "tok", "seg_text")
     return resolve.nth_occurrence(u, ["doc_id", "seg"], "tok", "seg_text", "i").select("doc_id", "id", "start")
@@ -196,7 +196,7 @@ def graph_faults(spark, sf):
 SELECT lang, entities, round(exact / entities, 4) AS exact, round(folded / entities, 4) AS folded FROM g""")
 def grounding_rates(spark, sf):
     e = fx.entities(fx.mentions(spark, sf), "v1").select("doc_id", "lang", F.when(_hash("gr:") % 4 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
-    return audit.grounding_rates(e.join(read(spark, sf, "documents").select("doc_id", F.col("text").alias("source")), "doc_id"), ["lang"])
+    return audit.grounding_rates(e, read(spark, sf, "documents").select("doc_id", F.col("text").alias("source")), _BY, ["lang"])
 
 
 @query(f"""{DUCK} SELECT doc_id, count(*) AS source, count(*) FILTER (WHERE "end" <= 1000) AS covered, count(*) FILTER (WHERE "end" > 1000) AS missing FROM gold GROUP BY doc_id""")
