@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import hamming, norm, shingle_array
+from quillspan.functions.text import hamming, norm
 from quillspan.operators.graph import connected_components
+from quillspan.sources.scratch import spread
 
 
 def mark_duplicates(rows: DataFrame, digest: str, ident: str) -> DataFrame:
@@ -103,7 +104,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_col, F.length(text).alias("n_chars"), norm(text).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, n_chars int, fingerprint bigint")
+    return spread(docs.select(id_col, text_col)).select(id_col, F.length(text).alias("n_chars"), norm(text).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, n_chars int, fingerprint bigint")
 
 
 def simhash_blake2b(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

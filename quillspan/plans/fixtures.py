@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.ids import h16, h16b
 from quillspan.functions.text import MARKUP_PAIRS, canonical_text, norm
-from quillspan.sources.scratch import written
+from quillspan.sources.scratch import spread, written
 
 TYPES = ["PER", "ORG", "LOC", "MISC"]
 RELATIONS = ["works_for", "located_in", "linked_to"]
@@ -58,7 +58,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
                         start += len(tok) + 1
             yield pd.DataFrame(out, columns=["doc_id", "lang", "i", "tok", "start", "seg", "seg_text", "in_gold", "in_v1", "in_v2"])
 
-    chosen = documents(spark, sf_dir).select("doc_id", "lang", "text").filter("text is not null").mapInPandas(choose, "doc_id bigint, lang string, i int, tok string, start int, seg int, seg_text string, in_gold boolean, in_v1 boolean, in_v2 boolean")
+    chosen = spread(documents(spark, sf_dir).select("doc_id", "lang", "text").filter("text is not null")).mapInPandas(choose, "doc_id bigint, lang string, i int, tok string, start int, seg int, seg_text string, in_gold boolean, in_v1 boolean, in_v2 boolean")
     key = lambda tag: F.concat(F.lit(tag), F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string"))
     kind = h16b(F.lower("tok")) % 4
     flip = lambda tag: F.when(h16(key(tag)) % 16 == 0, (kind + 1) % 4).otherwise(kind)

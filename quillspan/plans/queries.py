@@ -13,6 +13,7 @@ from quillspan.operators import contracts, corpus, decode, gate, graph, kg, metr
 from quillspan.plans import fixtures as fx
 from quillspan.plans.fixtures import DUCK, duck_norm, duck_strip
 from quillspan.sources.readers import plain_text
+from quillspan.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,12 +220,12 @@ CASE WHEN NOT (agree OR anchor OR endpoint) THEN ['no_acceptance_signal'] ELSE l
 
 def _fused(spark, sf):
     m = fx.mentions(spark, sf)
-    v = _verified(spark, sf, m)
+    v = written(_verified(spark, sf, m), "verified")  # read by several branches, and so is the result
     c = fx.entities(m, "gold").withColumn("name", T.norm("text")).groupBy("lang", "name", "type").agg(F.count("*").alias("n"))
     best = kg.top_k(c, ["lang", "name"], [F.desc("n"), "type"], 1).filter("n >= 20")
     v2 = fx.entities(m, "v2")
     anchors = v2.withColumn("name", T.norm("text")).join(best.select("lang", "name", "type"), ["lang", "name", "type"], "left_semi").select("doc_id", "name", "type")
-    return m, v, gate.fuse_entities(fx.entities(m, "v1"), v2, v.filter("accepted"), anchors, _BY, "i")
+    return m, v, written(gate.fuse_entities(fx.entities(m, "v1"), v2, v.filter("accepted"), anchors, _BY, "i"), "fused")
 
 
 @query(f"{_FUSE} SELECT doc_id, id, accepted, array_to_string(reasons, ';') AS reasons FROM fused")

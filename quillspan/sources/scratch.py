@@ -30,3 +30,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/quillspan/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes in fewer parts, as small files do; a table of many parts isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
