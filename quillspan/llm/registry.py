@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["media", "quality_rules", "quality_classifier", "line_dedup", "packing", "warc", "sentencepiece_codec", "language_model", "near_dup", "licenses"]
+_MODULES = ["media", "quality_rules", "quality_classifier", "line_dedup", "packing", "warc", "sentencepiece_codec", "language_model", "near_dup", "licenses", "filter_audit", "lexical_search", "differencing"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
