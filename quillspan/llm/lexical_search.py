@@ -5,9 +5,11 @@ a hash of the term, so that a search reads the buckets of its terms only; a buck
 dealt over several files. Documents enter as rows of the empty term, which no text has, so that the same table tells how
 many documents and terms there are.
 
-Weights and impacts are whole numbers, as the ranking is defined: an impact depends on the posting alone and is worked
-out once, before the join. Matches are summed by item and document, each task's own first; row numbers choose the best,
-again each task's own first, before anything is brought together by item.
+Weights and impacts are whole numbers, as the ranking is defined: a term's share of a document's score depends on the
+posting alone and is worked out once. Postings of the items' terms are then dealt by document, in narrow rows, and joined
+with the items of their term there: matches, many times as many, are summed by item and document where they arise. Row
+numbers choose the best, each task's own first, before anything is brought together by item. The items' side of the joins
+is a written table; Spark broadcasts it if its files are below the session's threshold, and shuffles otherwise.
 
 Defined results: a null or empty text has no terms, an item without terms no results; rows of one document id are
 documents of their own, told apart by their place; rows of one item id are one item, its terms counted once. A null id is
@@ -94,25 +96,26 @@ def postings(docs: DataFrame, wanted: DataFrame | None = None, text: str = "text
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, t) for c, t in (("place", T.LongType()), ("term", T.StringType()), ("tf", T.LongType()), ("n", T.LongType())))])
     made = docs.select(id_col, text).mapInArrow(run, schema)
     if wanted is not None:
-        made = made.join(wanted.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+        made = made.join(wanted.select(F.explode(F.array("term", F.lit(""))).alias("term")).distinct(), "term", "left_semi")
     made = made.withColumn("bucket", _bucket(F.col("term")))
     return stash(made.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "place"), "postings", by="bucket")
 
 
 def weights(index: DataFrame, n_docs: int) -> DataFrame:
-    """term and its weight w: floor(1000 ln((2 N + 2) / (2 df + 1)))."""
-    return index.groupBy("term", "bucket").agg(F.count("*").alias("df")).select("term", "bucket", F.floor(1000 * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long").alias("w"))
+    """term, bucket, its weight w: floor(1000 ln((2 N + 2) / (2 df + 1))), and a number for it, term_no."""
+    w = F.floor(1000 * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
+    return stash(index.groupBy("term", "bucket").agg(F.count("*").alias("df")).select("term", "bucket", w.alias("w"), F.monotonically_increasing_id().alias("term_no")), "weights")
 
 
 def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", top: int = TOP) -> DataFrame:
     """id_col, rank, doc_id, score: the top documents of each item; items: id_col, term."""
-    no_term = index.filter(F.col("bucket") == _bucket(F.lit(""))).filter("term = ''").filter("n > 0")
-    n_docs, n_terms = no_term.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    real = index.filter("term <> ''")
-    asked = items.withColumn("bucket", _bucket(F.col("term"))).join(weights(real, n_docs), ["term", "bucket"])
-    m = F.expr(f"100 - 90 + ((90 * n * {n_docs}L) div {max(1, n_terms)}L)")
-    impact = real.withColumn("m", m).select("term", "bucket", "doc_id", "place", F.expr("(1000000000L * tf) div (1000 * tf + 8 * m)").alias("impact"))
-    scores = impact.join(asked, ["term", "bucket"]).groupBy(id_col, "doc_id", "place").agg(F.sum(F.col("w") * F.col("impact")).alias("score")).filter("score > 0")
+    n_docs, n_terms = index.filter(F.col("bucket") == _bucket(F.lit(""))).filter("term = '' and n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    asked = items.select(id_col, "term").withColumn("bucket", _bucket(F.col("term")))
+    w = weights(index.filter("term <> ''").join(asked.select("term", "bucket").distinct(), ["term", "bucket"], "left_semi"), n_docs)
+    of_item = stash(asked.join(w, ["term", "bucket"]).select("term_no", id_col), "item-term-numbers")
+    impact = index.withColumn("m", F.expr(f"100 - 90 + ((90 * n * {n_docs}L) div {max(1, n_terms)}L)")).withColumn("impact", F.expr("(1000000000L * tf) div (1000 * tf + 8 * m)"))
+    shares = impact.join(w, ["term", "bucket"]).select("place", "doc_id", "term_no", (F.col("w") * F.col("impact")).alias("share"))
+    scores = shares.repartition("place").join(of_item, "term_no").groupBy(id_col, "place", "doc_id").agg(F.sum("share").alias("score")).filter("score > 0")
     order = Window.partitionBy(id_col).orderBy(F.desc("score"), "doc_id", "place")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(id_col, "rank", "doc_id", "score")
 
