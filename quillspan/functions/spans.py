@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from bisect import bisect_left
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,12 +107,13 @@ def choose_spans(candidates: Sequence[tuple], mode: str = "longest") -> list[tup
         rank = sorted(best, key=lambda k: (-(k[1] - k[0]), -best[k], k[0], k[2]))
     else:
         raise ValueError(f"unknown mode: {mode}")
-    taken: list[tuple] = []
+    taken: list[tuple] = []  # in text order
     for k in rank:
-        if k[1] > k[0] and all(k[1] <= t[0] or t[1] <= k[0] for t in taken):
-            taken.append(k)
+        at = bisect_left(taken, k[:2])
+        if k[1] > k[0] and (at == 0 or taken[at - 1][1] <= k[0]) and (at == len(taken) or k[1] <= taken[at][0]):
+            taken.insert(at, k)
     width = len(candidates[0]) if candidates else 3
-    return sorted((*k, best[k]) if width > 3 else k for k in taken)
+    return [(*k, best[k]) if width > 3 else k for k in taken]
 
 
 def break_kind(text: str, at: int, begin: int, stop: int) -> int | None:
@@ -147,26 +149,16 @@ def semantic_parts(text: str, size: int, overlap: int, protected: Sequence[tuple
     """Spans of at most size characters that break_point() ends, each beginning overlap characters before the last end."""
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap in [0, size)")
-    if len(text) <= size:
-        return [(0, len(text))]
-    out, start = [], 0
-    while True:
-        hard = min(start + size, len(text))
-        end = hard if hard == len(text) else break_point(text, start, hard, protected)
-        out.append((start, end))
-        if end == len(text):
-            return out
-        start = max(start + 1, end - overlap)
-
-
-def fixed_parts(length: int, size: int, overlap: int) -> list[tuple[int, int]]:
-    out, start = [], 0
-    while True:
-        end = min(start + size, length)
-        out.append((start, end))
-        if end >= length:
-            return out
-        start = max(start + 1, end - overlap)
+    n = len(text)
+
+    def part(start: int) -> tuple[int, int]:
+        reach = start + size
+        return start, n if reach >= n else break_point(text, start, reach, protected)
+
+    out = [part(0)]
+    while out[-1][1] < n:
+        out.append(part(max(out[-1][0] + 1, out[-1][1] - overlap)))
+    return out
 
 
 def focus(text: str, needles: Sequence[str], size: int = CROP) -> tuple[int, int]:
@@ -184,20 +176,6 @@ def focus(text: str, needles: Sequence[str], size: int = CROP) -> tuple[int, int
     return left, stop if stop - left <= room else right
 
 
-def window_ranges(n: int, fits: Callable[[int, int], bool], overlap: int = 1) -> list[tuple[int, int]]:
-    """Half-open ranges of segments, each as long as it fits (one segment at least), overlapping by so many."""
-    if overlap < 0:
-        raise ValueError("overlap must not be negative")
-    out, start = [], 0
-    while start < n:
-        end = start + 1
-        while end < n and fits(start, end + 1):
-            end += 1
-        out.append((start, end))
-        start = n if end >= n else max(start + 1, end - overlap)
-    return out
-
-
 def close_json(text: str) -> str | None:
     """The text with the brackets that are missing, or None if that can't make it whole.
 

@@ -679,7 +679,10 @@ def conversation_sizes(spark, sf):
     return read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("bigint").alias("longest"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, k, n, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto, count(*) OVER (PARTITION BY conv_id) AS total FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, length(coalesce(text, '')) AS n FROM conversations)),
+e AS MATERIALIZED (SELECT a.conv_id, a.k, a.total, greatest(a.k + 1, max(b.k) + 1) AS stop FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id AND b.k >= a.k AND b.upto - a.upto + a.n <= 600 GROUP BY a.conv_id, a.k, a.total),
+w AS (SELECT conv_id, 1 AS "window", k AS "first", stop AS "end", total FROM e WHERE k = 0 UNION ALL SELECT w.conv_id, w."window" + 1, e.k, e.stop, w.total FROM w JOIN e ON e.conv_id = w.conv_id AND e.k = greatest(w."first" + 1, w."end" - 1) WHERE w."end" < w.total)
+SELECT conv_id, "window"::INT AS "window", "first"::INT AS "first", "end"::INT AS "end" FROM w""")
 def conversation_windows(spark, sf):
     c = read(spark, sf, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
     return windows.segment_windows(c, "conv_id", "turn", "n", 600, 1)

@@ -1,11 +1,13 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import spans as S
 from quillspan.functions import text as T
 from quillspan.functions.ids import confidence, document_id
+from quillspan.operators.windows import budget_ranges
 
 
 def one(spark, expr):
@@ -43,7 +45,9 @@ def test_spans():
     both = [(0, 7, "ACTOR", 0.9), (0, 12, "ACTOR", 0.6)]
     assert S.choose_spans(both, "confidence")[0][1] == 7
     assert S.choose_spans(both, "longest")[0][1] == 12
-    assert S.window_ranges(10, lambda a, b: b - a <= 3, 1) == [(0, 3), (2, 5), (4, 7), (6, 9), (8, 10)]
+    assert budget_ranges(np.ones((1, 10), int), [3], 1) == [(0, 3), (2, 5), (4, 7), (6, 9), (8, 10)]
+    assert budget_ranges(np.array([[1, 9, 1, 1, 1], [1, 1, 1, 5, 1]]), [3, 5], 0) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]
+    assert budget_ranges(np.ones((1, 0), int), [3]) == []
     segs = [{"segment_id": "S1", "start": 100, "text": "火灾后再次发生火灾"}]
     assert S.resolve_span(segs, "火灾", "S1", 107) == ("resolved", 107, 109)
     assert S.resolve_span(segs, "火灾")[0] == "ambiguous"
