@@ -746,28 +746,3 @@ def split_allocator(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "source", "lang", F.xxhash64("text").alias("cluster"))
     n = d.count()
     return splitting.allocate_clusters(d.select("cluster", "source", "lang"), {"train": n, "validation": n // 5, "test": n // 5}, ["source", "lang"])
-
-
-# --- streams ----------------------------------------------------------------------------------------------------------
-
-
-@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
-def stream_tumbling_counts(spark, sf):
-    from quillspan.streaming import streams
-
-    return streams.run_available(spark, streams.tumbling_counts(streams.events(spark, sf), "1 hour", "365 days"), "complete").select("event_type", F.col("window.start").alias("hour"), "n", F.round("total", 4).alias("total"))
-
-
-@query("SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY ALL")
-def stream_dedup(spark, sf):
-    from quillspan.streaming import streams
-
-    e = streams.run_available(spark, streams.first_events(streams.events(spark, sf), ["user_id", "event_type"]), "complete")
-    return e.select("user_id", "event_type", "first_event")
-
-
-@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, k""")
-def stream_session(spark, sf):
-    from quillspan.streaming import streams
-
-    return streams.sessions(read(spark, sf, "events"), "30 minutes").select("user_id", F.col("session.start").alias("session_start"), "n")
