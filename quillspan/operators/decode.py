@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -51,21 +53,81 @@ def viterbi(logits: np.ndarray, labels: list[str]) -> list[str]:
     return [labels[i] for i in reversed(path)]
 
 
-def crf_decode(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], float, float]:
-    """Linear-chain CRF: best path, its score, and the log partition."""
-    score, logz, back = start + emissions[0], start + emissions[0], []
-    for row in emissions[1:]:
-        step = score[:, None] + transitions
-        back.append(step.argmax(0))
-        score = step.max(0) + row
-        z = logz[:, None] + transitions
-        top = z.max(0)
-        logz = top + np.log(np.exp(z - top).sum(0)) + row
-    score, logz = score + end, logz + end
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1], float(score.max()), float(logz.max() + np.log(np.exp(logz - logz.max()).sum()))
+def padded(sequences: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of rows of this width as one array (sequence, place, label), zeros behind their ends; and their lengths."""
+    n = np.array([len(s) for s in sequences], int)
+    out = np.zeros((len(sequences), max(1, n.max(initial=0)), width))
+    for k, s in enumerate(sequences):
+        if len(s):
+            out[k, : len(s)] = np.stack(s)
+    return out, n
+
+
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+
+class Crf:
+    """A linear-chain CRF: scores of transitions (from, to), of starts and of ends. Sequences of any lengths go through it
+    together, place by place; a sequence that has ended keeps its values. An empty one has path () and all values 0."""
+
+    def __init__(self, transitions: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.transitions, self.start, self.end = (np.asarray(x, float) for x in (transitions, start, end))
+
+    def partition(self, emissions: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log of the sum over all paths of exp(score)."""
+        alpha = self.start + emissions[:, 0]
+        for t in range(1, emissions.shape[1]):
+            after = _logsum(alpha[:, :, None] + self.transitions, 1) + emissions[:, t]
+            alpha = np.where((t < n)[:, None], after, alpha)
+        return np.where(n > 0, _logsum(alpha + self.end, 1), 0.0)
+
+    def score(self, emissions: np.ndarray, n: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Score of the given paths; what stands behind a sequence's end isn't looked at."""
+        rows, at = np.arange(len(n))[:, None], np.arange(emissions.shape[1])[None]
+        inside = at < n[:, None]
+        y = np.where(inside, labels, 0)
+        total = (emissions[rows, at, y] * inside).sum(1) + (self.transitions[y[:, :-1], y[:, 1:]] * inside[:, 1:]).sum(1)
+        return np.where(n > 0, total + self.start[y[:, 0]] + self.end[y[np.arange(len(n)), np.maximum(n - 1, 0)]], 0.0)
+
+    def decode(self, emissions: np.ndarray, n: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+        """Best paths, of equal ones that with the least labels from the end, and their scores."""
+        best, back = self.start + emissions[:, 0], []
+        for t in range(1, emissions.shape[1]):
+            step = best[:, :, None] + self.transitions
+            back.append(step.argmax(1))
+            best = np.where((t < n)[:, None], step.max(1) + emissions[:, t], best)
+        last = best + self.end
+        at, paths = last.argmax(1), np.zeros((len(n), emissions.shape[1]), int)
+        for t in range(emissions.shape[1] - 1, -1, -1):
+            paths[:, t] = at
+            if t:
+                at = np.where(t < n, back[t - 1][np.arange(len(n)), at], at)
+        return [p[:k].tolist() for p, k in zip(paths, n.tolist(), strict=True)], np.where(n > 0, last.max(1), 0.0)
+
+
+def crf_sequences(rows: DataFrame, emissions: str, labels: str, crf: Crf) -> DataFrame:
+    """rows' other columns with path (array of labels' numbers), best (its score), log_partition, gold_score of the given
+    labels and nll, their negative log probability. rows: one sequence each, emissions an array of arrays. Batches of
+    sequences go through the model together."""
+    kept = [c for c in rows.columns if c not in (emissions, labels)]
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            x, n = padded([[] if e is None else list(e) for e in f[emissions]], len(crf.start))
+            y = np.zeros(x.shape[:2], int)
+            for k, given in enumerate(f[labels]):
+                if given is not None and len(given):
+                    y[k, : len(given)] = given
+            z, gold = crf.partition(x, n), crf.score(x, n, y)
+            paths, best = crf.decode(x, n)
+            yield f[kept].assign(path=paths, best=best, log_partition=z, gold_score=gold, nll=z - gold)
+
+    return rows.select(*kept, emissions, labels).mapInPandas(run, f"{fields}, path array<int>, best double, log_partition double, gold_score double, nll double")
 
 
 def viterbi_tokens(tokens: DataFrame, by: list[str], order: str, logits: str, labels: list[str]) -> DataFrame:
@@ -77,38 +139,3 @@ def viterbi_tokens(tokens: DataFrame, by: list[str], order: str, logits: str, la
         return f[[*by, order]].assign(label=viterbi(np.array(f[logits].tolist(), float), labels))
 
     return tokens.select(*by, order, logits).groupBy(*by).applyInPandas(run, f"{fields}, label string")
-
-
-def max_matching(n_left: int, edges: list[list[int]]) -> int:
-    """Size of a maximum one-to-one matching; edges: for each left node its right nodes."""
-    owner: dict[int, int] = {}
-
-    def place(u: int, seen: set[int]) -> bool:
-        for v in edges[u]:
-            if v not in seen:
-                seen.add(v)
-                if v not in owner or place(owner[v], seen):
-                    owner[v] = u
-                    return True
-        return False
-
-    return sum(place(u, set()) for u in range(n_left))
-
-
-def boundary_matches(gold: DataFrame, predicted: DataFrame, by: list[str], typed: bool = True, threshold: float = 0.5) -> DataFrame:
-    """by, gold, predicted, matched: one-to-one matches of entities whose normalized names overlap (and types agree).
-    gold, predicted: by, name, type. A group is one job's annotations."""
-    both = gold.select(*by, "name", "type", F.lit(0).alias("side")).unionByName(predicted.select(*by, "name", "type", F.lit(1).alias("side")))
-    fields = ", ".join(f"`{c}` {gold.schema[c].dataType.simpleString()}" for c in by)
-
-    def near(a: str, b: str) -> bool:
-        short, long = sorted((a, b), key=len)
-        return bool(short) and short in long and len(short) >= threshold * len(long)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        g, p = (f[f["side"] == k] for k in (0, 1))
-        gold_ = list(zip(g["name"], g["type"], strict=True))
-        edges = [[j for j, (n, t) in enumerate(gold_) if near(n, m) and (not typed or t == u)] for m, u in zip(p["name"], p["type"], strict=True)]
-        return pd.DataFrame({**{c: [f[c].iloc[0]] for c in by}, "gold": [len(g)], "predicted": [len(p)], "matched": [max_matching(len(p), edges)]})
-
-    return both.groupBy(*by).applyInPandas(run, f"{fields}, gold bigint, predicted bigint, matched bigint")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -83,35 +84,69 @@ def _tie(*parts: object) -> str:
     return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
 
 
-def allocate_clusters(clusters: DataFrame, targets: dict[str, int], dimensions: list[str]) -> DataFrame:
-    """cluster and split: whole clusters, the largest first, go where the split lacks most of their kinds of documents;
-    of equal ones where most room is left, then by hash. ValueError if a cluster fits nowhere.
+#: A class's clusters are given out in so many steps at most, each as many clusters as the class has over this.
+STEPS = 2000
+#: Clusters of one class that are ranked by one task, about.
+RANKED = 1_000_000
 
-    clusters: cluster and one row per document with the dimensions. Each choice depends on all before, so it is one task;
-    it sees one row per cluster and kind (a dimension's value), not one per document.
-    """
-    kinds = F.explode(F.array(*(F.concat(F.lit(f"{d}="), F.coalesce(F.col(d).cast("string"), F.lit("\0"))) for d in dimensions)))
-    counts = clusters.select("cluster", kinds.alias("kind")).groupBy("cluster", "kind").agg(F.count("*").alias("n"))
-    names = list(targets)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        table = frame.pivot_table(index="cluster", columns="kind", values="n", fill_value=0, aggfunc="sum")
-        docs = table.to_numpy(float).sum(axis=1) / len(dimensions)
-        room = np.array([targets[s] for s in names], float)
-        lacks = np.outer(room / room.sum(), table.sum(axis=0).to_numpy(float))  # by split and kind
-        order = sorted(range(len(table)), key=lambda k: (-docs[k], _tie(table.index[k])))
-        out = []
-        for k in order:
-            own = table.iloc[k].to_numpy(float)
-            need = np.maximum(lacks[:, own > 0], 0).sum(axis=1)
+def plan_allocation(classes: pd.DataFrame, targets: dict[str, int], n_dimensions: int) -> pd.DataFrame:
+    """class, first and end rank, split, and the class's step. classes: class, profile (pairs of kind and count), n (its clusters). The largest
+    clusters first, of equal ones by class; a step's clusters go where the split lacks most of their kinds of documents,
+    of equal ones where most room is left, then by hash. ValueError if a cluster fits nowhere."""
+    names = list(targets)
+    room = np.array([targets[s] for s in names], float)
+    total: Counter[str] = Counter()
+    for profile, n in zip(classes["profile"], classes["n"], strict=True):
+        total.update({k: c * int(n) for k, c in profile})
+    lacks = [{k: share * c for k, c in total.items()} for share in room / room.sum()]
+    docs = [sum(c for _, c in p) / n_dimensions for p in classes["profile"]]
+    out = []
+    for k in sorted(range(len(classes)), key=lambda k: (-docs[k], classes["class"].iloc[k])):
+        name, profile, left, rank = classes["class"].iloc[k], list(classes["profile"].iloc[k]), int(classes["n"].iloc[k]), 0
+        step = -(-left // STEPS)
+        while left:
             open_ = [s for s in range(len(names)) if room[s] >= docs[k]]
             if not open_:
-                raise ValueError(f"cluster {table.index[k]} fits into no split")
-            best = max(open_, key=lambda s: (round(need[s], 9), room[s], _tie(table.index[k], names[s])))
-            room[best] -= docs[k]
-            lacks[best] -= own
-            out.append((table.index[k], names[best]))
-        return pd.DataFrame(out, columns=["cluster", "split"])
-
-    kind = clusters.schema["cluster"].dataType.simpleString()
-    return counts.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda f: run(f), f"cluster {kind}, split string")
+                raise ValueError(f"clusters of {docs[k]:.0f} documents fit into no split")
+            need = {s: sum(max(lacks[s][x], 0.0) for x, _ in profile) for s in open_}
+            best = max(open_, key=lambda s: (round(need[s], 9), room[s], _tie(name, rank, names[s])))
+            n = min(step, left, int(room[best] // docs[k]) if docs[k] else left)
+            room[best] -= n * docs[k]
+            for x, c in profile:
+                lacks[best][x] -= n * c
+            if out and out[-1][0] == name and out[-1][3] == names[best]:
+                out[-1] = (name, out[-1][1], rank + n, names[best], step)
+            else:
+                out.append((name, rank, rank + n, names[best], step))
+            rank, left = rank + n, left - n
+    return pd.DataFrame(out, columns=["class", "first", "end", "split", "step"])
+
+
+def allocate_clusters(clusters: DataFrame, targets: dict[str, int], dimensions: list[str]) -> DataFrame:
+    """cluster and split: whole clusters are dealt to the splits by plan_allocation(). clusters: cluster and one row per
+    document with the dimensions.
+
+    Clusters with equal counts of every kind (a dimension's value) are one class, and each choice depends on all before,
+    so one task plans over classes: their number grows with how clusters differ, not with clusters or documents. A
+    cluster's place is its rank by hash in its class; ranks of large classes are made in salted parts."""
+    kinds = F.explode(F.array(*(F.concat(F.lit(f"{d}="), F.coalesce(F.col(d).cast("string"), F.lit("\0"))) for d in dimensions)))
+    counts = clusters.select("cluster", kinds.alias("kind")).groupBy("cluster", "kind").agg(F.count("*").alias("n"))
+    profiles = counts.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("profile")).withColumn("class", F.sha2(F.to_json("profile"), 256))
+    classes = profiles.groupBy("class").agg(F.first("profile").alias("profile"), F.count("*").alias("n"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        pairs = [[(p["kind"], int(p["n"])) for p in profile] for profile in f["profile"]]
+        return plan_allocation(f.assign(profile=pairs), targets, len(dimensions))
+
+    plan = classes.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda f: run(f.drop(columns="_g")), "class string, first bigint, end bigint, split string, step bigint")
+    most = classes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    salted = profiles.select("cluster", "class", F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-most // RANKED)))).alias("_part"))
+    before = Window.partitionBy("class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = salted.groupBy("class", "_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy("class", "_part").orderBy(F.xxhash64("cluster"), "cluster")) - 1
+    ranked_ = salted.withColumn("_rank", inner).join(bases, ["class", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    steps = plan.groupBy("class").agg(F.first("step").alias("step"))
+    blocks = plan.withColumn("_block", F.explode(F.expr("sequence(first div step, (end - 1) div step)"))).drop("step")  # a few ranges each
+    placed = ranked_.join(steps, "class").withColumn("_block", F.expr("_rank div step")).join(blocks, ["class", "_block"])
+    return placed.filter("_rank >= first and _rank < end").select("cluster", "split")

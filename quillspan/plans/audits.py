@@ -9,7 +9,7 @@ from quillspan.functions.ids import h16
 from quillspan.operators import audit, context, corpus, kg, metrics, project, resolve
 from quillspan.plans import fixtures as fx
 from quillspan.plans.fixtures import DUCK, duck_norm
-from quillspan.plans.queries import _BY, _CANON, _NAMED, _PRF, _VER, _catalog, _named_relations, _verified, query, read
+from quillspan.plans.queries import _BY, _CANON, _NAMED, _PRF, _VER, ORACLE, _catalog, _named_relations, _verified, query, read
 
 _H = "('0x' || substr(md5({}), 1, 4))::INT"
 
@@ -231,11 +231,13 @@ def verifier_effect(spark, sf):
     return v.join(gold, "lang").select("lang", "before", "after", (F.col("before") - F.col("after")).alias("dropped"), "gold")
 
 
-@query("""WITH b AS (SELECT *, length(text) AS n, md5(substr(text, 1, 40)) AS cluster FROM documents WHERE text IS NOT NULL), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, doc_id) AS k FROM b) WHERE k = 1),
+@query(f"""WITH b AS (SELECT d.*, length(text) AS n, cluster FROM documents d JOIN ({ORACLE['near_dup_clusters']}) USING (doc_id) WHERE text IS NOT NULL), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, doc_id) AS k FROM b) WHERE k = 1),
 t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) AS turn FROM c) SELECT doc_id, source, turn FROM (SELECT *, row_number() OVER (ORDER BY turn, source, doc_id) AS r FROM t) WHERE r <= 30""")
 def quota_choice(spark, sf):
-    d = read(spark, sf, "documents").filter("text is not null").select("doc_id", "source", F.length("text").alias("n"), F.md5(F.substring("text", 1, 40)).alias("cluster"))
-    return audit.quota_choice(d, "cluster", "source", "n", "doc_id", 30).select("doc_id", "source", "turn")
+    """No two of a cluster of near duplicates."""
+    d = read(spark, sf, "documents").filter("text is not null").select("doc_id", "source", "text", F.length("text").alias("n"))
+    clusters = corpus.near_clusters(corpus.simhash(d))
+    return audit.quota_choice(d.drop("text").join(clusters, "doc_id"), "cluster", "source", "n", "doc_id", 30).select("doc_id", "source", "turn")
 
 
 @query(f"""{DUCK}, {_LINES}, ch AS (SELECT s.doc_id, s.seg, EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = s.doc_id AND g.seg = s.seg) AS pos FROM seg_rows s), q AS (SELECT ceil(count(*) FILTER (WHERE pos) * 0.25) AS n FROM ch),

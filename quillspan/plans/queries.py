@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions.ids import concept_id, document_id, f1, h16, ratio
 from quillspan.operators import contracts, corpus, decode, gate, graph, kg, metrics, resample, splitting, windows
+from quillspan.operators.audit import positions
 from quillspan.plans import fixtures as fx
 from quillspan.plans.fixtures import DUCK, duck_norm, duck_strip
 from quillspan.sources.readers import plain_text
@@ -417,7 +418,7 @@ def duplicate_job_ids(spark, sf):
 def shard_union_order(spark, sf):
     """Three disjoint shards as one table in the jobs' order."""
     d = read(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
-    jobs = d.select("doc_id").withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("doc_id"))))
+    jobs = positions(d.select("doc_id", (-F.col("doc_id")).alias("o")), ["o"]).select("doc_id", (F.col("position") + 1).cast("int").alias("position"))
     return contracts.union_shards([d.filter(F.col("doc_id") % 3 == k) for k in (2, 0, 1)], ["doc_id"], jobs)
 
 
@@ -734,15 +735,9 @@ def viterbi_decode(spark, sf):
     return decode.viterbi_tokens(m.withColumn("logits", lg), ["doc_id", "seg"], "i", "logits", labels)
 
 
-@query()
-def boundary_match(spark, sf):
-    m = fx.mentions(spark, sf)
-    named = lambda w: fx.entities(m, w).select("doc_id", T.norm("text").alias("name"), "type")
-    return decode.boundary_matches(named("gold"), named("v2"), _BY)
-
-
 @query()
 def split_allocator(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "source", "lang", F.xxhash64("text").alias("cluster"))
+    d = read(spark, sf, "documents")
+    d = d.select("doc_id", "source", "lang").join(corpus.near_clusters(corpus.simhash(d)), "doc_id")
     n = d.count()
     return splitting.allocate_clusters(d.select("cluster", "source", "lang"), {"train": n, "validation": n // 5, "test": n // 5}, ["source", "lang"])
