@@ -43,7 +43,7 @@ def contains_both(evidence: Column | str, a: Column | str, b: Column | str) -> C
     return F.coalesce(both, F.lit(False))
 
 
-def with_endpoints(relations: DataFrame, entities: DataFrame, by: list[str], fields: tuple[str, ...] = ("text", "type", "evidence")) -> DataFrame:
+def with_endpoints(relations: DataFrame, entities: DataFrame, by: list[str], fields: tuple[str, ...] = ("text", "type")) -> DataFrame:
     """relations with source_* and target_* of the entities; null where an id is unknown. Of entities that share an id
     one row is used."""
     own = entities.dropDuplicates([*by, "id"])
@@ -62,7 +62,8 @@ def verify_relations(relations: DataFrame, entities: DataFrame, signatures: Data
     """relations with reasons (all that apply, in the order of VERIFY_REASONS, else 'accepted'), accepted, and the sorted
     segment ids of both entities and the relation."""
     known = [r[0] for r in signatures.select("relation").distinct().collect()]  # ontology size
-    x = with_endpoints(relations, entities, by).join(F.broadcast(is_legal(signatures)), ["type", "source_type", "target_type"], "left")
+    ends = entities.select(*by, "id", "text", "type", well_formed("evidence").alias("ok"), segment_ids("evidence").alias("segments"))  # no evidence goes through the joins but the relations' own
+    x = with_endpoints(relations, ends, by, ("text", "type", "ok", "segments")).join(F.broadcast(is_legal(signatures)), ["type", "source_type", "target_type"], "left")
     has_s, has_t = F.col("source_known").isNotNull(), F.col("target_known").isNotNull()
     type_known = F.coalesce(F.col("type").isin(known), F.lit(False))
     checks = [
@@ -72,15 +73,15 @@ def verify_relations(relations: DataFrame, entities: DataFrame, signatures: Data
         type_known & has_s & has_t & F.col("legal").isNull(),
         ~F.coalesce(F.col("claim_status").isin(claims), F.lit(False)),
         ~well_formed("evidence"),
-        has_s & ~well_formed("source_evidence"),
-        has_t & ~well_formed("target_evidence"),
+        has_s & ~F.col("source_ok"),
+        has_t & ~F.col("target_ok"),
         has_s & has_t & well_formed("evidence") & ~contains_both("evidence", "source_text", "target_text") & F.lit(cooccurrence),
     ]
     reasons = F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in zip(checks, VERIFY_REASONS, strict=True))))
     out = x.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0)
     out = out.withColumn("reasons", F.when(F.col("accepted"), F.array(F.lit("accepted"))).otherwise(F.col("reasons")))
-    for name, ev in (("source", "source_evidence"), ("target", "target_evidence"), ("relation", "evidence")):
-        out = out.withColumn(f"{name}_segment_ids", segment_ids(ev))
+    none = F.array().cast("array<string>")
+    out = out.withColumns({"source_segment_ids": F.coalesce("source_segments", none), "target_segment_ids": F.coalesce("target_segments", none), "relation_segment_ids": segment_ids("evidence")})
     return out.select(*relations.columns, "source_text", "source_type", "target_text", "target_type", "accepted", "reasons", "source_segment_ids", "target_segment_ids", "relation_segment_ids")
 
 

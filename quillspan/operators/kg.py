@@ -82,7 +82,8 @@ def exact_anchors(jobs: DataFrame, catalog: DataFrame, limit: int = 12, per_type
     other documents support and a segment holds, the longest first, not too many of a type."""
     least = F.when(F.col("lang") == "zh", min_chars_zh).otherwise(min_chars)
     fit = catalog.filter((content_length("name") >= least) & (F.col("purity") >= min_purity))
-    found = names_in_segments(fit, jobs, ["doc_id"]).join(fit, ["lang", "name"]).filter(F.size(F.array_except("docs", F.array("doc_id"))) > 0)
+    fit = fit.withColumn("_several", F.size("docs") > 1).withColumn("_witness", F.get("docs", F.lit(0))).drop("docs")  # no list of documents goes through the join
+    found = names_in_segments(fit, jobs, ["doc_id"]).join(fit, ["lang", "name"]).filter(F.col("_several") | (F.col("_witness") != F.col("doc_id")))
     order = [F.desc(content_length("name")), F.desc("purity"), F.desc("support"), "type", "name"]
     x = found.withColumn("of_type", F.row_number().over(Window.partitionBy("doc_id", "type").orderBy(*order))).filter(F.col("of_type") <= per_type)
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter(F.col("rank") <= limit)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.ids import h16
-from quillspan.operators import decode, relaxed
+from quillspan.operators import decode, ranker, relaxed
 from quillspan.plans import fixtures as fx
 from quillspan.plans.fixtures import DUCK, MARKUP_PAIRS, _hk, duck_norm, duck_strip
-from quillspan.plans.queries import query
+from quillspan.plans.queries import _NAMED, _named_relations, query
+from quillspan.sources.scratch import written
 
 _BY = ["doc_id"]
 _WRAP = MARKUP_PAIRS[4]  # []
@@ -106,3 +107,46 @@ def crf_scores(spark, sf):
     rows = s.select("doc_id", "seg", F.size("s").alias("n"), F.transform("s", lambda x: x["e"]).alias("e"), F.transform("s", lambda x: x["y"]).alias("y"))
     got = decode.crf_sequences(rows, "e", "y", CRF)
     return got.select("doc_id", "seg", "n", *(F.round(c, 6).alias(c) for c in ("log_partition", "best", "gold_score", "nll")))
+
+
+# --- ranking ----------------------------------------------------------------------------------------------------------
+
+THRESHOLDS = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+_WEIGHTS = {"edge_prior": 1.5, "semantic_pattern": 0.75, "noise": 0.03125}
+
+
+def _candidates(spark, sf, m: DataFrame) -> DataFrame:
+    """Neighbouring mentions of a line with every label that is legal between them, with graph features of gold."""
+    e = fx.entities(m, "v2")
+    w = fx.Window.partitionBy("doc_id", "seg").orderBy("i")
+    p = e.select("doc_id", "lang", "i", F.col("id").alias("source_id"), F.col("text").alias("source_text"), F.col("type").alias("source_type"), *(F.lead(c).over(w).alias(f"target_{c}") for c in ("id", "text", "type"))).filter("target_id is not null")
+    c = p.join(F.broadcast(fx.signatures(spark)), ["source_type", "target_type"])
+    gold = _named_relations(m, "gold").select("doc_id", "lang", F.col("s_name").alias("source"), F.col("s_type").alias("source_type"), F.col("type").alias("relation"), F.col("t_name").alias("target"), F.col("t_type").alias("target_type"))
+    edges, patterns = ranker.graph_facts(gold, "doc_id")
+    x = ranker.graph_features(c, edges, patterns, "doc_id").withColumn("noise", h16(F.concat(F.lit("rk:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string"), F.lit(":"), "relation")) % 64 - 32)
+    right = fx.relations(m, "gold").select("doc_id", "source_id", F.col("type").alias("relation"), "target_id").distinct().withColumn("positive", F.lit(True))
+    return x.join(right, ["doc_id", "source_id", "relation", "target_id"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+
+
+_RANKED = f"""{_NAMED}, c AS (SELECT v.doc_id, v.lang, v.i, 'E' || v.i AS source_id, 'E' || v.j AS target_id, v.type AS st, b.type AS tt, v.name AS sn, b.name AS tn, sig.relation FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id, seg ORDER BY i) AS j FROM v2) v JOIN v2 b ON b.doc_id = v.doc_id AND b.i = v.j JOIN sig ON sig.source_type = v.type AND sig.target_type = b.type),
+f AS (SELECT c.*, EXISTS (SELECT 1 FROM gr g WHERE g.doc_id <> c.doc_id AND g.lang = c.lang AND g.s_name = sn AND g.t_name = tn AND g.type = relation) AS edge_prior, EXISTS (SELECT 1 FROM (SELECT type, s_type, t_type, min(doc_id) AS lo, max(doc_id) AS hi FROM gr GROUP BY ALL) g WHERE g.type = relation AND g.s_type = st AND g.t_type = tt AND (lo <> c.doc_id OR hi <> c.doc_id)) AS pattern,
+('0x' || substr(md5('rk:' || doc_id || ':' || i || ':' || relation), 1, 4))::INT % 64 - 32 AS noise, EXISTS (SELECT 1 FROM rgold r WHERE r.doc_id = c.doc_id AND r.source_id = c.source_id AND r.target_id = c.target_id AND r.type = relation) AS positive FROM c),
+s AS (SELECT *, 1 / (1 + exp(-(-0.5 + 1.5 * edge_prior::INT + 0.75 * pattern::INT + 0.03125 * noise))) AS score FROM f), b AS MATERIALIZED (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, source_id, target_id ORDER BY score DESC, relation) = 1),
+n AS (SELECT th, count(*) FILTER (WHERE positive AND score >= th) AS tp, count(*) FILTER (WHERE NOT positive AND score >= th) AS fp, count(*) FILTER (WHERE positive AND score < th) AS fn FROM b, (SELECT unnest({THRESHOLDS}) AS th) WHERE doc_id % 2 = 0 GROUP BY th),
+o AS (SELECT th FROM n ORDER BY round(CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 4) DESC, round(CASE WHEN tp = 0 THEN 0 ELSE tp / (tp + fn) END, 4) DESC, round(CASE WHEN tp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) DESC, tp + fp, th DESC LIMIT 1)"""
+
+
+@query(f"""{_RANKED} SELECT doc_id, source_id, target_id, relation, edge_prior, pattern AS semantic_pattern, round(score, 6) AS score, positive, score >= th AS accepted FROM b, o WHERE doc_id % 2 = 1""")
+def ranked_relations(spark, sf):
+    """The best label of each pair by fixed weights; documents of even ids choose the threshold for those of odd ones."""
+    x = written(_candidates(spark, sf, fx.mentions(spark, sf)).withColumn("score", ranker.linear_score(_WEIGHTS, -0.5)), "candidates")
+    best = ranker.best_of_pair(x, ["doc_id", "source_id", "target_id"])
+    at = ranker.choose_threshold(best.filter("doc_id % 2 = 0"), THRESHOLDS)
+    out = best.filter("doc_id % 2 = 1").withColumn("accepted", F.col("score") >= at)
+    return out.select("doc_id", "source_id", "target_id", "relation", "edge_prior", "semantic_pattern", F.round("score", 6).alias("score"), "positive", "accepted")
+
+
+@query(f"""{_RANKED} SELECT doc_id, source_id, target_id, relation, md5('language=' || lang || ' | source_type=' || st || ' | source=' || sn || ' | relation=' || relation || ' | target_type=' || tt || ' | target=' || tn || ' | kg_edge_prior=' || CASE WHEN edge_prior THEN 'yes' ELSE 'no' END || ' | kg_semantic_pattern=' || CASE WHEN pattern THEN 'yes' ELSE 'no' END) AS text_md5 FROM f""")
+def candidate_features(spark, sf):
+    x = _candidates(spark, sf, fx.mentions(spark, sf))
+    return x.select("doc_id", "source_id", "target_id", "relation", F.md5(ranker.feature_text()).alias("text_md5"))
