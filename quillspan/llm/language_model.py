@@ -271,10 +271,13 @@ def pairs_by_shard(tok: Tokens, split: Split, shards: int) -> tuple[np.ndarray,
     contexts and pairs, as slices."""
     key, shard, ctx = contexts(tok, split, shards)
     n, rows = len(tok.hashes), int(tok.row.max()) + 1 if len(tok.row) else 1
-    if len(key) * n * rows >= 1 << 63:
-        raise ValueError("a chunk has too many words and rows")
-    x = np.sort((ctx * n + tok.word) * rows + tok.row)
-    pair, row = x // rows, x % rows
+    pair = ctx * n + tok.word
+    if len(key) * n * rows < 1 << 63:  # all three in one number: one sort
+        x = np.sort(pair * rows + tok.row)
+        pair, row = x // rows, x % rows
+    else:
+        order = np.lexsort((tok.row, pair))
+        pair, row = pair[order], tok.row[order]
     first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
     pair = pair[first]
     sizes = np.bincount(pair // n, minlength=len(key))

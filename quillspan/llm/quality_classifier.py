@@ -35,17 +35,19 @@ HELD_OUT_MOD = 5
 THRESHOLD = 0.3
 EPOCHS, COST, SMOOTH = 12, 0.1, 1.0
 _SHAPE = bytes(97 if 97 <= i <= 122 or i >= 128 else 65 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else i for i in range(256))
-_MEMO_WORDS = 100_000
+_MEMO_WORDS, _MEMO_BYTES = 100_000, 256
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 class Shapes(dict):
-    """Shapes of translated words: each run of a class once, at most 24 of them. Words have few distinct translations."""
+    """Shapes of translated words: each run of a class once. Words have few distinct translations; long ones aren't kept."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > _MEMO_WORDS:
-            self.clear()
-        got = self[word] = re.sub(rb"(.)\1+", rb"\1", word, flags=re.DOTALL)[:24]
+        got = re.sub(rb"(.)\1+", rb"\1", word, flags=re.DOTALL)
+        if len(word) <= _MEMO_BYTES:
+            if len(self) > _MEMO_WORDS:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -70,7 +72,9 @@ class Featurizer:
     def _run(self, run: tuple) -> int:
         if len(self.runs) > _MEMO_WORDS:
             self.runs.clear()
-        got = self.runs[run] = zlib.crc32(b"\0".join((b"shape", *run))) & (DIMS - 1)
+        got = zlib.crc32(b"\0".join((b"shape", *run))) & (DIMS - 1)
+        if sum(map(len, run)) <= _MEMO_BYTES:
+            self.runs[run] = got
         return got
 
     def __call__(self, text: str) -> bytes:

@@ -1,5 +1,7 @@
 """The pipeline's stages keep columns, take effect, and lead to what a plain Python version of them gives."""
 
+import math
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -58,6 +60,12 @@ def test_stages_take_awkward_rows(spark, name):
     assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def plain_level(rule, f):
+    """How many of a rule's cutoffs a document exceeds."""
+    top, under = re.fullmatch(r"(\w+) / greatest\((\w+), 1\)", quality_rules.RULES[rule][0]).groups()
+    return min(quality_rules.GRID, max(0, math.ceil(f[top] / max(f[under], 1) / quality_rules.RULES[rule][1]) - 1))
+
+
 def shingle_set(text):
     w = (text or "").encode().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -73,8 +81,9 @@ def plain_pipeline(rows, labels, cutoffs, model):
         rep = len({j for k in range(len(words) - 4) if wins[tuple(words[k : k + 5])] > 1 for j in range(k, k + 5)})
         if len(words) < 10 or 100 * rep > 20 * len(words):
             continue
-        if cutoffs.get(lang):
-            raise NotImplementedError("the fixture has too few labels for cutoffs")
+        f = dict(zip(quality_rules.FEATURES, quality_rules.features(text), strict=True))
+        if any(plain_level(rule, f) >= round(cut / quality_rules.RULES[rule][1]) for rule, cut in cutoffs.get(lang or "*", {}).items()):
+            continue
         kept.append((i, text))
     f = quality_classifier.Featurizer()
     kept = [(i, t) for i, t in kept if model.scores([f(t)])[0] >= quality_classifier.THRESHOLD]
