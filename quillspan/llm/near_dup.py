@@ -6,10 +6,11 @@ together, so that neighbours share the longest prefixes. A class is joined to th
 shares with its neighbour, by an edge of that node's depth.
 
 Edges of the full depth come first. They join classes into components, whose pairs are verified with the exact sets. The
-links found there tell how many others of their similarity that depth has missed; if that is more than the target recall
-allows, matched prefixes are shortened to the depth that, with these similarities, reaches it, and components that grew
-are verified again. Block pairs of a large component are compared only where they share a prefix. A task counts its
-blocks' links and returns sums and a spanning forest, never the pairs.
+links found tell how many others of their similarity that depth has missed. While that is more than the target recall
+allows, matched prefixes are shortened by one label, components that grew are verified again, and the recall is estimated
+anew from all links known by then. Large components are dealt into blocks, by the first trie's order of prefixes as far as
+these are rare enough. Two blocks compare only those of their classes that share a prefix with one of the other block. A
+task counts its blocks' links and returns sums and a spanning forest, never the pairs.
 
 Defined results: texts of one to four words have one shingle, the whole text's words; texts without a word are copies of
 each other. A row is a document: repeated rows are copies, and rows that share an id but not the text have classes of
@@ -32,8 +33,10 @@ from quillspan.llm.components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of at least 4/5
 TREES, DEPTH, LEAST_DEPTH, RECALL = 16, 5, 3, 0.9995
-#: Classes and shingles in a block of a component, about.
+#: Classes and shingles in a block of a component, about (half as many again at most).
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
+#: A join key of more rows than this is dealt into parts of about so many; at most one key in so many rows is.
+PART_ROWS = 1_000_000
 #: Similarities of links are counted by hundredths.
 BINS = 100
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -148,6 +151,16 @@ def neighbours(classes: DataFrame) -> DataFrame:
     return out.filter("part is null").select("a", "b", "depth").unionByName(spark.createDataFrame(across, "a long, b long, depth int")), out
 
 
+def dealt_join(rows: DataFrame, ones: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:
+    """rows, each with the row of its key in ones (one row a key), if there is one. counts: key and n, how many rows have
+    it. Rows of a key with more than PART_ROWS are dealt by their column ``by`` into parts, each with a copy of that one."""
+    frequent = counts.filter(F.col("n") > PART_ROWS).select(key, F.ceil(F.col("n") / PART_ROWS).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(frequent), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    copied = ones.join(F.broadcast(frequent), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], "left").drop("_part")
+
+
 def linked(sizes_a: np.ndarray, sizes_b: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Pairs of at least the similarity: common / (a + b - common) >= NUMERATOR / DENOMINATOR, in integers."""
     return (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (sizes_a[:, None] + sizes_b[None, :])
@@ -212,21 +225,37 @@ def verify_block(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple
         yield from ((x[0], int(n), name[k]) for x, n, k in zip(right, copies[0] @ link, cols, strict=True) if n)
 
 
-def verified(members: DataFrame, sets: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """set, links, other: what verify_block() gives. members: set, component; sets: set and its shingles."""
+def placed(members: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """Members (set, component) with copies, blocks (1: a component of one block) and block.
+
+    In larger components classes with the same first prefix come into one block; one that is too frequent for a block is
+    spread over several by the hash of the set."""
+    fill = F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)
+    parts = F.greatest(F.lit(1), F.round(fill)).cast("long")
     sized = members.join(classes.select("set", "copies", "n", "paths"), "set")
-    blocks = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    placed = stash(sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks"))), "placed")
-    units = placed.select("set", "copies", "component", "block").join(sets, "set")
-    large = placed.filter("blocks > 1")
+    sized = sized.join(sized.groupBy("component").agg(parts.alias("blocks")), "component")
+    small = sized.filter("blocks = 1").withColumn("block", F.lit(0).cast("long"))  # most components
+    bucket = F.pmod(F.xxhash64(F.substring("paths", 1, 2 * depth)), F.col("blocks"))
+    large = sized.filter("blocks > 1").withColumn("bucket", bucket)
+    spread = large.groupBy("component", "bucket").agg(parts.alias("_parts"))
+    large = large.join(spread, ["component", "bucket"])
+    large = large.withColumn("block", F.col("bucket") * (1 << 24) + F.pmod(F.xxhash64("set"), F.col("_parts"))).drop("bucket", "_parts")
+    return small.unionByName(large)
+
+
+def verified(members: DataFrame, sets: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """set, links, other: what verify_block() gives, and its component. members: set, component; sets: set, shingles."""
+    at = stash(placed(members, classes, depth), "placed")
+    units = at.select("set", "component", "copies", "block").join(sets, "set")
+    large = at.filter("blocks > 1")
     if large.limit(1).count():
-        # Blocks to compare: all within themselves, and those that share a prefix in some trie.
-        prefixes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.xxhash64(k, F.substring(F.col("paths"), k * 2 * DEPTH + 1, F.lit(2 * depth)))))
-        shared = large.select("component", "block", prefixes.alias("prefix")).groupBy("component", "prefix").agg(F.array_sort(F.collect_set("block")).alias("together"))
-        far = shared.filter("size(together) > 1").select("component", F.explode(F.col("together")).alias("i"), "together").select("component", "i", F.explode(F.filter("together", lambda x: x > F.col("i"))).alias("j")).distinct()
-        away = far.select("component", F.col("i").alias("block"), F.col("j").alias("with")).unionByName(far.select("component", F.col("j").alias("block"), F.col("i").alias("with")))
-        partners = away.groupBy("component", "block").agg(F.collect_list("with").alias("with"))  # fewer than the blocks
-        units = units.join(F.broadcast(partners) if large.select("component", "block").distinct().count() < 10_000 else partners, ["component", "block"], "left")
+        # The other blocks with a class below one of this class's trie nodes.
+        prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.xxhash64("component", k, F.substring(F.col("paths"), k * 2 * DEPTH + 1, F.lit(2 * depth))))
+        nodes = large.select("set", "block", F.explode(prefixes).alias("prefix"))
+        shared = stash(nodes.groupBy("prefix").agg(F.collect_set("block").alias("together"), F.count("*").alias("n")).filter("size(together) > 1"), "nodes")
+        met_ = dealt_join(nodes, shared.select("prefix", "together"), "prefix", shared.select("prefix", "n"), "set").filter("together is not null")
+        met_ = met_.select("set", F.explode(F.filter("together", lambda x: x != F.col("block"))).alias("with")).distinct()
+        units = units.join(met_.groupBy("set").agg(F.collect_list("with").alias("with")), "set", "left")  # fewer than the blocks
     else:
         units = units.withColumn("with", F.lit(None).cast("array<long>"))
     other = F.explode(F.concat(F.array("block"), F.coalesce("with", F.array().cast("array<long>"))))
@@ -239,11 +268,11 @@ def verified(members: DataFrame, sets: DataFrame, classes: DataFrame, depth: int
         def done() -> list[tuple]:
             one = [x[1:] for x in held.values() if x[0] == at[1]] if at else []
             two = [x[1:] for x in held.values() if x[0] == at[2]] if at and at[1] != at[2] else None
-            return list(verify_block(one, two)) if one and (two or two is None) and len(held) > 1 else []
+            return [(*x, at[0]) for x in verify_block(one, two)] if one and (two or two is None) and len(held) > 1 else []
 
         def rows(out: list) -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["set", "links", "other"])
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["set", "links", "other", "component"])
 
         for b in batches:
             out = []
@@ -255,7 +284,7 @@ def verified(members: DataFrame, sets: DataFrame, classes: DataFrame, depth: int
             yield rows(out)
         yield rows(done())
 
-    return units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(check, "set long, links long, other long")
+    return units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(check, "set long, links long, other long, component long")
 
 
 def sets_of(own: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -273,6 +302,14 @@ def sets_of(own: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(make, "set long, shingles binary").join(wanted.select("set"), "set", "left_semi")
 
 
+def by_similarity(counts: DataFrame) -> np.ndarray:
+    """Links by their similarity in hundredths."""
+    seen = np.zeros(BINS + 1)
+    for r in counts.groupBy("other").agg(F.sum("links").alias("n")).collect():
+        seen[r["other"]] = r["n"]
+    return seen
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The id column, node (the id, or a negative number for a null one), class_id (the least node of the documents that
     links connect) and n_links (documents, copies included, with at least the similarity), for every row. The result is
@@ -292,26 +329,26 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         old.extend([wanted, new, found])
         return found, sets
 
-    first = connected_components(edges.filter(F.col("depth") == DEPTH))
-    links, sets = check(first, first, None, DEPTH)
-    seen = np.zeros(BINS + 1)
-    for r in links.filter("set is null").groupBy("other").agg(F.sum("links").alias("n")).collect():
-        seen[r["other"]] = r["n"]
-    depth = next((k for k in range(DEPTH, LEAST_DEPTH, -1) if recall(seen, k) >= RECALL), LEAST_DEPTH)
-    old.append(first)
-    if depth < DEPTH:
+    depth, grouped = DEPTH, connected_components(edges.filter(F.col("depth") == DEPTH))
+    links, sets = check(grouped, grouped, None, depth)
+    counts = links.filter("set is null")
+    old.append(grouped)
+    while depth > LEAST_DEPTH and recall(by_similarity(counts), depth) < RECALL:
+        depth -= 1
         # Components are single nodes now, so what a hot prefix has joined is one already.
-        name = first.withColumnsRenamed({"node": "a", "component": "ca"})
-        more = edges.filter((F.col("depth") >= depth) & (F.col("depth") < DEPTH)).select("a", "b").distinct()
-        more = more.join(name, "a", "left").join(name.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
-        more = stash(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "more")
-        merged = connected_components(more)
-        at = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
-        old_ones = first.join(at, "component").select("node", F.col("now").alias("component"))
-        new_ones = merged.join(first, "node", "left_anti")
-        second, _ = check(old_ones.unionByName(new_ones), new_ones, sets, depth)
-        old.extend([more, merged])
-        links = links.unionByName(second)
+        name = grouped.withColumnsRenamed({"node": "a", "component": "ca"})
+        more = stash(edges.filter(F.col("depth") == depth).select("a", "b").distinct(), "shorter")
+        named = dealt_join(more, name.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", more.groupBy("b").agg(F.count("*").alias("n")), "a")
+        named = named.join(name, "a", "left")
+        merged = connected_components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        grown = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        new_ones = merged.join(grouped, "node", "left_anti")
+        again = stash(grouped.join(grown, "component").select("node", F.col("now").alias("component")).unionByName(new_ones), "grown")
+        found, sets = check(again, new_ones, sets, depth)
+        counts = counts.join(grown, "component", "left_anti").unionByName(found.filter("set is null"))
+        links = links.unionByName(found)
+        grouped = grouped.join(grown, "component", "left_anti").select("node", "component").unionByName(again)
+        old.extend([more, merged, again])
     links = links.filter("set is not null")
     groups = connected_components(links.select(F.col("set").alias("a"), F.col("other").alias("b")))
     old.append(groups)
@@ -319,7 +356,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     of = classes.select("set", "rep", "copies").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     names = of.groupBy("component").agg(F.min("rep").alias("class_id"))
     of_set = of.join(names, "component").join(sums, "set", "left").select("set", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("id", "node", "set").join(of_set, "set")
+    out = dealt_join(signed.select("id", "node", "set"), of_set, "set", classes.select("set", F.col("copies").alias("n")), "node")
     out = stash(out.select(F.col("id").alias(id_col), "node", "class_id", "n_links"), "near")
     for df in old:
         drop_stash(df)

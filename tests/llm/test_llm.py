@@ -198,9 +198,11 @@ def near_rows():
     return texts
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_near_duplicates(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "part"), [(1024, 1_000_000), (7, 2)])
+def test_near_duplicates(spark, block, part, monkeypatch):
+    """Also with components of many blocks, frequent prefixes spread over several, and frequent join keys dealt in parts."""
     monkeypatch.setattr(near_dup, "BLOCK_DOCS", block)
+    monkeypatch.setattr(near_dup, "PART_ROWS", part)
     texts = near_rows()
     d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").withColumn("node", F.lit("clash"))
     label, links = brute_near(texts)
@@ -235,6 +237,20 @@ def test_forest_recall(spark):
     assert all(got[k] == 0 for k in range(800, 1000))
 
 
+def test_prefixes_shorten_level_by_level(spark, monkeypatch):
+    """A target that no depth reaches goes down one level after another; counts are those of the components as they are
+    at each level, so that no link counts twice."""
+    steps = []
+    true_recall = near_dup.recall
+    monkeypatch.setattr(near_dup, "RECALL", 1.1)
+    monkeypatch.setattr(near_dup, "recall", lambda seen, depth: steps.append((depth, seen.sum())) or true_recall(seen, depth))
+    texts = near_pairs(150, np.random.default_rng(2))
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    n_links = sum(r["n_links"] for r in near_dup.near_duplicates(d).collect())
+    assert [depth for depth, _ in steps] == [5, 4]
+    assert steps[0][1] <= steps[1][1] <= n_links / 2 == sum(brute_near(texts)[1]) / 2
+
+
 def test_recall_estimate():
     """Links near the threshold ask for shorter prefixes, those far above don't."""
     high, low = np.zeros(101), np.zeros(101)
