@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.ids import hash_rank_key, ratio
 from quillspan.functions.text import col, norm
+from quillspan.sources.scratch import written
 
 
 def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with position from 0 in the order. Sorted by ranges and numbered within them, so no task sees all rows; rows
-    of equal order columns come in any order."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    of equal order columns come in any order. Rows are written with their range's number, once: Spark joins ranges by
+    their size when it reads them, so another plan over the same rows numbers them otherwise."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one row for each partition
     before, at = {}, 0
     for r in sorted(sizes, key=lambda r: r["_part"]):

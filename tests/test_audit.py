@@ -19,6 +19,23 @@ def test_zip_and_order(spark):
     assert sorted(r["position"] for r in audit.same_order(same, same.filter("k < 7"), ["k"], ["k"], "job").collect()) == [7, 8]
 
 
+def test_positions_whatever_is_read(spark):
+    """Plans over few and over all columns join ranges in different ways."""
+    wide = spark.range(0, 20000, 1, 8).select(F.pmod(F.col("id") * 7919, F.lit(20000)).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        p = audit.positions(wide, ["k"])
+        assert p.filter(~F.col("position").eqNullSafe(F.col("k"))).filter("text is not null").count() == 0
+        assert p.join(p.filter("length(text) > 0").select("k", F.col("position").alias("again")), "k").filter("position <> again").count() == 0
+        assert p.orderBy("text").select("position", "k", "text").filter("position <> k or position is null").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_guarded_union(spark):
     make = lambda rows: spark.createDataFrame(rows, "id int, doc string, split string")
     old = make([(1, "a", "train"), (2, "b", "test")])
