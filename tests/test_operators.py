@@ -180,3 +180,33 @@ def test_json_lines(spark, tmp_path):
         readers.repaired_tail(spark, str(bad), "a int")
     with pytest.raises(ValueError):
         readers.safe_path("data/test/gold.jsonl")
+
+
+def test_relations_of_one_line(spark):
+    """Relations that share a long line are judged alike; groups without a name keep their relations."""
+    line = "Ann works at Acme " + "x" * 20_000
+    ev = "array<struct<text:string,segment_id:string>>"
+    ents = spark.createDataFrame([(None, f"E{k}", "Ann" if k % 2 else "Acme", "PER" if k % 2 else "ORG", [(line, "S1")]) for k in range(200)], f"j string, id string, text string, type string, evidence {ev}")
+    rels = spark.createDataFrame([(None, f"R{k}", f"E{k}", "works_for", f"E{k + 1}", "explicit", [(line, "S1")]) for k in range(1, 199, 2)], f"j string, id string, source_id string, type string, target_id string, claim_status string, evidence {ev}")
+    sig = spark.createDataFrame([("works_for", "PER", "ORG")], "relation string, source_type string, target_type string")
+    ents, rels = (df.withColumn("j", F.coalesce("j", F.lit("a"))) for df in (ents, rels))
+    got = gate.verify_relations(rels, ents, sig, ["explicit"], ["j"])
+    rows = got.collect()
+    assert len(rows) == 99 and all(r["accepted"] and r["evidence"][0]["text"] == line and r["relation_segment_ids"] == ["S1"] for r in rows)
+    lost = rels.withColumn("j", F.lit(None).cast("string"))
+    assert {r["reasons"][0] for r in gate.verify_relations(lost, ents, sig, ["explicit"], ["j"]).collect()} == {"unknown_entity_reference"}
+    assert gate.verify_relations(lost, ents, sig, ["explicit"], ["j"]).count() == 99
+
+
+def test_a_line_is_written_once(spark, tmp_path):
+    """Mentions of a long line don't each carry it into the written table."""
+    import os
+
+    from quillspan.plans import fixtures
+
+    words = " ".join(f"word{k * 7919 % 100_003}" for k in range(20_000))
+    spark.createDataFrame([(1, words, "en", "s", len(words))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    m = fixtures.mentions(spark, str(tmp_path))
+    lines = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in m.inputFiles()})
+    assert lines.count() == 1 and m.count() > 1000 and m.select("seg_text").distinct().first()[0] == words
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in m.inputFiles()) < 3 * len(words)
