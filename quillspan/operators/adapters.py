@@ -16,11 +16,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.spans import mention_spans
 from quillspan.functions.text import bound, col, norm
+from quillspan.operators.chunking import place_array
 
 PLACES = "array<struct<start:int,end:int>>"
 UNKNOWN = "UNKNOWN"
@@ -50,10 +52,9 @@ def align(text: str, tokens: Sequence[str]) -> list[tuple[int, int]] | None:
 def aligned_tokens(text: Column | str, tokens: Column | str) -> Column:
     """align() as an array of structs start and end; null where text and tokens differ."""
 
-    @F.pandas_udf(PLACES)
-    def run(texts: pd.Series, parts: pd.Series) -> pd.Series:
-        found = [align(t or "", [] if p is None else p) for t, p in zip(texts, parts, strict=True)]
-        return pd.Series([None if f is None else [{"start": a, "end": b} for a, b in f] for f in found])
+    @F.arrow_udf(PLACES)
+    def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
+        return place_array(align(t.as_py() or "", p.as_py() or []) for t, p in zip(texts, parts, strict=True))
 
     return run(text, tokens)
 

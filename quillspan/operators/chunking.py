@@ -13,9 +13,12 @@ label and is passed over. Equal rows are texts of their own as long as the key t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +29,27 @@ from quillspan.operators.decode import bio_label
 SPAN = "struct<start:int,end:int>"
 
 
+def place_array(rows: Iterator[Iterable[tuple[int, int]] | None]) -> pa.Array:
+    """One array of SPAN structs for each item, null for None; places are held as two lists of numbers, not as objects."""
+    starts, ends, borders, gone = array("i"), array("i"), array("i", [0]), []
+    for places in rows:
+        for a, b in places or ():
+            starts.append(a)
+            ends.append(b)
+        borders.append(len(starts))
+        gone.append(places is None)
+    number = lambda x: pa.array(np.frombuffer(x, np.int32) if len(x) else [], pa.int32())
+    values = pa.StructArray.from_arrays([number(starts), number(ends)], ["start", "end"])
+    return pa.ListArray.from_arrays(number(borders), values, mask=pa.array(gone, pa.bool_()))
+
+
 def token_places(text: Column | str, pattern: str = r"\S+") -> Column:
     """Places of the pattern's matches, as an array of structs start and end."""
     found = re.compile(pattern)
 
-    @F.pandas_udf(f"array<{SPAN}>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": m.start(), "end": m.end()} for m in found.finditer(t or "")] for t in texts])
+    @F.arrow_udf(f"array<{SPAN}>")
+    def run(texts: pa.Array) -> pa.Array:
+        return place_array((m.span() for m in found.finditer(t.as_py() or "")) for t in texts)
 
     return run(text)
 
