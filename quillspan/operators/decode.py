@@ -130,12 +130,41 @@ def crf_sequences(rows: DataFrame, emissions: str, labels: str, crf: Crf) -> Dat
     return rows.select(*kept, emissions, labels).mapInPandas(run, f"{fields}, path array<int>, best double, log_partition double, gold_score double, nll double")
 
 
-def viterbi_tokens(tokens: DataFrame, by: list[str], order: str, logits: str, labels: list[str]) -> DataFrame:
-    """by, order, label: the best path of each sequence; one sequence is one group."""
-    fields = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in [*by, order])
+def _viterbi_paths(x: np.ndarray, n: np.ndarray, labels: list[str]) -> np.ndarray:
+    """viterbi() of many sequences of at least one row (sequence, place, label), place by place; what stands behind a
+    sequence's end has no meaning."""
+    x = x - x.max(2, keepdims=True)
+    x = x - np.log(np.exp(x).sum(2, keepdims=True))
+    no = -1e30
+    allowed = np.array([[no if b.startswith("I-") and a[2:] != b[2:] else 0.0 for b in labels] for a in labels])
+    score, back = x[:, 0] + np.array([no if b.startswith("I-") else 0.0 for b in labels]), []
+    for t in range(1, x.shape[1]):
+        step = score[:, :, None] + allowed
+        back.append(step.argmax(1))
+        score = np.where((t < n)[:, None], step.max(1) + x[:, t], score)
+    at, paths, every = score.argmax(1), np.zeros(x.shape[:2], int), np.arange(len(n))
+    for t in range(x.shape[1] - 1, -1, -1):
+        paths[:, t] = at
+        if t:
+            at = np.where(t < n, back[t - 1][every, at], at)
+    return paths
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        return f[[*by, order]].assign(label=viterbi(np.array(f[logits].tolist(), float), labels))
 
-    return tokens.select(*by, order, logits).groupBy(*by).applyInPandas(run, f"{fields}, label string")
+def viterbi_tokens(tokens: DataFrame, by: list[str], order: str, logits: str, labels: list[str]) -> DataFrame:
+    """by, order, label: the best path of each sequence. A sequence is one row, and many of like lengths are decoded together."""
+    fields = ", ".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in by)
+    kind = tokens.schema[order].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f = f.iloc[np.argsort([len(v) for v in f["_x"]], kind="stable")]
+            for k in range(0, len(f), 512):
+                part = f.iloc[k : k + 512]
+                x, n = padded([list(v) for v in part["_x"]], len(labels))
+                paths = _viterbi_paths(x, n, labels)
+                yield part[[*by, "_o"]].assign(label=[[labels[i] for i in p[:m]] for p, m in zip(paths.tolist(), n.tolist(), strict=True)])
+
+    whole = tokens.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(logits).cast("array<double>").alias("x")))).alias("_s"))
+    rows = whole.select(*by, F.transform("_s", lambda s: s["o"]).alias("_o"), F.transform("_s", lambda s: s["x"]).alias("_x"))
+    got = rows.mapInPandas(run, f"{fields}, `_o` array<{kind}>, label array<string>")
+    return got.select(*by, F.explode(F.arrays_zip(F.col("_o").alias("o"), F.col("label").alias("l"))).alias("_r")).select(*by, F.col("_r.o").alias(order), F.col("_r.l").alias("label"))
