@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspan.operators import adapters, chunking, decode, kg, resample
+from quillspan.operators import adapters, chunking, context, decode, kg, resample
 
 
 def test_places_without_objects(spark):
@@ -44,3 +44,21 @@ def test_units_are_not_broadcast(spark):
     got = resample.bootstrap(u, "doc_id", 20)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 20 and [r["k"] for r in resample.numbered(u, "doc_id").orderBy("doc_id").collect()] == list(range(40))
+
+
+def test_edges_leave_a_task_only_if_they_can_rank(spark):
+    """A line with many names and all edges between them: the best stay, ties and the job's own document included."""
+    names = [f"n{k:02d}x" for k in range(30)]
+    rows = [("en", a, r, b, list(range(100, 100 + 1 + (7 * i + 3 * j) % 11)) + ([1] if (i + j) % 3 == 0 else [])) for i, a in enumerate(names) for j, b in enumerate(names) for r in ("p", "q") if a != b]
+    edges = spark.createDataFrame(rows, "lang string, source string, relation string, target string, docs array<long>")
+    segs = spark.createDataFrame([(1, 0, "en", " ".join(names)), (2, 0, "en", "N00x and n01x"), (2, 1, "en", "n02x"), (3, 0, "de", "n00x n01x")], "doc_id long, seg int, lang string, text string")
+
+    def want(doc, held):
+        x = [(-(len(d) - (doc in d)), -len(a + b), r, a, b) for _, a, r, b, d in rows if a in held and b in held and len(d) - (doc in d) > 0]
+        return sorted(x)[:3]
+
+    got = context.edge_priors(edges, segs, ["doc_id"], "seg", 3).collect()
+    for doc, held in ((1, names), (2, names[:2]), (3, [])):
+        assert sorted((-r["support"], -len(r["source"] + r["target"]), r["relation"], r["source"], r["target"]) for r in got if r["doc_id"] == doc) == want(doc, held)
+    near = context.edges_in_segments(edges.selectExpr("lang", "source", "relation", "target", "size(docs) as _n"), segs, ["doc_id"], 3).filter("doc_id = 1").count()
+    assert near < len(rows) / 4
