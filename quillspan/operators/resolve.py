@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,41 +13,53 @@ from quillspan.functions.spans import matching_spans, matching_spans_in
 from quillspan.functions.text import col
 
 
-def resolve_spans(entities: DataFrame, segments: DataFrame, by: list[str], ident: str = "id") -> DataFrame:
+def _places(segments: list[dict], asked: list[dict]) -> Iterator[tuple[str, int | None, int | None]]:
+    """resolve_spans() for one job: each segment is looked up by name, and all are searched as one text."""
+    segments = sorted(segments, key=lambda s: s["start"])
+    texts = {s["segment_id"]: (s["start"], s["text"]) for s in segments}
+    whole, borders = "\0".join(s["text"] for s in segments), []
+    at = 0
+    for s in segments:
+        borders.append(at)
+        at += len(s["text"]) + 1
+    for e in asked:
+        text, given = e["text"] or "", e["given_start"]
+        start, local = texts.get(e["segment_id"], (0, ""))
+        if text and given is not None and given >= start and local.startswith(text, given - start):
+            yield "resolved", given, given + len(text)
+            continue
+        found = [(start + x, start + y) for x, y in matching_spans(local, text)]
+        if not found:
+            for x, y in matching_spans(whole, text):
+                k = bisect_right(borders, x) - 1
+                found.append((segments[k]["start"] + x - borders[k], segments[k]["start"] + y - borders[k]))
+        yield ("resolved", *found[0]) if len(found) == 1 else ("ambiguous" if found else "not_found", None, None)
+
+
+def resolve_spans(entities: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
     """entities with status (resolved, ambiguous, not_found), start and end.
 
-    entities: by, ident, text, segment_id and given_start, both null if unknown. segments: by, segment_id, start, text.
+    entities: by, text, segment_id and given_start, both null if unknown. segments: by, segment_id, start, text.
     A given place counts if the text is there; else the only match in the named segment; else the only one in all of the
-    job's. Matches are exact, else with any white space between words. A job's entities and segments meet in one group,
-    which its text bounds; all segments are searched at once.
+    job's. Matches are exact, else with any white space between words. A job's entities are one row, and so are its
+    segments, which its text bounds; rows come to Python in batches, and the entities' other columns stay away from it.
     """
-    names = [*by, ident]
-    fields = ", ".join(f"`{c}` {entities.schema[c].dataType.simpleString()}" for c in names)
-
-    def run(own: pd.DataFrame, segs: pd.DataFrame) -> pd.DataFrame:
-        segs = segs.sort_values("start")
-        texts = dict(zip(segs["segment_id"], zip(segs["start"].astype(int), segs["text"], strict=True), strict=True))
-        whole = "\0".join(segs["text"])
-        borders = np.cumsum([0, *(len(t) + 1 for t in segs["text"])])[:-1]
-        begins = segs["start"].to_numpy()
-        out = []
-        for text, name, given in zip(own["text"], own["segment_id"], own["given_start"], strict=True):
-            start, local = texts.get(name, (0, ""))
-            if text and given == given and given is not None and 0 <= given - start and local[int(given) - start :][: len(text)] == text:
-                out.append(("resolved", int(given), int(given) + len(text)))
-                continue
-            found = [(start + x, start + y) for x, y in matching_spans(local, text or "")]
-            if not found:
-                spots = matching_spans(whole, text or "")
-                at = np.searchsorted(borders, [x for x, _ in spots], side="right") - 1
-                found = [(int(begins[k]) + x - int(borders[k]), int(begins[k]) + y - int(borders[k])) for k, (x, y) in zip(at, spots, strict=True)]
-            out.append(("resolved", *found[0]) if len(found) == 1 else ("ambiguous" if found else "not_found", None, None))
-        got = pd.DataFrame(out, columns=["status", "start", "end"], index=own.index).astype({"start": "Int64", "end": "Int64"})
-        return pd.concat([own[names], got], axis=1)
-
-    need = entities.select(*names, "text", "segment_id", "given_start").groupBy(*by)
-    got = need.cogroup(segments.select(*by, "segment_id", "start", "text").groupBy(*by)).applyInPandas(run, f"{fields}, status string, start int, end int")
-    return entities.join(got, names)
+
+    @F.arrow_udf("array<struct<status:string,start:int,end:int>>")
+    def run(segs: pa.Array, asked: pa.Array) -> pa.Array:
+        ends, out = [0], []
+        for s, a in zip(segs, asked, strict=True):
+            out += _places(s.as_py() or [], a.as_py())
+            ends.append(len(out))
+        status, start, end = zip(*out, strict=True) if out else ((), (), ())
+        columns = [pa.array(status, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["status", "start", "end"]))
+
+    own = entities.groupBy(*by).agg(F.collect_list(F.struct(*entities.columns)).alias("_own"))
+    held = segments.groupBy(*by).agg(F.collect_list(F.struct("segment_id", "start", "text")).alias("_segs"))
+    asked = F.transform("_own", lambda e: F.struct(e["text"].alias("text"), e["segment_id"].alias("segment_id"), e["given_start"].alias("given_start")))
+    x = own.join(held, by, "left").select("_own", run("_segs", asked).alias("_places"))
+    return x.select(F.explode(F.arrays_zip("_own", "_places")).alias("_e")).select("_e._own.*", "_e._places.*")
 
 
 def nth_occurrence(uses: DataFrame, by: list[str], text: str, source: str, order: str) -> DataFrame:

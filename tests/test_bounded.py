@@ -1,9 +1,14 @@
 """What an operator holds at once doesn't grow with its input, and results stay those of the plain way."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspan.operators import adapters, chunking, context, decode, kg, resample
+from quillspan.functions import digests
+from quillspan.operators import adapters, chunking, context, decode, kg, resample, resolve
+from quillspan.plans import fixtures
 
 
 def test_places_without_objects(spark):
@@ -62,3 +67,38 @@ def test_edges_leave_a_task_only_if_they_can_rank(spark):
         assert sorted((-r["support"], -len(r["source"] + r["target"]), r["relation"], r["source"], r["target"]) for r in got if r["doc_id"] == doc) == want(doc, held)
     near = context.edges_in_segments(edges.selectExpr("lang", "source", "relation", "target", "size(docs) as _n"), segs, ["doc_id"], 3).filter("doc_id = 1").count()
     assert near < len(rows) / 4
+
+
+def test_spans_resolved_by_batches(spark):
+    """No group of pandas for each job; two entities of one id stay two rows; other columns stay as they are."""
+    segs = spark.createDataFrame([(1, "S2", 10, "b a\tx b"), (1, "S1", 0, "a b  c"), (3, "S1", 0, "zz")], "doc_id long, segment_id string, start int, text string")
+    rows = [(1, "E1", "b", "S1", None), (1, "E1", "x", None, None), (1, "E2", "b", "S2", None), (1, "E3", "b", "S2", 16), (1, "E4", "a x", "S1", None), (1, "E5", "b c", None, 0), (1, "E6", None, "S9", 0), (2, "E1", "a", "S1", 0), (3, "E1", "z", "S1", None)]
+    e = spark.createDataFrame(rows, "doc_id long, id string, text string, segment_id string, given_start int").withColumn("more", F.array("id"))
+    got = resolve.resolve_spans(e, segs, ["doc_id"])
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(1, "E1", "b", "resolved", 2, 3), (1, "E1", "x", "resolved", 14, 15), (1, "E2", "b", "ambiguous", None, None), (1, "E3", "b", "resolved", 16, 17), (1, "E4", "a x", "resolved", 12, 15), (1, "E5", "b c", "resolved", 2, 6), (1, "E6", None, "not_found", None, None), (2, "E1", "a", "not_found", None, None), (3, "E1", "z", "ambiguous", None, None)]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r["doc_id"], r["id"], r["text"], r["status"], r["start"], r["end"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert all(r["more"] == [r["id"]] for r in got.collect())
+
+
+def test_mentions_chosen_by_arrays(monkeypatch):
+    """Second bytes of digests, and lines cut the same way however many texts are held at once."""
+    heads, tails = np.array([0, 9, 10, 10, 12345678901234567, 7]), np.array([0, 99, 100, 9_999_999, 12, 10**15])
+    for tag in (b"", b"x1:"):
+        want = [hashlib.md5(tag + b"%d:%d" % (h, t)).digest()[1] for h, t in zip(heads.tolist(), tails.tolist(), strict=True)]
+        assert digests.md5_second_bytes(tag, heads, tails).tolist() == want
+    texts = ["", "a\n\nb  c", "東京都 " * 50 + "\n😀😀😀 abc" * 30, "abc def ghi jkl\n" * 50, " \n abc"]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": k, "lang": "en", "text": t} for k, t in enumerate(texts)])
+    lines = pa.Table.from_batches(fixtures._chosen(iter([batch]))).to_pylist()
+    sizes = []
+    plain = fixtures.md5_second_bytes
+    monkeypatch.setattr(fixtures, "SIZE", 64)
+    monkeypatch.setattr(fixtures, "md5_second_bytes", lambda tag, h, t: sizes.append(len(h)) or plain(tag, h, t))
+    assert pa.Table.from_batches(fixtures._chosen(iter([batch]))).to_pylist() == lines
+    assert max(sizes) <= 200 and len(lines) > 10
+    for row in lines:
+        assert row["seg_text"] == texts[row["doc_id"]].split("\n")[row["seg"]]
+        for x in row["items"]:
+            assert texts[row["doc_id"]][x["start"] :].startswith(x["tok"]) and len(x["tok"]) >= 3
+            assert x["in_gold"] == (hashlib.md5(b"%d:%d" % (row["doc_id"], x["i"])).digest()[1] % 16 == 0)
