@@ -12,7 +12,7 @@ that is dropped leaves a gap, or are the ones given; of equal given ids the last
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -120,31 +120,49 @@ def located(uses: DataFrame, segments: DataFrame, by: list[str], text: str = "te
     return x.join(hits, [*by, text, "_k"], "left").drop("_k")
 
 
+def _unused(body: str, names: Sequence[str | None]) -> Iterator[tuple[int | None, int | None]]:
+    places = {t: mention_spans(body, t) if t else [] for t in set(names)}
+    at, taken = dict.fromkeys(places, 0), set()
+    for t in names:
+        while at[t] < len(places[t]) and places[t][at[t]] in taken:
+            at[t] += 1
+        span = places[t][at[t]] if at[t] < len(places[t]) else (None, None)
+        taken.add(span)
+        yield span
+
+
+def unused_places(source: Column | str, names: Column | str) -> Column:
+    """For each of the names (an array), in order, the first place in the source, exact or else but for case, that no
+    earlier one has taken: an array of structs start, end, null where there is none left."""
+
+    @F.arrow_udf(PLACES)
+    def run(sources: pa.Array, wanted: pa.Array) -> pa.Array:
+        ends, out = [0], []
+        for s, n in zip(sources, wanted, strict=True):
+            out += _unused(s.as_py() or "", n.as_py() or [])
+            ends.append(len(out))
+        start, end = zip(*out, strict=True) if out else ((), ())
+        columns = [pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["start", "end"]))
+
+    return run(source, names)
+
+
+def placed_in(uses: DataFrame, sources: DataFrame, by: list[str], text: str, source: str, order: str) -> DataFrame:
+    """uses with start, end and exact, the source's text there, as unused_places() gives them. sources: by, source, one row
+    a job. A job's uses are one row, which meets the source once, and nothing is shuffled with a copy of the source."""
+    own = uses.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in uses.columns if c != order)))).alias("_own"))
+    x = own.join(sources.select(*by, F.col(source).alias("_source")), by, "left")
+    x = x.select("_own", "_source", unused_places("_source", F.transform("_own", lambda e: e[text])).alias("_places"))
+    x = x.select("_source", F.explode(F.arrays_zip("_own", "_places")).alias("_e")).select("_source", "_e._own.*", "_e._places.*")
+    return x.select(*uses.columns, "start", "end", F.col("_source").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("exact"))
+
+
 def next_unused(uses: DataFrame, by: list[str], text: str = "text", source: str = "source", order: str = "position") -> DataFrame:
-    """uses with start and end: in order, each takes the first place of its text in the source, exact or else but for
-    case, that no earlier one has taken; null if there is none left. A job's uses are one group, with its source once."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in uses.schema.fields if f.name != source)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        body = next((s for s in f[source] if s is not None), "")
-        places = {t: mention_spans(body, t) if t else [] for t in set(f[text].fillna(""))}
-        at, taken, out = dict.fromkeys(places, 0), set(), []
-        for t in f[text].fillna(""):
-            while at[t] < len(places[t]) and places[t][at[t]] in taken:
-                at[t] += 1
-            span = places[t][at[t]] if at[t] < len(places[t]) else None
-            if span:
-                taken.add(span)
-            out.append(span or (None, None))
-        got = f.drop(columns=[source])
-        for k, c in enumerate(("start", "end")):
-            got[c] = pd.array([o[k] for o in out], dtype="Int32")
-        return got
-
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(order)) == 1
-    once = uses.withColumn("_first", first).withColumn(source, F.when(F.col("_first"), F.col(source))).drop("_first")
-    return once.groupBy(*by).applyInPandas(run, f"{fields}, start int, end int")
+    """uses, without source, with start and end: in order, each takes the first place of its text in the source, exact or
+    else but for case, that no earlier one has taken; null if there is none left. Of a job's sources the first counts."""
+    sources = uses.groupBy(*by).agg(F.min_by(source, F.when(F.col(source).isNotNull(), F.col(order))).alias(source))
+    return placed_in(uses.drop(source), sources, by, text, source, order).drop("exact")
 
 
 # --- labels -----------------------------------------------------------------------------------------------------------
@@ -195,7 +213,7 @@ def from_token_spans(rows: DataFrame, job: str, types: list[str], relation_types
 
 def from_lists(rows: DataFrame, job: str, types: list[str], relation_types: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From lists of names. rows: job, text, entities (array of name, type), relations (array of head, relation, tail, the
-    ends by name). Names take places in the text as next_unused() gives them; one without a place stays, with null places.
+    ends by name). Names take places in the text as unused_places() gives them; one without a place stays, with null places.
     An end that no entity is named by becomes one of unknown type. Labels may differ in case and marks."""
     e = rows.select(job, F.posexplode("entities").alias("position", "e")).select(job, F.struct(F.lit(0).alias("a"), F.col("position").alias("b")).alias("_o"), "position", F.trim(F.coalesce("e.name", F.lit(""))).alias("name"), F.col("e.type").alias("raw"), F.lit("ner").alias("origin"))
     r = rows.select(job, F.posexplode("relations").alias("position", "r")).select(job, "position", F.trim(F.coalesce("r.head", F.lit(""))).alias("head"), F.trim(F.coalesce("r.tail", F.lit(""))).alias("tail"), canonical_label("r.relation", relation_types).alias("_l"))
@@ -206,11 +224,9 @@ def from_lists(rows: DataFrame, job: str, types: list[str], relation_types: list
     added = missing.select(job, place.alias("_o"), "position", "name", F.lit(None).cast("string").alias("raw"), F.concat(F.lit("re_"), F.when(F.col("role") == 0, "head").otherwise("tail")).alias("origin"), "key")
     everyone = named.select(*added.columns).unionByName(added).withColumn("_n", F.row_number().over(Window.partitionBy(job).orderBy("_o"))).withColumn("_l", canonical_label("raw", types))
     flat = everyone.select(job, "_n", "position", "name", "key", "origin", F.col("_l.label").alias("type"), F.col("_l.known").alias("known"))
-    spans = next_unused(flat.join(rows.select(job, F.col("text").alias("source")), job), [job], "name", "source", "_n")
-    placed = spans.join(rows.select(job, F.col("text").alias("source")), job)
+    spans = placed_in(flat, rows, [job], "name", "text", "_n")
     ident = F.concat(F.lit("E"), F.col("_n"))
-    exact = F.coalesce(F.col("source").substr(F.col("start") + 1, F.col("end") - F.col("start")), F.col("name"))
-    entities = placed.select(job, ident.alias("id"), exact.alias("text"), "type", "start", "end")
+    entities = spans.select(job, ident.alias("id"), F.coalesce("exact", "name").alias("text"), "type", "start", "end")
     first = spans.groupBy(job, "key").agg(F.min_by(F.struct("_n", "start", "end"), "_n").alias("f"))
     side = lambda p: first.select(job, F.col("key").alias(f"_{p}"), F.col("f._n").alias(f"{p}_n"), F.col("f.start").alias(f"{p}_start"), F.col("f.end").alias(f"{p}_end"))
     r = r.withColumn("_head", norm("head")).withColumn("_tail", norm("tail")).join(side("head"), [job, "_head"]).join(side("tail"), [job, "_tail"])
