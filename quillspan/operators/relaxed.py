@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Sequence
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,19 +142,33 @@ def most_matches(n_left: int, n_right: int, edges: Sequence[Sequence[int]]) -> i
                     u = path.pop()[0] if path else -1
 
 
+def _most(rows: list[tuple[int, tuple, tuple]]) -> int:
+    """Most one-to-one matches of a job's rows: side (0 gold, 1 predicted), names, kinds."""
+    sides = [[(names, kinds) for s, names, kinds in rows if s == side] for side in (0, 1)]
+    at: dict[tuple, list[int]] = defaultdict(list)  # gold by kinds and first name
+    for j, (names, kinds) in enumerate(sides[0]):
+        at[kinds, names[0]].append(j)
+    near = near_names([n[0] for n, _ in sides[1]], [n[0] for n, _ in sides[0]])
+    edges = [[j for first in near[names[0]] for j in at.get((kinds, first), ()) if all(map(overlaps, names[1:], sides[0][j][0][1:]))] for names, kinds in sides[1]]
+    return most_matches(len(sides[1]), len(sides[0]), edges)
+
+
 def _matched(gold: DataFrame, predicted: DataFrame, by: list[str]) -> DataFrame:
-    """by, gold, predicted, matched of rows by, names, kinds: rows match if all kinds are equal and all names overlap. One
-    job's annotations are one group."""
+    """by, gold, predicted, matched of rows by, names, kinds (arrays of one size each): rows match if all kinds are equal
+    and all names overlap. One job's annotations are one row, and many jobs come to Python at once."""
+
+    @F.arrow_udf("bigint")
+    def run(jobs: pa.Array) -> pa.Array:
+        items, sizes = jobs.flatten(), pc.list_value_length(jobs).to_pylist()
+
+        def tuples(field: str) -> list[tuple]:
+            lists = items.field(field)
+            width = len(lists[0]) if len(lists) else 1
+            return list(zip(*[iter(lists.flatten().to_pylist())] * width, strict=True))
+
+        rows = zip(items.field("side").to_pylist(), tuples("names"), tuples("kinds"), strict=True)
+        return pa.array([_most(list(islice(rows, n))) for n in sizes], pa.int64())
+
     both = gold.withColumn("side", F.lit(0)).unionByName(predicted.withColumn("side", F.lit(1)))
-    fields = ", ".join(f"`{c}` {gold.schema[c].dataType.simpleString()}" for c in by)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        sides = [[(tuple(n), tuple(k)) for n, k in zip(s["names"], s["kinds"], strict=True)] for s in (f[f["side"] == 0], f[f["side"] == 1])]
-        at: dict[tuple, list[int]] = defaultdict(list)  # gold by kinds and first name
-        for j, (names, kinds) in enumerate(sides[0]):
-            at[kinds, names[0]].append(j)
-        near = near_names([n[0] for n, _ in sides[1]], [n[0] for n, _ in sides[0]])
-        edges = [[j for first in near[names[0]] for j in at.get((kinds, first), ()) if all(map(overlaps, names[1:], sides[0][j][0][1:]))] for names, kinds in sides[1]]
-        return pd.DataFrame({**{c: [f[c].iloc[0]] for c in by}, "gold": [len(sides[0])], "predicted": [len(sides[1])], "matched": [most_matches(len(sides[1]), len(sides[0]), edges)]})
-
-    return both.groupBy(*by).applyInPandas(run, f"{fields}, gold bigint, predicted bigint, matched bigint")
+    jobs = both.groupBy(*by).agg(F.count_if(F.col("side") == 0).alias("gold"), F.count_if(F.col("side") == 1).alias("predicted"), F.collect_list(F.struct("side", "names", "kinds")).alias("_rows"))
+    return jobs.select(*by, "gold", "predicted", run("_rows").alias("matched"))

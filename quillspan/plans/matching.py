@@ -62,7 +62,8 @@ def _relation_sql(mode: str) -> str:
 @query(f"{_SIDES} {' UNION ALL '.join(map(_relation_sql, relaxed.EQUAL_MODES))}")
 def relaxed_relations(spark, sf):
     m = fx.mentions(spark, sf)
-    got = [relaxed.relation_matches(_relations(m, "gold"), _relations(m, "v2"), _BY, mode).select(F.lit(mode).alias("mode"), "*") for mode in relaxed.EQUAL_MODES]
+    gold, pred = (written(_relations(m, which), f"relations-{which}") for which in ("gold", "v2"))  # read by each mode
+    got = [relaxed.relation_matches(gold, pred, _BY, mode).select(F.lit(mode).alias("mode"), "*") for mode in relaxed.EQUAL_MODES]
     return reduce(DataFrame.unionByName, got)
 
 

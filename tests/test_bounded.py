@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspan.functions import digests
-from quillspan.operators import adapters, chunking, context, decode, kg, resample, resolve
+from quillspan.operators import adapters, chunking, context, decode, kg, relaxed, resample, resolve
 from quillspan.plans import fixtures
 
 
@@ -102,3 +102,18 @@ def test_mentions_chosen_by_arrays(monkeypatch):
         for x in row["items"]:
             assert texts[row["doc_id"]][x["start"] :].startswith(x["tok"]) and len(x["tok"]) >= 3
             assert x["in_gold"] == (hashlib.md5(b"%d:%d" % (row["doc_id"], x["i"])).digest()[1] % 16 == 0)
+
+
+def test_no_group_of_pandas_for_each_job(spark):
+    """Matching and places of list items take a job as one row; texts aren't copied for each of its items."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    gold = spark.createDataFrame([(1, "Anna Smith", "PER"), (1, "Bo", "PER"), (1, "anna", "ORG"), (2, "x", "PER")], "doc_id long, text string, type string")
+    pred = spark.createDataFrame([(1, "anna", "PER"), (1, "smith", "PER"), (1, "bo", None), (3, "x", "PER")], "doc_id long, text string, type string")
+    for mode, most in (("boundary_type", 1), ("boundary_text", 3)):
+        got = relaxed.entity_matches(gold, pred, ["doc_id"], mode)
+        assert "InPandas" not in plan(got)
+        assert {r["doc_id"]: (r["gold"], r["predicted"], r["matched"]) for r in got.collect()} == {1: (3, 3, most), 2: (1, 0, 0), 3: (0, 1, 0)}
+    rows = spark.createDataFrame([(1, "Bo and bo", [("bo", "per"), ("bo", "per"), ("bo", "per")], None), (2, "x", [("x", "per")], None)], "job int, text string, entities array<struct<name:string,type:string>>, relations array<struct<head:string,relation:string,tail:string>>")
+    e = adapters.from_lists(rows, "job", ["PER"], ["r"])[0]
+    assert "InPandas" not in plan(e)
+    assert sorted((r["job"], r["text"], r["start"], r["end"]) for r in e.collect() if r["start"] is not None) == [(1, "bo", 7, 9), (2, "x", 0, 1)]
