@@ -141,6 +141,9 @@ def normalized_digest(text: Column | str) -> Column:
 
 
 def overlap_quarantine(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text") -> DataFrame:
-    """Rows of left whose normalized text right has too, with the sorted ids there. Texts are joined by digest."""
-    r = right.select(normalized_digest(text).alias("_h"), F.col(right_id).alias("_r")).groupBy("_h").agg(F.array_sort(F.collect_set("_r")).alias("matches"))
-    return left.withColumn("_h", normalized_digest(text)).join(r, "_h").drop("_h").select(left_id, "matches")
+    """Rows of left whose normalized text right has too, with the sorted ids there. Texts are joined by digest, which is
+    never null: else Spark would compute it once more to leave nulls out of the join."""
+    digest = F.coalesce(normalized_digest(text), F.lit(""))
+    left, right = (d.filter(F.col(text).isNotNull()) for d in (left, right))
+    r = right.select(digest.alias("_h"), F.col(right_id).alias("_r")).groupBy("_h").agg(F.array_sort(F.collect_set("_r")).alias("matches"))
+    return left.withColumn("_h", digest).join(r, "_h").drop("_h").select(left_id, "matches")

@@ -1,13 +1,14 @@
 """What an operator holds at once doesn't grow with its input, and results stay those of the plain way."""
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspan.functions import digests
-from quillspan.operators import adapters, chunking, context, decode, kg, relaxed, resample, resolve
+from quillspan.functions import digests, text
+from quillspan.operators import adapters, chunking, context, corpus, decode, kg, relaxed, resample, resolve
 from quillspan.plans import fixtures
 
 
@@ -117,3 +118,16 @@ def test_no_group_of_pandas_for_each_job(spark):
     e = adapters.from_lists(rows, "job", ["PER"], ["r"])[0]
     assert "InPandas" not in plan(e)
     assert sorted((r["job"], r["text"], r["start"], r["end"]) for r in e.collect() if r["start"] is not None) == [(1, "bo", 7, 9), (2, "x", 0, 1)]
+
+
+def test_texts_fold_by_short_ways(spark):
+    """Every character folds as in Python, alone and among others; a digest is computed once in each row."""
+    chars = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000] + ["Straße ÀÉ Ž", "ΣΑΣ ẞ", "İI ı", "ŉ ſ ǰ µ ß", ""]
+    d = spark.createDataFrame(list(enumerate(chars)), "k int, t string")
+    got = dict(d.select("k", text.casefold("t"), text.casefold(F.concat(F.lit("Aß"), "t"))).rdd.map(lambda r: (r[0], (r[1], r[2]))).collect())
+    assert all(got[k] == (c.casefold(), "ass" + c.casefold()) for k, c in enumerate(chars))
+    assert all(re.match(f"[{text._PLAIN}]", c) is None or c.casefold() == c.lower().replace("ß", "ss") for c in chars[:-5])
+    docs = spark.createDataFrame([(1, "A  b"), (2, "a B"), (3, None), (4, None), (5, "a b ")], "doc_id int, text string")
+    same = corpus.overlap_quarantine(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), "doc_id", "doc_id")
+    assert "isnotnull(sha2" not in same._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["doc_id"], r["matches"]) for r in same.collect()] == [(2, [1, 5])]
