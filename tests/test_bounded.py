@@ -131,3 +131,22 @@ def test_texts_fold_by_short_ways(spark):
     same = corpus.overlap_quarantine(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), "doc_id", "doc_id")
     assert "isnotnull(sha2" not in same._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["doc_id"], r["matches"]) for r in same.collect()] == [(2, [1, 5])]
+
+
+def test_anchors_leave_a_task_only_if_they_can_rank(spark):
+    """A line with many names: only the first of a type leave it, whatever the blocks; own witnesses don't count."""
+    names = [(f"name{k:02d}" + "x" * (k % 5), "AB"[k % 2], 1 + k % 3, [1] if k % 4 == 0 else [1, 7] if k % 4 == 1 else [9]) for k in range(40)]
+    catalog = spark.createDataFrame([("en", n, t, 1.0, s, d) for n, t, s, d in names], "lang string, name string, type string, purity double, support long, docs array<long>")
+    line = " ".join(n for n, *_ in names)
+    jobs = spark.createDataFrame([(1, "en", line[:200]), (1, "en", line[200:]), (2, "en", line), (9, "en", line), (3, "de", line), (4, "en", None)], "doc_id long, lang string, text string")
+    got = sorted((r["doc_id"], r["rank"], r["name"]) for r in kg.exact_anchors(jobs, catalog).collect())
+    want = []
+    for doc, texts in ((1, [line[:200], line[200:]]), (2, [line]), (9, [line])):
+        held = sorted((-len(n), -s, t, n) for n, t, s, d in names if any(n in x for x in texts) and (len(d) > 1 or d != [doc]))
+        first = [h for h in held if sum(g[2] == h[2] and g <= h for g in held) <= 2]
+        want += [(doc, k + 1, h[3]) for k, h in enumerate(first)]
+    assert got == sorted(want)
+    fit = catalog.selectExpr("lang", "name", "type", "purity", "support", "size(docs) > 1 as _several", "docs[0] as _witness")
+    for block in (200_000, 7):
+        n = kg.anchors_in_segments(fit, jobs.filter("doc_id = 2"), 2, block).count()
+        assert n <= 4 * -(-40 // block)
