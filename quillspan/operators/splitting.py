@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.ids import hash_rank_key
+from quillspan.sources.scratch import written
 
 
 def ranked(rows: DataFrame, by: list[str], seed: int | str, ident: str) -> DataFrame:
@@ -129,17 +130,20 @@ def allocate_clusters(clusters: DataFrame, targets: dict[str, int], dimensions:
 
     Clusters with equal counts of every kind (a dimension's value) are one class, and each choice depends on all before,
     so one task plans over classes: their number grows with how clusters differ, not with clusters or documents. A
-    cluster's place is its rank by hash in its class; ranks of large classes are made in salted parts."""
+    cluster's place is its rank by hash in its class; ranks of large classes are made in salted parts. Profiles, classes and
+    the plan are made once and written, as several branches read them."""
     kinds = F.explode(F.array(*(F.concat(F.lit(f"{d}="), F.coalesce(F.col(d).cast("string"), F.lit("\0"))) for d in dimensions)))
     counts = clusters.select("cluster", kinds.alias("kind")).groupBy("cluster", "kind").agg(F.count("*").alias("n"))
     profiles = counts.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("profile")).withColumn("class", F.sha2(F.to_json("profile"), 256))
-    classes = profiles.groupBy("class").agg(F.first("profile").alias("profile"), F.count("*").alias("n"))
+    profiles = written(profiles, "cluster-profiles")
+    classes = written(profiles.groupBy("class").agg(F.first("profile").alias("profile"), F.count("*").alias("n")), "cluster-classes")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         pairs = [[(p["kind"], int(p["n"])) for p in profile] for profile in f["profile"]]
         return plan_allocation(f.assign(profile=pairs), targets, len(dimensions))
 
     plan = classes.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda f: run(f.drop(columns="_g")), "class string, first bigint, end bigint, split string, step bigint")
+    plan = written(plan, "cluster-plan")
     most = classes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     salted = profiles.select("cluster", "class", F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-most // RANKED)))).alias("_part"))
     before = Window.partitionBy("class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

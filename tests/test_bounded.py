@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspan.functions import digests, text
-from quillspan.operators import adapters, chunking, context, corpus, decode, kg, relaxed, resample, resolve
+from quillspan.operators import adapters, chunking, context, corpus, decode, kg, relaxed, resample, resolve, splitting
 from quillspan.plans import fixtures
 
 
@@ -150,3 +150,35 @@ def test_anchors_leave_a_task_only_if_they_can_rank(spark):
     for block in (200_000, 7):
         n = kg.anchors_in_segments(fit, jobs.filter("doc_id = 2"), 2, block).count()
         assert n <= 4 * -(-40 // block)
+
+
+def test_fingerprints_of_many_texts_at_once(spark):
+    rng = np.random.default_rng(6)
+    alphabets = ["ab", "abc \u00e9\u00df", "\u6f22\u5b57 x", "\U0001f600 a", "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))]
+    texts = ["".join(rng.choice(list(a), n)) for a in alphabets for n in (5, 7, 8, 90, 3000)] + ["".join(rng.choice(list("abcdefgh"), 90_000))]
+    texts = [t for t in map(corpus._normal, texts) if len(t) >= 5]
+    for kind, step, cap in (("md5", 3, 20_000), ("md5", 1, 300), ("blake2b", 2, 50)):
+        assert corpus._prints(texts, kind, 5, step, cap).tolist() == [corpus._plain_print(t, kind, 5, step, cap) for t in texts]
+    keys = rng.integers(0, 256, (20_000, 17)).astype(np.uint8)
+    assert digests.md5_first_eight(keys).tobytes() == b"".join(hashlib.md5(bytes(k)).digest()[:8] for k in keys)
+    odd = [f"A {chr(c)} {chr(c)}b{chr(c)}" for c in range(0x3100) if c] + [" \t", "", "\x1c a \x85"]
+    for r in spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.norm("t").alias("n")).collect():
+        assert corpus._normal(r["t"]) == r["n"]
+    got = corpus.simhash(spark.createDataFrame([(1, None), (2, "ab"), (3, "x" * 9)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_chars"], r["fingerprint"]) for r in got} == {k: (len(t), corpus._plain_print(t, "md5", 5, 3, 20_000)) for k, t in ((1, ""), (2, "ab"), (3, "x" * 9))}
+
+
+def test_texts_are_read_once_for_clusters_and_their_splits(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    prints = spark.createDataFrame([(k, 100, (k // 3) << 20) for k in range(60)], "doc_id long, n_chars int, fingerprint long").mapInArrow(watched, "doc_id long, n_chars int, fingerprint long")
+    assert corpus.near_clusters(prints).count() == 60 and seen.value == 60
+    seen.value = 0
+    rows = spark.createDataFrame([(k // 2, "a", "x") for k in range(60)], "cluster long, source string, lang string").mapInArrow(watched, "cluster long, source string, lang string")
+    got = splitting.allocate_clusters(rows, {"train": 40, "test": 20}, ["source", "lang"])
+    assert got.count() == 30 and seen.value == 60
