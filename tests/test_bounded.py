@@ -7,8 +7,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quillspan.functions import digests, text
-from quillspan.operators import adapters, chunking, context, corpus, decode, kg, relaxed, resample, resolve, splitting
+from quillspan.functions.ids import h16
+from quillspan.operators import adapters, chunking, context, corpus, decode, gate, kg, relaxed, resample, resolve, splitting
 from quillspan.plans import fixtures
 
 
@@ -182,3 +184,23 @@ def test_texts_are_read_once_for_clusters_and_their_splits(spark):
     rows = spark.createDataFrame([(k // 2, "a", "x") for k in range(60)], "cluster long, source string, lang string").mapInArrow(watched, "cluster long, source string, lang string")
     got = splitting.allocate_clusters(rows, {"train": 40, "test": 20}, ["source", "lang"])
     assert got.count() == 30 and seen.value == 60
+
+
+def test_best_pairs_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(gate, "SOURCES", 3)
+    legal = spark.createDataFrame([("r", "A", "B"), ("q", "A", "B"), ("p", "A", "A"), ("q", "B", "B"), ("z", "C", "A")], "relation string, source_type string, target_type string")
+    rng = np.random.default_rng(7)
+    rows = [(1, int(rng.integers(0, 3)), f"E{k}", str(rng.choice(list("ABC")))) for k in range(40)]  # an id in one segment
+    rows += [(2, int(rng.integers(0, 3)), f"E{rng.integers(0, 8)}", str(rng.choice(list("ABC")))) for _ in range(60)]
+    rows += [(3, 0, "E1", "A"), (4, None, "E1", "A"), (4, None, "E2", "A"), (None, 0, "E1", "A"), (None, 0, "E2", "A")]
+    m = spark.createDataFrame(rows, "doc_id long, seg int, id string, type string")
+    for tag, part in (("", 7), ("x", 2), ("y", 1)):  # many equal scores
+        score = lambda kind: h16(F.concat(F.lit(tag), F.col("doc_id").cast("string"), "source_id", kind, "target_id")) % part  # noqa: B023, E731
+        got = gate.best_pairs(m, legal, ["doc_id"], score, part // 2)
+        c = gate.candidate_pairs(m, legal, ["doc_id"]).withColumn("score", score(F.col("type")))
+        want = gate.keep_best(c, ["doc_id", "source_id", "target_id"], "score", "type").filter(F.col("score") >= part // 2)
+        order = ["doc_id", "source_id", "target_id", "type", "score"]
+        assert sorted(map(tuple, got.select(order).collect())) == sorted(map(tuple, want.select(order).collect())) != []
+    made = entry.queries()["best_per_pair"](spark, "/root/testdata/sf0.001")
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", made._jdf.queryExecution().executedPlan().toString())
+    assert sum("source_id" in d for d in dealt) == 1  # of the pairs of repeated ids
