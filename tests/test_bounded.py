@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillspan.functions import digests, text
+from quillspan.functions import digests, spans, text
 from quillspan.functions.ids import h16
 from quillspan.operators import adapters, chunking, context, corpus, decode, gate, kg, relaxed, resample, resolve, splitting
 from quillspan.plans import fixtures
@@ -72,6 +72,29 @@ def test_edges_leave_a_task_only_if_they_can_rank(spark):
     assert near < len(rows) / 4
 
 
+def test_edges_go_to_texts_in_tiers(spark, monkeypatch):
+    """Frequent edges go first; a text whose job has enough of them isn't written for the next tier; results stay."""
+    names = [f"m{k:02d}y" for k in range(12)] + ["two words"]
+    rows = [("en" if (i + j) % 4 else "unknown", a, "p", b, list(range(100, 102 + (5 * i + 3 * j) % 17))) for i, a in enumerate(names) for j, b in enumerate(names) if a != b]
+    edges = spark.createDataFrame(rows, "lang string, source string, relation string, target string, docs array<long>")
+    texts = [(d, 0, "en", " ".join(names[k] for k in range(13) if (d * 7 + k * k) % 5 < 3).upper() + "\x1c") for d in range(20)] + [(50, 0, "en", None), (51, 0, None, "m01y  two\twords m00y"), (52, 0, "en", "xm01y m02yz"), (52, 1, "en", "m03y-m01y")]
+    segs = spark.createDataFrame(texts, "doc_id long, seg int, lang string, text string")
+    n = edges.selectExpr("lang", "source", "relation", "target", "size(docs) as _n")
+    kept = []
+    monkeypatch.setattr(context, "written", lambda df, label: kept.append(spark.createDataFrame(df.collect(), df.schema)) or kept[-1])
+    got = {tuple(r) for r in context.edges_in_segments(n, segs, ["doc_id"], 3, block=20, first=5).collect()}
+    left = [k.filter("_text is not null").count() for k in kept]
+    assert len(left) > 3 and left[-1] == 0 and left[0] > left[-2]
+    for doc in {t[0] for t in texts}:
+        held = [(e[0], e[1], e[2], e[3], len(e[4])) for e in rows if any(e[0] in (t[2], "unknown") and e[1] in (x := spans.norm_text(t[3])) and e[3] in x for t in texts if t[0] == doc and t[3])]
+        least = sorted((e[4] - 1 for e in held), reverse=True)[2:3]
+        must = {(doc, *e) for e in held if not least or e[4] > least[0]}
+        assert must <= {g for g in got if g[0] == doc} <= {(doc, *e) for e in held}
+    odd = "".join(map(chr, [9, 10, 11, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8203, 8232, 8239, 8287, 12288, 6158]))
+    d = spark.createDataFrame([(c + "A" + c + "\u00df" + c + " x" + c,) for c in odd] + [(odd,), ("",)], "t string")
+    assert all(r[0] == spans.norm_text(r[1]) for r in d.select(text.norm("t"), "t").collect())
+
+
 def test_spans_resolved_by_batches(spark):
     """No group of pandas for each job; two entities of one id stay two rows; other columns stay as they are."""
     segs = spark.createDataFrame([(1, "S2", 10, "b a\tx b"), (1, "S1", 0, "a b  c"), (3, "S1", 0, "zz")], "doc_id long, segment_id string, start int, text string")
