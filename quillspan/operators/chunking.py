@@ -19,14 +19,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.spans import choose_spans
 from quillspan.functions.text import bound, norm
-from quillspan.operators.decode import bio_label
 
 SPAN = "struct<start:int,end:int>"
+GROUP = 1 << 19  # characters, or tokens, whose arrays are held at once
 
 
 def place_array(rows: Iterator[Iterable[tuple[int, int]] | None]) -> pa.Array:
@@ -54,6 +55,129 @@ def token_places(text: Column | str, pattern: str = r"\S+") -> Column:
     return run(text)
 
 
+def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes come to about GROUP, which bounds what is held at once beside a batch."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        stop = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + GROUP, side="right"))
+        yield first, max(stop, first + 1)
+        first = max(stop, first + 1)
+
+
+def _lists(x: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The borders and the values of a list array."""
+    return x.offsets.to_numpy(), x.values
+
+
+def _ints(x: pa.Array, field: str, missing: int) -> np.ndarray:
+    return pc.fill_null(pc.struct_field(x, field).cast(pa.int64()), missing).to_numpy(zero_copy_only=False)
+
+
+def _word_places(texts: pa.Array, separators: str) -> pa.Array:
+    marks = [ord(c) for c in separators]
+    values = pc.fill_null(texts, "")
+    sizes = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, ends, counts = [], [], []
+    for first, stop in _groups(sizes):
+        chars = np.frombuffer(separators[0].join(values[first:stop].to_pylist()).encode("utf-32-le"), np.uint32)
+        gap = np.zeros(len(chars), bool)
+        for m in marks:
+            gap |= chars == m
+        breaks = np.flatnonzero(gap)
+        a, b = np.append(0, breaks + 1), np.append(breaks, len(chars))
+        held = b > a
+        a, b = a[held], b[held]
+        at = np.cumsum(sizes[first:stop] + 1) - sizes[first:stop] - 1  # where each text begins
+        own = np.searchsorted(at, a, side="right") - 1
+        starts.append((a - at[own]).astype(np.int32))
+        ends.append((b - at[own]).astype(np.int32))
+        counts.append(np.bincount(own, minlength=stop - first))
+    joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+    borders = np.append(0, np.cumsum(joined(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(borders), pa.StructArray.from_arrays([pa.array(joined(starts)), pa.array(joined(ends))], ["start", "end"]))
+
+
+def word_places(text: Column | str, separators: str = " \n") -> Column:
+    """token_places() of the words between these characters: texts are numbers in an array, many at once."""
+
+    @F.arrow_udf(f"array<{SPAN}>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _word_places(texts, separators)
+
+    return run(text)
+
+
+def _owners(row: np.ndarray, ts: np.ndarray, te: np.ndarray, span_row: np.ndarray, ss: np.ndarray, se: np.ndarray) -> np.ndarray:
+    """For each token the first span of its row that holds it, or -1. Tokens of a row whose starts and ends don't fall are
+    held by a span as one range of them; other rows are compared with all their spans."""
+    owner = np.full(len(ts), -1, np.int64)
+    if not len(ts) or not len(ss):
+        return owner
+    same = row[1:] == row[:-1]
+    odd = np.unique(np.append(row[1:][same & ((ts[1:] < ts[:-1]) | (te[1:] < te[:-1]))], row[ts < 0]))
+    big = int(max(te.max(), ts.max(), 0)) + 3
+    lo = np.searchsorted(ts + row * big, np.clip(ss, 0, big - 1) + span_row * big, side="left")
+    hi = np.searchsorted(te + row * big, np.clip(se, -1, big - 2) + span_row * big, side="right")
+    if len(odd):
+        hi = np.where(np.isin(span_row, odd), lo, hi)
+    k = np.flatnonzero(hi > lo)[::-1]  # the first span is put down last
+    n = hi[k] - lo[k]
+    owner[np.repeat(lo[k] - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.repeat(k, n)
+    for r in odd.tolist():
+        mine, spans = np.flatnonzero(row == r), np.flatnonzero(span_row == r)
+        for k in spans[::-1].tolist():
+            owner[mine[(ts[mine] >= ss[k]) & (te[mine] <= se[k])]] = k
+    return owner
+
+
+def _token_labels(places: pa.Array, named: pa.Array) -> pa.Array:
+    t_at, t = _lists(places)
+    s_at, s = _lists(named)
+    kinds = pc.struct_field(s, "type").dictionary_encode()
+    kind = pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    names = pa.array(["O", *(b + k for k in kinds.dictionary.to_pylist() for b in ("B-", "I-"))], pa.string())
+    unknown = named.is_null().to_numpy(zero_copy_only=False)
+    ts, te = _ints(t, "start", 0), _ints(t, "end", 0)
+    ss, se = _ints(s, "start", 1 << 40), _ints(s, "end", -1)
+    codes = []
+    for first, stop in _groups(np.diff(t_at)):
+        a, b, c, d = t_at[first], t_at[stop], s_at[first], s_at[stop]
+        row = np.repeat(np.arange(stop - first), np.diff(t_at[first : stop + 1]))
+        span_row = np.repeat(np.arange(stop - first), np.diff(s_at[first : stop + 1]))
+        own = _owners(row, ts[a:b], te[a:b], span_row, ss[c:d], se[c:d])
+        code, hit = np.zeros(b - a, np.int64), own >= 0
+        k = own[hit] + c
+        code[hit] = np.where(kind[k] < 0, -1, 1 + 2 * kind[k] + (ts[a:b][hit] != ss[k]))
+        code[(te[a:b] <= ts[a:b]) | unknown[first:stop][row]] = -1
+        codes.append(code.astype(np.int32))
+    code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array((t_at - t_at[0]).astype(np.int32)), names.take(pa.array(code, mask=code < 0)), mask=places.is_null())
+
+
+def token_labels(tokens: Column | str, spans: Column | str) -> Column:
+    """decode.bio_label() of all of a text's tokens (start, end) and spans (start, end, type), without comparing each with
+    each: null for a token that is empty or null, and for all if the spans are null."""
+
+    @F.arrow_udf("array<string>")
+    def run(places: pa.Array, named: pa.Array) -> pa.Array:
+        return _token_labels(places, named)
+
+    return run(tokens, spans)
+
+
+def word_labels(docs: DataFrame, text: str, spans: str, labels: str, separators: str = " \n") -> DataFrame:
+    """docs with token_labels() of the text's word_places(), which don't leave the worker, in place of text and spans."""
+    keep = [f for f in docs.schema.fields if f.name not in (text, spans, labels)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _token_labels(_word_places(b.column(text), separators), b.column(spans))
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), found], names=[*(f.name for f in keep), labels])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{labels}` array<string>"]))
+
+
 def subword_places(docs: DataFrame, path: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
     """docs with the ids and places of a tokenizer file's tokens: an array of structs start, end, id."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != tokens]
@@ -83,21 +207,27 @@ def overlapping_chunks(docs: DataFrame, tokens: str, size: int, stride: int) ->
 
 
 def labelled(chunks: DataFrame, tokens: str, spans: str) -> DataFrame:
-    """chunks with labels, by the spans (start, end, type) that hold their tokens, and repaired, how many of them were
-    I- without one of its type before in this chunk and became B-: a chunk can't go on with what another began."""
-    raw = F.transform(tokens, lambda t: F.when(t["end"] > t["start"], bio_label(t["start"], t["end"], F.col(spans))))
+    """chunks with labels, by the spans (start, end, type) that hold their tokens, mended()."""
+    return mended(chunks.withColumn("_raw", token_labels(tokens, spans)), "_raw").drop("_raw")
+
+
+def mended(chunks: DataFrame, raw: str) -> DataFrame:
+    """chunks with labels, and repaired, how many of the raw ones were I- without one of its type before in this chunk and
+    became B-: a chunk can't go on with what another began."""
+    kind = lambda label: F.substring(label, 3, 1000)
 
-    def mend(labels: Column) -> Column:
-        def step(acc: Column, label: Column) -> Column:
-            alone = label.startswith("I-") & (F.substring(label, 3, 1000) != acc["kind"])
-            out = F.when(alone, F.concat(F.lit("B-"), F.substring(label, 3, 1000))).otherwise(label)
-            kind = F.when(label.isNull(), acc["kind"]).when(label == "O", "").otherwise(F.substring(label, 3, 1000))
-            return F.struct(F.concat(acc["labels"], F.array(out)).alias("labels"), kind.alias("kind"), (acc["repaired"] + F.coalesce(alone, F.lit(False)).cast("int")).alias("repaired"))
+    def step(acc: Column, label: Column) -> Column:
+        alone = label.startswith("I-") & (kind(label) != acc["kind"])
+        out = F.when(alone, F.concat(F.lit("B-"), kind(label))).otherwise(label)
+        last = F.when(label.isNull(), acc["kind"]).when(label == "O", "").otherwise(kind(label))
+        return F.struct(F.concat(acc["labels"], F.array(out)).alias("labels"), last.alias("kind"))
 
-        start = F.struct(F.array().cast("array<string>").alias("labels"), F.lit("").alias("kind"), F.lit(0).alias("repaired"))
-        return F.aggregate(labels, start, step)
+    def count(seen: Column) -> Column:
+        return F.size(F.filter(seen, lambda label, i: label.startswith("I-") & (F.coalesce(kind(F.get(seen, i - 1)), F.lit("")) != kind(label))))
 
-    return chunks.withColumn("_m", bound(raw, mend)).withColumns({"labels": F.col("_m.labels"), "repaired": F.col("_m.repaired")}).drop("_m")
+    start = F.struct(F.array().cast("array<string>").alias("labels"), F.lit("").alias("kind"))
+    labels = F.aggregate(raw, start, step)["labels"]
+    return chunks.withColumns({"labels": labels, "repaired": bound(F.filter(raw, lambda x: x.isNotNull()), count)})
 
 
 def stitched(chunks: DataFrame, by: list[str], *columns: str) -> DataFrame:

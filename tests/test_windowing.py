@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspan.functions.spans import choose_spans, focus
-from quillspan.operators import chunking, windows
+from quillspan.operators import chunking, decode, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -158,3 +158,21 @@ def test_rescue_windows_equal_enumeration(spark, crop):
             assert want[0] == "endpoint_absent"
         else:
             assert got[d, rid] == want
+
+
+def test_labels_without_comparing_all(spark):
+    """Labels of many tokens and overlapping spans are those of each token compared with each span, whatever their order."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        a = np.cumsum(rng.integers(0, 4, int(rng.integers(0, 40))))
+        t = [(int(x), int(x + rng.integers(0, 3))) if rng.random() > 0.05 else None for x in (a if k % 3 else rng.permutation(a))]
+        s = [(int(x), int(x + rng.integers(0, 9)), str(rng.choice(["P", "Q"])) if rng.random() > 0.1 else None) for x in rng.integers(-2, 60, int(rng.integers(0, 8)))]
+        rows.append((k, t, None if k == 7 else s))
+    d = spark.createDataFrame(rows, "k int, tokens array<struct<start:int,end:int>>, spans array<struct<start:int,end:int,type:string>>")
+    old = F.transform("tokens", lambda t: F.when(t["end"] > t["start"], decode.bio_label(t["start"], t["end"], F.col("spans"))))
+    got = d.select("k", chunking.token_labels("tokens", "spans").alias("new"), old.alias("old")).collect()
+    assert all(r["new"] == r["old"] for r in got) and sum(x not in (None, "O") for r in got for x in r["new"]) > 50
+    texts = [(0, "ab  c\nd"), (1, None), (2, ""), (3, " \n "), (4, "\u00e9\U0001f600 x\tz"), (5, "a" * 9)]
+    d = spark.createDataFrame(texts, "k int, t string").coalesce(1)
+    assert all(r[0] == r[1] for r in d.select(chunking.word_places("t"), chunking.token_places("t", "[^ \n]+")).collect())
