@@ -3,9 +3,16 @@ the rest is not come from the same pass."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.chunking import _word_places
+
 
 def cascade(rows: DataFrame, steps: dict[str, Column]) -> DataFrame:
     """rows with exit: the first step (by name) whose condition doesn't hold, null if all do. A null condition doesn't."""
@@ -47,17 +54,64 @@ RELATION_EXITS = ["below_threshold", "dropped_label", "dropped_endpoint", "dropp
 ENTITY_EXITS = ["below_threshold", "dropped_label", "dropped_span", "deduplicated"]
 
 
-def entity_candidates(raw: DataFrame, text: str, by: list[str], labels: list[str], tokens: str, threshold: float = 0.5) -> DataFrame:
-    """raw (by, the source's text and its tokens' places, start, end, label, score, predicted) with exit, the span without
-    white space at its ends: spans inside the text, equal to what was predicted if that is given, that begin and end with
-    tokens; of equal spans the best score stays, then the last label."""
-    x = raw.withColumn("_inside", (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length(text)))
-    cut = F.when(F.col("_inside"), F.col(text).substr(F.col("start") + 1, F.col("end") - F.col("start")))
-    x = x.withColumn("_cut", cut).withColumn("_left", F.length("_cut") - F.length(F.regexp_replace("_cut", r"(?U)^\s+", "")))
-    x = x.withColumn("_name", F.regexp_replace(F.regexp_replace("_cut", r"(?U)^\s+", ""), r"(?U)\s+$", ""))
-    x = x.withColumn("start", F.when(F.col("_inside"), F.col("start") + F.col("_left")).otherwise(F.col("start"))).withColumn("end", F.when(F.col("_inside"), F.col("start") + F.length("_name")).otherwise(F.col("end")))
-    begins = F.exists(tokens, lambda t: t["start"] == F.col("start"))
-    ends = F.exists(tokens, lambda t: t["end"] == F.col("end"))
-    span = F.col("_inside") & (F.col("_name") != "") & (F.col("predicted").isNull() | (F.col("predicted") == F.col("_name"))) & begins & ends
-    x = cascade(x, {"below_threshold": F.col("score") >= threshold, "dropped_label": F.col("label").isin(labels), "dropped_span": span})
-    return keep_best(x, [*by, "start", "end"], [F.desc("score"), F.desc("label")], "deduplicated").drop("_inside", "_cut", "_left", "_name")
+#: White space as Java's (?U)\\s has it.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not 0x1C <= ord(c) <= 0x1F)
+
+
+def _exits(text: str | None, begins: set, ends: set, rows: list[tuple]) -> list[tuple]:
+    """(start, end, exit) of one text's candidates (start, end, predicted, label, score, exit so far)."""
+    out: list[tuple] = []
+    best: dict = {}  # by span: rank and place of the best that is left
+    for a, b, said, label, score, gone in rows:
+        good = text is not None and a is not None and b is not None and 0 <= a < b <= len(text)
+        if good:
+            cut = text[a:b]
+            a += len(cut) - len(cut.lstrip(_SPACES))
+            name = cut.strip(_SPACES)
+            b = a + len(name)
+            good = name != "" and (said is None or said == name) and a in begins and b in ends
+        exit_ = gone or (None if good else "dropped_span")
+        if exit_ is None:
+            rank = (score != score, score, label)  # not a number is above all
+            if (old := best.get((a, b))) is None or rank > old[0]:
+                if old is not None:
+                    out[old[1]] = (a, b, "deduplicated")
+                best[a, b] = rank, len(out)
+            else:
+                exit_ = "deduplicated"
+        out.append((a, b, exit_))
+    return out
+
+
+def entity_candidates(jobs: DataFrame, candidates: str, text: str, by: list[str], labels: list[str], threshold: float = 0.5, separators: str = " \n") -> DataFrame:
+    """by, start, end, label, score and exit of each of the jobs' candidates (an array of start, end, label, score,
+    predicted), the span without white space at its ends: spans inside the text, equal to what was predicted if that is
+    given, that begin and end with tokens, the words between separators; of equal spans the best score stays, then the last
+    label. A job is one row: its text and tokens are met once, and leave it with no candidate."""
+    first = lambda c: F.when(~F.coalesce(c["score"] >= threshold, F.lit(False)), "below_threshold").when(~F.coalesce(c["label"].isin(labels), F.lit(False)), "dropped_label")
+    fields = ("start", "end", "predicted", "label", "score")
+    rows = F.transform(F.coalesce(candidates, F.array()), lambda c: F.struct(c["start"].cast("int").alias("start"), c["end"].cast("int").alias("end"), c["predicted"].alias("predicted"), c["label"].alias("label"), c["score"].cast("double").alias("score"), first(c).alias("exit")))
+    x = jobs.select(*by, F.col(text).alias("_text"), rows.alias("_c"))
+    keep = [f for f in x.schema.fields if f.name in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, found = b.column("_text"), b.column("_c")
+            at, c = found.offsets.to_pylist(), found.values
+            columns = [pc.struct_field(c, f).to_pylist() for f in (*fields, "exit")]
+            places = _word_places(texts, separators)
+            t_at, t = places.offsets.to_pylist(), places.values
+            begins, ends = t.field("start").to_numpy(), t.field("end").to_numpy()
+            out: list[tuple] = []
+            for k, body in enumerate(texts.to_pylist()):
+                if at[k + 1] > at[k]:
+                    own = slice(t_at[k], t_at[k + 1])
+                    out += _exits(body, set(begins[own].tolist()), set(ends[own].tolist()), list(zip(*(v[at[k] : at[k + 1]] for v in columns), strict=True)))
+            start, end, exit_ = zip(*out, strict=True) if out else ((), (), ())
+            jobs_ = pa.array(np.repeat(np.arange(b.num_rows), np.diff(found.offsets.to_numpy())))
+            inner = slice(at[0], at[-1])
+            data = [*(b.column(f.name).take(jobs_) for f in keep), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(columns[3][inner], pa.string()), pa.array(columns[4][inner], pa.float64()), pa.array(exit_, pa.string())]
+            yield pa.RecordBatch.from_arrays(data, names=[*(f.name for f in keep), "start", "end", "label", "score", "exit"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    return x.mapInArrow(run, f"{kinds}, start int, end int, label string, score double, exit string")

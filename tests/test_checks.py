@@ -107,3 +107,16 @@ def test_incremental(spark, tmp_path):
     assert run() == ([(6, "c/d e"), (8, None)], ["a"])  # it derives to nothing now
     assert run()[1] == []
     assert len(run("2")[1]) == 3
+
+
+def test_candidates_meet_their_text_once(spark):
+    """Exits of a job's candidates come from one row a job, without a join or a window."""
+    c = [(0, 3, "ab", "P", 0.5), (0, 2, None, "Q", 0.5), (0, 2, None, "P", 0.9), (1, 2, None, "P", 0.9), (4, 9, None, "P", 0.9), (None, 2, None, "P", 0.9), (0, 2, None, "X", 0.9), (0, 2, None, None, 0.9), (0, 2, None, "P", 0.1), (0, 2, None, "P", None), (2, 3, None, "P", 0.9), (3, 5, "cd!", "P", 0.9), (3, 5, "cd", "P", float("nan")), (3, 5, "cd", "Q", 0.9)]
+    jobs = spark.createDataFrame([(1, "ab cd", c), (2, None, c[:1]), (3, "ab cd", []), (4, "ab", None), (5, "\u00a0ab\u00a0", [(0, 4, "ab", "P", 0.5)])], "k int, t string, c array<struct<start:int,end:int,predicted:string,label:string,score:double>>")
+    got = cascade.entity_candidates(jobs, "c", "t", ["k"], ["P", "Q"], 0.3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    rows = got.collect()
+    assert [r["exit"] for r in rows if r["k"] == 1] == ["deduplicated", "deduplicated", None, *["dropped_span"] * 3, "dropped_label", "dropped_label", "below_threshold", "below_threshold", "dropped_span", "dropped_span", None, "deduplicated"]
+    assert [(r["start"], r["end"]) for r in rows if r["k"] == 1][:3] == [(0, 2)] * 3
+    assert [(r["k"], r["exit"]) for r in rows if r["k"] != 1] == [(2, "dropped_span"), (5, "dropped_span")]
