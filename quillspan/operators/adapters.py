@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +50,41 @@ def align(text: str, tokens: Sequence[str]) -> list[tuple[int, int]] | None:
     return out
 
 
+_BLANKS = np.zeros(0x3002, bool)  # white space by number of the character; the last entry stands for all that follow
+_BLANKS[[k for k in range(0x3001) if chr(k).isspace()]] = True
+
+
+def _aligned(text: str, joined: str, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """align() by arrays. joined: the tokens without anything between; borders: where each begins in it, and its length."""
+    own, other = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (text, joined))
+    solid, inked = np.flatnonzero(~_BLANKS[np.minimum(own, 0x3001)]), ~_BLANKS[np.minimum(other, 0x3001)]
+    if not np.array_equal(own[solid], other[inked]):
+        return None
+    counts = np.append(0, np.cumsum(inked))[borders]
+    after = np.append(0, solid + 1)
+    ends = after[counts[1:]]
+    return np.where(counts[1:] > counts[:-1], np.append(solid, 0)[counts[:-1]], ends), ends
+
+
 def aligned_tokens(text: Column | str, tokens: Column | str) -> Column:
     """align() as an array of structs start and end; null where text and tokens differ."""
 
     @F.arrow_udf(PLACES)
     def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
-        return place_array(align(t.as_py() or "", p.as_py() or []) for t, p in zip(texts, parts, strict=True))
+        at, values = parts.offsets.to_numpy(), pc.fill_null(parts.values, "")
+        sizes = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, ends, counts, gone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0], []
+        for k, t in enumerate(texts):
+            first, stop = at[k], at[k + 1]
+            joined = "".join(values[first:stop].to_pylist())
+            got = _aligned(t.as_py() or "", joined, np.append(0, np.cumsum(sizes[first:stop])))
+            gone.append(got is None)
+            if got is not None:
+                starts.append(got[0])
+                ends.append(got[1])
+            counts.append(0 if got is None else len(got[0]))
+        number = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.StructArray.from_arrays([number(starts), number(ends)], ["start", "end"]), mask=pa.array(gone, pa.bool_()))
 
     return run(text, tokens)
 
@@ -190,24 +220,33 @@ def from_token_spans(rows: DataFrame, job: str, types: list[str], relation_types
     head, tail, type, the ends by position of their entity). A job whose tokens aren't its text has no items but an issue;
     an entity with a span outside the tokens or of an unknown type goes, and relations with such an end go with it."""
     x = rows.select(job, "text", "entities", "relations", aligned_tokens("text", "tokens").alias("_at"))
-    lost = _issue(x.filter("_at is null"), job, "tokens_differ_from_text", F.lit(None), F.lit(None).cast("string"))
-    x = x.filter("_at is not null")
-    e = x.select(job, "text", "_at", F.posexplode("entities").alias("position", "e")).select(job, "text", "_at", "position", "e.*")
-    span = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.size("_at")), F.lit(False))
-    fault = F.when(~span, "invalid_entity_span").when(~F.coalesce(F.col("type").isin(types), F.lit(False)), "unknown_entity_type")
-    e = e.withColumn("fault", fault)
-    detail = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"), F.col("type"))
-    good = e.filter("fault is null").select(job, "position", "type", "text", F.get("_at", F.col("start"))["start"].alias("start"), F.get("_at", F.col("end") - 1)["end"].alias("end"))
-    ident = F.concat(F.lit("E"), F.col("position") + 1)
-    entities = good.select(job, ident.alias("id"), F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "type", "start", "end")
-    r = x.select(job, F.posexplode("relations").alias("position", "r")).select(job, "position", "r.*")
-    for p in ("head", "tail"):
-        r = r.join(good.select(job, F.col("position").alias(p), F.lit(True).alias(f"{p}_known"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end")), [job, p], "left")
-    ends = F.coalesce(F.col("head_known") & F.col("tail_known"), F.lit(False))
-    r = r.withColumn("fault", F.when(~ends, "invalid_relation_endpoint").when(~F.coalesce(F.col("type").isin(relation_types), F.lit(False)), "unknown_relation_type"))
-    relations = r.filter("fault is null").select(job, F.concat(F.lit("R"), F.col("position") + 1).alias("id"), F.concat(F.lit("E"), F.col("head") + 1).alias("source_id"), "type", F.concat(F.lit("E"), F.col("tail") + 1).alias("target_id"), F.least("head_start", "tail_start").alias("start"), F.greatest("head_end", "tail_end").alias("end"))
-    r_detail = F.concat_ws(":", F.col("head").cast("string"), F.col("tail").cast("string"), F.col("type"))
-    issues = lost.unionByName(_issue(e.filter("fault is not null"), job, F.col("fault"), "position", detail)).unionByName(_issue(r.filter("fault is not null"), job, F.col("fault"), "position", r_detail))
+
+    def placed(e: Column) -> Column:
+        span = F.coalesce((e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= F.size("_at")), F.lit(False))
+        fault = F.when(~span, "invalid_entity_span").when(~F.coalesce(e["type"].isin(types), F.lit(False)), "unknown_entity_type")
+        detail = F.concat_ws(":", e["start"].cast("string"), e["end"].cast("string"), e["type"])
+        at = F.when(fault.isNull(), F.struct(F.get("_at", e["start"])["start"].alias("start"), F.get("_at", e["end"] - 1)["end"].alias("end")))
+        return F.struct(fault.alias("fault"), detail.alias("detail"), e["type"].alias("type"), at.alias("at"))
+
+    def ended(r: Column, ents: Column) -> Column:
+        head, tail = F.get(ents, r["head"])["at"], F.get(ents, r["tail"])["at"]
+        fault = F.when(head.isNull() | tail.isNull(), "invalid_relation_endpoint").when(~F.coalesce(r["type"].isin(relation_types), F.lit(False)), "unknown_relation_type")
+        detail = F.concat_ws(":", r["head"].cast("string"), r["tail"].cast("string"), r["type"])
+        at = F.when(fault.isNull(), F.struct(F.least(head["start"], tail["start"]).alias("start"), F.greatest(head["end"], tail["end"]).alias("end")))
+        return F.struct(fault.alias("fault"), detail.alias("detail"), r["head"].alias("head"), r["type"].alias("type"), r["tail"].alias("tail"), at.alias("at"))
+
+    # Ends are looked up in the job's own array: no join, and one pass over the texts for each table that is asked for.
+    both = bound(F.transform("entities", placed), lambda ents: F.struct(ents.alias("e"), F.transform("relations", lambda r: ended(r, ents)).alias("r")))
+    x = x.select(job, "text", F.col("_at").isNull().alias("_lost"), F.when(F.col("_at").isNotNull(), both).alias("_x"))
+    e = x.select(job, "text", F.posexplode("_x.e").alias("position", "e")).filter("e.fault is null").select(job, "text", "position", "e.type", "e.at.start", "e.at.end")
+    entities = e.select(job, F.concat(F.lit("E"), F.col("position") + 1).alias("id"), F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "type", "start", "end")
+    r = x.select(job, F.posexplode("_x.r").alias("position", "r")).filter("r.fault is null")
+    relations = r.select(job, F.concat(F.lit("R"), F.col("position") + 1).alias("id"), F.concat(F.lit("E"), F.col("r.head") + 1).alias("source_id"), "r.type", F.concat(F.lit("E"), F.col("r.tail") + 1).alias("target_id"), "r.at.start", "r.at.end")
+    issue = lambda kind, position, detail: F.struct(kind.alias("kind"), position.cast("int").alias("position"), detail.cast("string").alias("detail"))
+    lost = F.when(F.col("_lost"), F.array(issue(F.lit("tokens_differ_from_text"), F.lit(None), F.lit(None))))
+    faults = lambda c: F.filter(F.transform(c, lambda y, k: issue(y["fault"], k, y["detail"])), lambda i: i["kind"].isNotNull())
+    none = F.expr("cast(array() as array<struct<kind:string,position:int,detail:string>>)")
+    issues = x.select(job, F.explode(F.concat(*(F.coalesce(c, none) for c in (lost, faults("_x.e"), faults("_x.r"))))).alias("i")).select(job, "i.*")
     return entities, relations, issues
 
 

@@ -55,16 +55,12 @@ def tolerant_locate(spark, sf):
 
 def _native(spark, sf):
     """What a span model may give for a document: mentions by number of their token, some out of range or of no type."""
-    d = read(spark, sf, "documents").filter("text is not null").select("doc_id", "text", F.split("text", "[ \n]", -1).alias("tokens"))
-    m = fx.mentions(spark, sf).filter("in_v1")
-    h = lambda tag: h16(F.concat(F.lit(tag), F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string")))
-    start = F.when(h("ns:") % 16 == 0, -1).otherwise(F.col("i"))
-    ent = F.struct("i", F.struct(start.alias("start"), (F.col("i") + 1).alias("end"), F.when(h("nt:") % 16 == 0, "THING").otherwise(F.col("type_v1")).alias("type")).alias("e"))
-    e = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(ent)).alias("_e")).select("doc_id", F.transform("_e", lambda x: x["e"]).alias("entities"))
-    k = F.row_number().over(fx.Window.partitionBy("doc_id").orderBy("i")) - 1
-    kind = F.get(F.array(*map(F.lit, [*RELATIONS, "other"])), h("nr:") % 4)
-    r = m.select("doc_id", "i", k.alias("k"), kind.alias("kind")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", F.struct(F.col("k").alias("head"), (F.col("k") + 1).alias("tail"), F.col("kind").alias("type")).alias("r")))).alias("_r"))
-    return d.join(e, "doc_id").join(r.select("doc_id", F.transform("_r", lambda x: x["r"]).alias("relations")), "doc_id")
+    h = lambda tag, m: h16(F.concat(F.lit(tag), F.col("doc_id").cast("string"), F.lit(":"), m["i"].cast("string")))
+    kinds = F.array(*map(F.lit, [*RELATIONS, "other"]))
+    ent = lambda m: F.struct(F.when(h("ns:", m) % 16 == 0, -1).otherwise(m["i"]).alias("start"), (m["i"] + 1).alias("end"), F.when(h("nt:", m) % 16 == 0, "THING").otherwise(m["type"]).alias("type"))
+    rel = lambda m, k: F.struct(k.alias("head"), (k + 1).alias("tail"), F.get(kinds, h("nr:", m) % 4).alias("type"))
+    d = fx.texts_with_mentions(spark, sf, "v1").filter(F.size("items") > 0)
+    return d.select("doc_id", "text", F.split("text", "[ \n]", -1).alias("tokens"), F.transform("items", ent).alias("entities"), F.transform("items", rel).alias("relations"))
 
 
 _NATIVE = f"""{DUCK}, ne AS (SELECT doc_id, "start", "end", text, {_hk('ns:')} % 16 = 0 AS out, {_hk('nt:')} % 16 = 0 AS odd, type, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, ([{', '.join(repr(r) for r in RELATIONS)}, 'other'])[{_hk('nr:')} % 4 + 1] AS kind FROM v1)"""

@@ -117,3 +117,28 @@ def test_list_query(spark):
         assert len(set(spans)) == len(spans)
         assert all(texts[doc][r["start"] : r["end"]] == r["text"] for r in rows if r["start"] is not None)
         assert sorted(int(r["id"][1:]) for r in rows) == list(range(1, len(rows) + 1))
+
+
+def test_token_spans_without_joins(spark):
+    """Ends of relations come from the job's own array, and texts are aligned as align() does it, odd white space too."""
+    rng = random.Random(5)
+    alphabet = ["a", "\u00e9", "\U0001f600", " ", "\n", "\x1c", "\u3000", "\u200b"]
+    rows = []
+    for k in range(80):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(12)))
+        cut = sorted(rng.randrange(len(text) + 1) for _ in range(3))
+        tokens = [text[a:b] or rng.choice(["", None]) for a, b in zip([0, *cut], [*cut, len(text)])]
+        rows.append((k, text if k % 9 else text + "b", tokens, [(0, 4, "P"), (3, 9, "P"), (0, 1, "Z"), None], [(0, 0, "r"), (0, 1, "r"), (0, -1, "r"), (None, 0, "r"), (0, 0, "s"), (0, 7, "r")]))
+    rows.append((99, None, None, None, None))
+    d = spark.createDataFrame(rows, "job int, text string, tokens array<string>, entities array<struct<start:int,end:int,type:string>>, relations array<struct<head:int,tail:int,type:string>>")
+    got = {r["job"]: r["p"] and [tuple(p) for p in r["p"]] for r in d.select("job", adapters.aligned_tokens("text", "tokens").alias("p")).collect()}
+    assert got == {r[0]: adapters.align(r[1] or "", r[2] or []) for r in rows} and any(v is None for v in got.values())
+    e, r, i = adapters.from_token_spans(d, "job", ["P"], ["r"])
+    assert all("Join" not in x._jdf.queryExecution().executedPlan().toString() for x in (e, r, i))
+    good = {k for k, v in got.items() if v is not None and k != 99}
+    assert {x["job"] for x in e.collect()} == {x["job"] for x in r.collect()} == good
+    want = [("invalid_entity_span", 1), ("invalid_entity_span", 3), ("invalid_relation_endpoint", 1), ("invalid_relation_endpoint", 2), ("invalid_relation_endpoint", 3), ("invalid_relation_endpoint", 5), ("unknown_entity_type", 2), ("unknown_relation_type", 4)]
+    found = {}
+    for x in i.collect():
+        found.setdefault(x["job"], []).append((x["kind"], x["position"]))
+    assert all(sorted(found[k], key=str) == want for k in good) and {k for k, v in found.items() if v == [("tokens_differ_from_text", None)]} == set(got) - good - {99}
