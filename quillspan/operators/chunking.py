@@ -239,50 +239,74 @@ def stitched(chunks: DataFrame, by: list[str], *columns: str) -> DataFrame:
     return whole.select(*by, *(F.flatten(F.transform("_parts", lambda p: p[c])).alias(c) for c in columns))  # noqa: B023
 
 
+def _runs(z: pa.Array, row: np.ndarray, gap: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """runs() of the items (t, l, s) of many rows: the rows' numbers, and start, end, type and score."""
+    token, label, score = (pc.struct_field(z, f) for f in "tls")
+    ts, te = _ints(token, "start", 0), _ints(token, "end", 0)
+    coded = label.dictionary_encode()
+    code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    names = coded.dictionary.to_pylist()
+    kinds = {n[2:]: k for k, n in enumerate(names)}
+    kind_of, is_o, is_i = np.array([kinds[n[2:]] for n in names], int), np.array([n == "O" for n in names], bool), np.array([n.startswith("I-") for n in names], bool)
+    seen = np.flatnonzero((te > ts) & (code >= 0))
+    if not len(seen):
+        return seen, [pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.string()), pa.array([], score.type)]
+    ts, te, code, row = ts[seen], te[seen], code[seen], row[seen]
+    inside, kind = ~is_o[code], kind_of[code]
+    goes = np.append(False, (row[1:] == row[:-1]) & inside[:-1] & is_i[code[1:]] & (kind[1:] == kind[:-1]) & (ts[1:] <= te[:-1] + gap))
+    begins, ends = np.flatnonzero(inside & ~goes), np.flatnonzero(inside & ~np.append(goes[1:], False))
+    value = np.append(pc.fill_null(score.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)[seen], np.nan)
+    given = np.append(score.is_valid().to_numpy(zero_copy_only=False)[seen], False)
+    cuts = np.stack([begins, ends + 1], axis=1).ravel()
+    least = np.fmin.reduceat(value, cuts)[::2] if len(cuts) else np.zeros(0)
+    some = np.add.reduceat(given.astype(int), cuts)[::2] if len(cuts) else np.zeros(0, int)
+    types = pa.array([n[2:] for n in names], pa.string()).take(pa.array(code[begins]))
+    return row[begins], [pa.array(ts[begins].astype(np.int32)), pa.array(te[ends].astype(np.int32)), types, pa.array(least, pa.float64(), mask=some == 0).cast(score.type)]
+
+
 def runs(texts: DataFrame, tokens: str = "tokens", labels: str = "labels", scores: str = "scores", gap: int = 1) -> DataFrame:
     """texts' other columns with start, end, type and score of each run of labels of one type that no B- and no gap of
-    more characters interrupts; the score is the least of the run's. Begins and ends of runs are found by themselves:
-    the k-th begin and the k-th end belong together."""
-    keep = [c for c in texts.columns if c not in (tokens, labels, scores)]
-    t = F.filter(F.arrays_zip(F.col(tokens).alias("t"), F.col(labels).alias("l"), F.col(scores).alias("s")), lambda x: (x["t"]["end"] > x["t"]["start"]) & x["l"].isNotNull())
-
-    def found(x: Column) -> Column:
-        kind = lambda e: F.substring(e["l"], 3, 1000)
-
-        def goes_on(i: Column) -> Column:
-            a, b = F.get(x, i - 1), F.get(x, i)
-            return F.coalesce((a["l"] != "O") & b["l"].startswith("I-") & (kind(a) == kind(b)) & (b["t"]["start"] <= a["t"]["end"] + gap), F.lit(False))
-
-        at = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
-        inside = F.filter(at, lambda i: F.get(x, i)["l"] != "O")
-        begins, ends = F.filter(inside, lambda i: ~goes_on(i)), F.filter(inside, lambda i: ~goes_on(i + 1))
-        return F.transform(
-            F.arrays_zip(begins.alias("a"), ends.alias("b")),
-            lambda r: F.struct(
-                F.get(x, r["a"])["t"]["start"].alias("start"),
-                F.get(x, r["b"])["t"]["end"].alias("end"),
-                kind(F.get(x, r["a"])).alias("type"),
-                F.array_min(F.transform(F.slice(x, r["a"] + 1, r["b"] - r["a"] + 1), lambda e: e["s"])).alias("score"),
-            ),
-        )
-
-    return texts.select(*keep, F.explode(bound(t, found)).alias("_r")).select(*keep, "_r.*")
+    more characters interrupts; the score is the least of the run's. Begins and ends of runs are found by themselves, in
+    the arrays of many texts at once: the k-th begin and the k-th end belong together."""
+    keep = [f for f in texts.schema.fields if f.name not in (tokens, labels, scores)]
+    names = [f.name for f in keep]
+    x = texts.select(*names, F.arrays_zip(F.col(tokens).alias("t"), F.col(labels).alias("l"), F.col(scores).alias("s")).alias("_z"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, z = _lists(b.column("_z"))
+            for first, stop in _groups(np.diff(at)):
+                row, found = _runs(z[at[first] : at[stop]], np.repeat(np.arange(first, stop), np.diff(at[first : stop + 1])), gap)
+                yield pa.RecordBatch.from_arrays([*(b.column(n).take(pa.array(row, pa.int64())) for n in names), *found], names=[*names, "start", "end", "type", "score"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
+    return x.mapInArrow(run, f"{kinds}start int, end int, type string, score {texts.schema[scores].dataType.elementType.simpleString()}")
 
 
 def consolidated(spans: DataFrame, by: list[str], mode: str = "confidence") -> DataFrame:
     """by, start, end, type, score: of spans of one text, from chunks that report some twice or in part, those that
-    choose_spans() keeps. For models whose chunks give spans, not labels. One text's spans are one group."""
-    fields = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in by)
+    choose_spans() keeps. For models whose chunks give spans, not labels. One text's spans are one row, and many texts
+    one batch."""
+    distinct = spans.groupBy(*by, "start", "end", "type").agg(F.max("score").cast("double").alias("score"))
+    own = distinct.groupBy(*by).agg(F.collect_list(F.struct("start", "end", "type", "score")).alias("_s"))
+    names = ["start", "end", "type", "score"]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        kept = choose_spans(list(f[["start", "end", "type", "score"]].itertuples(index=False, name=None)), mode)
-        out = pd.DataFrame(kept, columns=["start", "end", "type", "score"])
-        for k, c in enumerate(by):
-            out.insert(k, c, f[c].iloc[0])
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, z = _lists(b.column("_s"))
+            columns = [pc.struct_field(z, n).to_pylist() for n in names]
+            columns[3] = [float("nan") if x is None else x for x in columns[3]]
+            kept, row = [], []
+            for k, (first, stop) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                got = choose_spans(list(zip(*(c[first:stop] for c in columns), strict=True)), mode)
+                kept += got
+                row += [k] * len(got)
+            parts = list(zip(*kept, strict=True)) or [()] * 4
+            data = [pa.array(p, t) for p, t in zip(parts, (pa.int32(), pa.int32(), pa.string(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row, pa.int64())) for c in by), *data], names=[*by, *names])
 
-    distinct = spans.groupBy(*by, "start", "end", "type").agg(F.max("score").alias("score"))
-    return distinct.groupBy(*by).applyInPandas(run, f"{fields}, start int, end int, type string, score double")
+    fields = ", ".join(f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in by)
+    return own.mapInArrow(run, f"{fields}, start int, end int, type string, score double")
 
 
 def entity_rows(spans: DataFrame, by: list[str], text: str = "text", offset: Column | None = None, created_by: str = "token-classifier") -> DataFrame:

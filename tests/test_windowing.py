@@ -176,3 +176,14 @@ def test_labels_without_comparing_all(spark):
     texts = [(0, "ab  c\nd"), (1, None), (2, ""), (3, " \n "), (4, "\u00e9\U0001f600 x\tz"), (5, "a" * 9)]
     d = spark.createDataFrame(texts, "k int, t string").coalesce(1)
     assert all(r[0] == r[1] for r in d.select(chunking.word_places("t"), chunking.token_places("t", "[^ \n]+")).collect())
+
+
+def test_runs_and_choices_by_batches(spark):
+    """Runs are found and spans chosen for many texts at once: no group of pandas for each, null scores passed over."""
+    t = [(1, [(0, 1), (2, 3), None, (4, 4), (5, 6)], ["B-P", "I-P", "I-P", "I-P", "I-P"], [0.5, None, 0.1, 0.1, 0.9]), (2, None, None, None), (3, [(0, 1)], ["O"], [0.2]), (4, [(0, 1), (1, 2)], ["I-P", "I-Q"], [None, 0.3])]
+    d = spark.createDataFrame(t, "k int, tokens array<struct<start:int,end:int>>, labels array<string>, scores array<double>")
+    r = chunking.runs(d)
+    assert sorted(map(tuple, r.collect()), key=str) == [(1, 0, 3, "P", 0.5), (1, 5, 6, "P", 0.9), (4, 0, 1, "P", None), (4, 1, 2, "Q", 0.3)]
+    got = chunking.consolidated(r.filter("score is not null").unionByName(r.filter("k = 1").selectExpr("k", "start", "end + 3 as end", "type", "0.6D as score")), ["k"])
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 3, "P", 0.5), (1, 5, 6, "P", 0.9), (4, 1, 2, "Q", 0.3)]
